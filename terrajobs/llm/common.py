@@ -18,6 +18,23 @@ def narrowed(df: DataFrame, column: str, ids: DataFrame, id_column: str = "id",
     Only hash slots are broadcast, at most ``slots`` numbers however many ids there are, so
     wide rows are dropped before any shuffle. A join on the id itself must follow.
     """
+    return _by_slot(df, column, ids, id_column, slots, "left_semi")
+
+
+def _by_slot(df: DataFrame, column: str, ids: DataFrame, id_column: str, slots: int, how: str) -> DataFrame:
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(slots)).cast("int")
-    wanted = ids.select(slot(id_column).alias("_slot")).distinct()
-    return df.withColumn("_slot", slot(column)).join(F.broadcast(wanted), "_slot", "left_semi").drop("_slot")
+    wanted = ids.filter(F.col(id_column).isNotNull()).select(slot(id_column).alias("_slot")).distinct()
+    return df.withColumn("_slot", slot(column)).join(F.broadcast(wanted), "_slot", how).drop("_slot")
+
+
+def split_by_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str = "id", slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have ``column`` among ``ids``, rows that certainly have not): only the
+    first part needs a shuffle. Rows of a null column are in the second part."""
+    absent = _by_slot(df.filter(F.col(column).isNotNull()), column, ids, id_column, slots, "left_anti")
+    return narrowed(df.filter(F.col(column).isNotNull()), column, ids, id_column, slots), absent.unionByName(df.filter(F.col(column).isNull()))
+
+
+def without_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str = "id") -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not among ``ids``; rows of a null column stay."""
+    maybe, rest = split_by_ids(df, column, ids, id_column)
+    return maybe.join(ids.select(F.col(id_column).alias("_id")), F.col(column) == F.col("_id"), "left_anti").unionByName(rest)

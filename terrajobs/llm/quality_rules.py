@@ -77,8 +77,9 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     row_of = lambda at: np.searchsorted(offsets, at, side="right") - 1
     lines = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], breaks + 1]))
     lines = lines[lines < len(data)]
+    lines = lines[data[lines] != 10]
     stops = np.unique(np.concatenate([offsets[1:], breaks]))
-    ends = stops[np.searchsorted(stops, lines)] if len(lines) else lines
+    ends = stops[np.searchsorted(stops, lines, side="right")] if len(lines) else lines
     total = np.zeros(len(data) + 1, np.int64)
     np.cumsum(solid, out=total[1:])
     full = total[ends] > total[lines]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrajobs.llm import chat_format, near_dedup, packing, quality_rules, secret_scan
+from terrajobs.llm import chat_format, language_id, line_dedup, near_dedup, packing, quality_rules, secret_scan
 from terrajobs.llm.common import table
 
 
@@ -24,6 +24,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -39,9 +48,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_dedup, op2_secret_scan, op5_quality_rules, op8_packing, op9_chat_format]
+    found = [op1_near_dedup, op2_secret_scan, op3_language_id, op4_line_dedup, op5_quality_rules, op8_packing, op9_chat_format]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": chat_format.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op9_chat_format": chat_format.ORACLE}
