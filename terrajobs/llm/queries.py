@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrajobs.llm import chat_format, decontaminate, language_id, line_dedup, near_dedup, packing, quality_rules, secret_scan
+from terrajobs.llm import chat_format, decontaminate, language_id, line_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, substring_dedup
 from terrajobs.llm.common import table
 
 
@@ -37,6 +37,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,8 +56,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_conversations(turns).drop("formatted", "loss_spans")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_dedup, op2_secret_scan, op3_language_id, op4_line_dedup, op5_quality_rules, op7_decontaminate, op8_packing, op9_chat_format]
+    found = [op1_near_dedup, op2_secret_scan, op3_language_id, op4_line_dedup, op5_quality_rules, op6_quality_model, op7_decontaminate, op8_packing, op9_chat_format, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 
