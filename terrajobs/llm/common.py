@@ -23,8 +23,8 @@ def narrowed(df: DataFrame, column: str, ids: DataFrame, id_column: str = "id",
 
 def _by_slot(df: DataFrame, column: str, ids: DataFrame, id_column: str, slots: int, how: str) -> DataFrame:
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(slots)).cast("int")
-    wanted = ids.filter(F.col(id_column).isNotNull()).select(slot(id_column).alias("_slot")).distinct()
-    return df.withColumn("_slot", slot(column)).join(F.broadcast(wanted), "_slot", how).drop("_slot")
+    wanted = ids.filter(F.col(id_column).isNotNull()).select(slot(id_column).alias("slot")).distinct()
+    return df.select(slot(column).alias("slot"), F.struct("*").alias("row")).join(F.broadcast(wanted), "slot", how).select("row.*")
 
 
 def split_by_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str = "id", slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
@@ -37,4 +37,5 @@ def split_by_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str = "i
 def without_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str = "id") -> DataFrame:
     """Rows of ``df`` whose ``column`` is not among ``ids``; rows of a null column stay."""
     maybe, rest = split_by_ids(df, column, ids, id_column)
-    return maybe.join(ids.select(F.col(id_column).alias("_id")), F.col(column) == F.col("_id"), "left_anti").unionByName(rest)
+    maybe = maybe.select(F.col(column).alias("key"), F.struct("*").alias("row"))
+    return maybe.join(ids.select(F.col(id_column).alias("key")), "key", "left_anti").select("row.*").unionByName(rest)

@@ -76,18 +76,20 @@ def dedup_lines(documents: DataFrame, run: int = RUN, id_col: str = "doc_id", te
     as they are. Rows of equal id and text count as one document. Other columns are kept;
     columns of the input named n_lines or n_removed are replaced.
     """
-    base = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    gone = stash(repeated_lines(base, run), "gone").select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("gone").alias("_gone"))
     documents = documents.drop("n_lines", "n_removed")
-    solid = F.size(F.filter(_lines(F.col(text_col)), lambda line: _body(line) != ""))
-    documents = documents.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(solid).cast("long"))
-    hit, rest = split_by_ids(documents, id_col, gone, "_doc")
-    joined = hit.join(gone, (F.col(id_col) == F.col("_doc")) & (F.xxhash64(F.col(text_col)) == F.col("_version")), "left")
-    lines = _lines(F.col(text_col))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    joined = joined.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).withColumn(text_col, text).drop("_doc", "_version", "_gone")
-    return joined.unionByName(rest.withColumn("n_removed", F.lit(0).cast("long")))
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*[c for c in documents.columns if c != text_col]).alias("row"))
+    base = rows.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    gone = stash(repeated_lines(base, run), "gone")
+    solid = F.size(F.filter(_lines(F.col("text")), lambda line: _body(line) != ""))
+    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(solid).cast("long"))
+    hit, rest = split_by_ids(rows, "doc_id", gone, "doc_id")
+    joined = hit.withColumn("version", F.xxhash64("text")).join(gone, ["doc_id", "version"], "left")
+    lines = _lines(F.col("text"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    joined = joined.select("row", text.alias("text"), "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    both = joined.unionByName(rest.select("row", "text", "n_lines", F.lit(0).cast("long").alias("n_removed")))
+    return both.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in documents.columns], "n_lines", "n_removed")
 
 
 ORACLE = f"""
