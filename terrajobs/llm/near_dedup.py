@@ -7,11 +7,14 @@ compared exhaustively. Several independent trees bring recall to the target: a p
 similarity s misses one level of one tree with probability about 1 - s, so eight trees
 miss a pair at 0.8 about 0.2**8 of the time.
 
-Large nodes never emit all their pairs. In each round their members are compared with the
-node's smallest member, links found so far are joined into components, and a node whose
-members are all of one component is finished. What remains goes one level deeper. Nodes
-that are still there at the deepest level are finished exactly, by comparing all their
-pairs that are not of one component yet.
+A node is small if its pairs between different components are at most ``SMALL_NODE`` times
+its members. Other nodes never emit all their pairs. From the second level on, each member's
+shingles that no other member of a large node has are counted; they bound its similarity
+to anything there, exactly, and members that cannot reach the threshold leave. The
+rest are compared with the member of the largest shared part, the links found are joined
+into components, and a node is done when it has one component, is compared exhaustively
+when it has become small, and else goes one level deeper. Nodes still open at the deepest
+level are finished exactly as well.
 
 Candidates are first estimated on bottom-k sketches, with a margin of four standard
 deviations, and then confirmed on the full shingle sets.
@@ -34,7 +37,7 @@ from terrajobs.operators.components import edge_components
 from terrajobs.storage import discard, stash
 
 SKETCH = 64
-SMALL_NODE = 24
+SMALL_NODE = 12
 TREES = 8
 DEPTH = 8
 BRANCHES = 2
@@ -79,15 +82,53 @@ def shingle_features(documents: DataFrame, n: int = 4, trees: int = TREES, id_co
     )
 
 
-def _pairs_of_small(rows: DataFrame) -> DataFrame:
-    a = rows.select("node", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = rows.select("node", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    return a.join(b, "node").filter("a < b and ca <> cb")
+def _measured(level: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Rows (node, doc, n, s) with their component and their node's size, largest component and
+    number of pairs between components; nodes of one component are left out."""
+    if comps is None:
+        level = level.withColumn("comp", F.col("doc"))
+    else:
+        level = level.join(comps, F.col("doc") == F.col("id"), "left").select("node", "doc", "n", "s", F.coalesce("component", "doc").alias("comp"))
+    parts = level.groupBy("node", "comp").agg(F.count("*").alias("c"), F.min("n").alias("least_n"))
+    nodes = parts.groupBy("node").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("comp", F.struct("c", "comp")).alias("major"), F.min("least_n").alias("least_n"))
+    nodes = nodes.selectExpr("node", "size", "(size * size - squares) div 2 as cross", "major", "least_n").filter("cross > 0")
+    return level.join(nodes, "node")
+
+
+def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a node's members of different components: its members outside the
+    largest component against all."""
+    a = rows.filter("comp <> major").select("node", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("comp").alias("cx"))
+    b = rows.select("node", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("comp").alias("cy"), "major")
+    met = a.join(b, "node").filter("cx <> cy and (cy = major or x < y)").filter(_possible("nx", "ny", "sx", "sy", percent))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _possible(n0: str, n1: str, s0: str, s1: str, percent: int) -> str:
+    """Whether sets of these sizes, of which these parts occur elsewhere, can be similar."""
+    return f"{percent} * greatest({n0}, {n1}) <= 100 * least({n0}, {n1}) and {100 + percent} * least({s0}, {s1}) >= {percent} * ({n0} + {n1})"
+
 
+def _pairs_with_pivot(rows: DataFrame, percent: int) -> DataFrame:
+    """Each member with the member of the largest shared part of its set."""
+    pivot = rows.groupBy("node").agg(F.max_by(F.struct("doc", "n", "s", "comp"), F.struct(F.col("s") / F.col("n"), -F.col("doc"))).alias("p"))
+    met = rows.join(pivot, "node").filter("p.doc <> doc and p.comp <> comp").filter(_possible("n", "p.n", "s", "p.s", percent))
+    return met.select(F.least("p.doc", "doc").alias("a"), F.greatest("p.doc", "doc").alias("b"))
 
-def _pairs_with_pivot(rows: DataFrame) -> DataFrame:
-    pivot = rows.groupBy("node").agg(F.min_by(F.struct("doc", "n", "comp"), "doc").alias("p"))
-    return rows.join(pivot, "node").select("node", F.col("p.doc").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).filter("a < b and ca <> cb")
+
+def shared_parts(ids: DataFrame, documents: DataFrame, n: int) -> DataFrame:
+    """(doc, alone): how many shingles of each document no other one of ``ids`` has."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, values in zip(batch.column("doc").to_pylist(), _row_sets(batch, n), strict=True):
+                if len(values):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), doc)), pa.array(values.view(np.int64))], names=["doc", "shingle"])
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    own = narrowed(docs, "doc", ids, "doc").join(ids, "doc", "left_semi").mapInArrow(sets, "doc long, shingle long")
+    single = own.groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).filter("doc = last")
+    return single.groupBy("doc").agg(F.count("*").alias("alone"))
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -159,7 +200,7 @@ def _children(rows: DataFrame, sketches: DataFrame) -> DataFrame:
             out.append(B.mix(low ^ seed).view(np.int64))
         return pd.Series(out)
 
-    return rows.join(sketches, "doc").select(F.explode(step("node", "sketch")).alias("node"), "doc", "n")
+    return rows.join(sketches, "doc").select(F.explode(step("node", "sketch")).alias("node"), "doc", "n", "s").distinct()
 
 
 def near_duplicates(
@@ -184,39 +225,40 @@ def near_duplicates(
     sketches = reps.select("doc", "sketch")
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    level = reps.select(F.explode("nodes").alias("node"), "doc", "n").distinct()
-    links, comps, spent = None, None, []
+    level = reps.select(F.explode("nodes").alias("node"), "doc", "n", F.col("n").alias("s")).distinct()
+    links, comps, left, bounds = None, None, None, None
+    few, many = F.col("cross") <= small * F.col("size"), F.col("cross") > small * F.col("size")
+    row = ["node", "doc", "n", "s"]
     for k in range(depth):
-        if comps is None:
-            level = level.withColumn("comp", F.col("doc"))
-        else:
-            level = level.join(comps, F.col("doc") == F.col("id"), "left").select("node", "doc", "n", F.coalesce("component", "doc").alias("comp"))
-        nodes = level.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
-        rows = stash(level.join(nodes.select("node", "size"), "node"), "level")
-        spent.append(rows)
-        few, many = rows.filter(F.col("size") <= small), rows.filter(F.col("size") > small)
-        pairs = _pairs_of_small(few).unionByName(_pairs_of_small(many) if k == depth - 1 else _pairs_with_pivot(many))
-        pairs = pairs.filter(f"{percent} * greatest(na, nb) <= 100 * least(na, nb)").select("a", "b").distinct()
-        likely = stash(_likely(pairs, sketches, percent), "likely")
+        rows, used = stash(_measured(level, comps), "level"), left
+        todo, large = rows.filter(few), rows.filter(many)
+        open_ = large.limit(1).count()
+        if open_ and k > 0:
+            if bounds is None:
+                bounds = stash(shared_parts(large.select("doc").distinct(), texts, n), "bounds")
+            held = large.join(bounds, "doc", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
+            held = held.filter(f"{100 + percent} * s >= {percent} * (n + least_n) and s * 100 >= n * {percent}").select(row)
+            pruned = stash(_measured(held, comps), "pruned")
+            todo, large = todo.unionByName(pruned.filter(few)), pruned.filter(many)
+            open_ = large.limit(1).count()
+        pairs = _pairs_across(todo, percent)
+        if open_ and k == depth - 1:
+            pairs = pairs.unionByName(_pairs_across(large, percent))
+        elif open_ and k > 0:
+            pairs = pairs.unionByName(_pairs_with_pivot(large, percent))
+        likely = stash(_likely(pairs.distinct(), sketches, percent), "likely")
         if likely.limit(1).count():
             new = confirm(likely, texts, n, percent)
             links = new if links is None else stash(links.union(new), "links")
             comps = edge_components(links, "a", "b")
-        discard(likely)
-        if k == depth - 1 or not many.limit(1).count():
+        discard(likely, used)
+        if k == depth - 1 or not open_:
             break
-        left = many.select("node", "doc", "n") if comps is None else _open(many, comps)
-        level = _children(left, sketches).distinct()
-    discard(*spent)
+        left = stash(_measured(large.select(row), comps), "open")
+        level = left.filter(few).select(row).unionByName(_children(left.filter(many).select(row), sketches))
+        discard(rows)
     if comps is None:
         out = members.withColumn("component_id", F.coalesce("class_id", "doc_id"))
     else:
         out = members.join(comps, F.col("class_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "class_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
-
-
-def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of nodes whose members are not all of one component."""
-    now = rows.join(comps, F.col("doc") == F.col("id"), "left").select("node", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    mixed = now.groupBy("node").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("node")
-    return now.join(mixed, "node", "left_semi").select("node", "doc", "n")
