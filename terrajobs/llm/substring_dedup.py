@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,17 +86,21 @@ def repeated_digests(documents: DataFrame) -> DataFrame:
 
 
 def digest_filter(digests: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit table over the digests' low ``bits`` bits: at most 2**bits / 8 bytes."""
-    slot = F.col("short").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = (
-        digests.select(slot.alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("block"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-        .toPandas()
-    )
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[rows["block"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return table.view(np.uint64)
+    """A bit table over the digests' low ``bits`` bits: 2**bits / 8 bytes, packed by block
+    where the digests are, so that is all that reaches the driver."""
+    block = min(15, bits)
+    low = F.col("short").bitwiseAND(F.lit((1 << bits) - 1))
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(1 << block, bool)
+        flags[pdf["slot"].to_numpy(np.int64) & ((1 << block) - 1)] = True
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    rows = digests.select(low.alias("slot")).distinct().withColumn("block", F.shiftright("slot", block)).groupBy("block").applyInPandas(packed, "block long, bits binary").collect()
+    table, size = np.zeros(1 << (bits - 3), np.uint8), 1 << (block - 3)
+    for r in rows:
+        table[r.block * size : (r.block + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    return table
 
 
 def likely_repeats(documents: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
@@ -107,7 +112,7 @@ def likely_repeats(documents: DataFrame, table: np.ndarray, bits: int) -> DataFr
         for batch in batches:
             for a, data, offsets, start, end, row, h in _chunked(batch):
                 slot = h & np.uint64((1 << bits) - 1)
-                hit = np.flatnonzero((table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+                hit = np.flatnonzero((table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
                 if not len(hit):
                     continue
                 digest = [hashlib.blake2b(data[s:e].tobytes(), digest_size=16).digest() for s, e in zip(start[hit].tolist(), end[hit].tolist(), strict=True)]
