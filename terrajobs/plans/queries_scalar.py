@@ -317,14 +317,14 @@ def h16(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PAIR_SQL = """, s AS (SELECT id, x::DOUBLE AS x0, y::DOUBLE AS y0, (x + owner * 40 - 400)::DOUBLE AS x1, (y + (id % 21) * 40 - 400)::DOUBLE AS y1 FROM points),
-  p AS (SELECT a.id, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1 FROM s a JOIN s b ON b.id = a.id + 1),
+  p AS (SELECT id, x0 AS ax0, y0 AS ay0, x1 AS ax1, y1 AS ay1, x0 + 100 AS bx0, y0 - 30 AS by0, x0 - 100 + id % 7 * 10 AS bx1, y0 + 60 AS by1 FROM s),
   q AS (SELECT *, (ax1 - ax0) * (by1 - by0) - (ay1 - ay0) * (bx1 - bx0) AS d, (bx0 - ax0) * (by1 - by0) - (by0 - ay0) * (bx1 - bx0) AS tn, (bx0 - ax0) * (ay1 - ay0) - (by0 - ay0) * (ax1 - ax0) AS un FROM p)"""
 
 
 @query("h18_segment_intersection", PAIR_SQL + " SELECT id, round(ax0 + tn / d * (ax1 - ax0), 4) AS x, round(ay0 + tn / d * (ay1 - ay0), 4) AS y FROM q WHERE d <> 0 AND tn / d BETWEEN 0 AND 1 AND un / d BETWEEN 0 AND 1")
 def h18(spark: SparkSession, sf: str) -> DataFrame:
     s = Territory(spark, sf).points.selectExpr("id", "cast(x as double) as x0", "cast(y as double) as y0", "cast(x + owner * 40 - 400 as double) as x1", "cast(y + (id % 21) * 40 - 400 as double) as y1")
-    b = s.selectExpr("id - 1 as id", "x0 as bx0", "y0 as by0", "x1 as bx1", "y1 as by1")
+    b = s.selectExpr("id", "x0 + 100 as bx0", "y0 - 30 as by0", "x0 - 100 + id % 7 * 10 as bx1", "y0 + 60 as by1")
     cross = S.segment_intersection(("x0", "y0", "x1", "y1"), ("bx0", "by0", "bx1", "by1"))
     return s.join(b, "id").select("id", cross.alias("p")).filter("p is not null").selectExpr("id", "round(p.x, 4) as x", "round(p.y, 4) as y")
 
