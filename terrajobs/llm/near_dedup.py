@@ -249,8 +249,9 @@ def near_duplicates(
         likely = stash(_likely(pairs.distinct(), sketches, percent), "likely")
         if likely.limit(1).count():
             new = confirm(likely, texts, n, percent)
-            links = new if links is None else stash(links.union(new), "links")
-            comps = edge_components(links, "a", "b")
+            if new.limit(1).count():
+                links = new if links is None else links.union(new)
+                comps = edge_components(links, "a", "b")
         discard(likely, used)
         if k == depth - 1 or not open_:
             break
