@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrajobs.llm.common import small_batches
+
 # The control strings of the template.
 BEGIN, HEAD, BODY, END = "<s>", "[INST]", "[/INST]", "</s>"
 _CONTROL = re.compile("|".join(re.escape(c) for c in (BEGIN, HEAD, BODY, END)))
@@ -69,7 +71,7 @@ def format_conversations(conversations: DataFrame, trained: str = "assistant", c
     role ``trained`` in ``formatted``. A conversation is one value of the result, so its own
     rows meet in one task; nothing else does.
     """
-    turns = conversations.select(
+    turns = small_batches(conversations).select(
         F.col(conv_col).cast("long").alias("conv_id"),
         F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("t"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLOTS = 1 << 20
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +40,13 @@ def without_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str = "id
     maybe, rest = split_by_ids(df, column, ids, id_column)
     maybe = maybe.select(F.col(column).alias("key"), F.struct("*").alias("row"))
     return maybe.join(ids.select(F.col(id_column).alias("key")), "key", "left_anti").select("row.*").unionByName(rest)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, once its session passes at most ``BATCH_ROWS`` rows to Python at a time. Whole
+    texts are wide, and Spark's default of 10,000 would hold tens of MB of them in every
+    buffer on the way; a smaller setting of the session's own stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df

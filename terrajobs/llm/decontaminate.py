@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrajobs.llm import bytescan as B
-from terrajobs.llm.common import without_ids
+from terrajobs.llm.common import small_batches, without_ids
 from terrajobs.storage import stash
 
 # The masks, 1 for a word that counts.
@@ -85,7 +85,7 @@ def windows(texts: DataFrame, absent: int, bits: list[np.ndarray] | None = None)
                     names=["id", "hash", "place", "context"],
                 )
 
-    return texts.mapInArrow(run, "id long, hash long, place long, context binary")
+    return small_batches(texts).mapInArrow(run, "id long, hash long, place long, context binary")
 
 
 def hash_filter(hashes: DataFrame) -> list[np.ndarray]:

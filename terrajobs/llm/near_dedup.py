@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrajobs.llm import bytescan as B
-from terrajobs.llm.common import narrowed
+from terrajobs.llm.common import narrowed, small_batches
 from terrajobs.operators.components import edge_components
 from terrajobs.storage import discard, stash
 
@@ -77,7 +77,7 @@ def shingle_features(documents: DataFrame, n: int = 4, trees: int = TREES, id_co
                 names=["doc_id", "n_shingles", "digest", "sketch", "nodes"],
             )
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return small_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_shingles long, digest binary, sketch binary, nodes array<long>"
     )
 

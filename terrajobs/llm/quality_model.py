@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrajobs.llm import bytescan as B
+from terrajobs.llm.common import small_batches
 from terrajobs.llm.quality_rules import _measure
 
 BUCKETS = 1024  # hashed words
@@ -192,5 +193,5 @@ def score(documents: DataFrame, model: CoTrained | None, threshold: float = 0.5)
                     out[2, a:b] = model.combine(x, z)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in out), pa.array(out[2] >= threshold)], names=["doc_id", "p_text", "p_meta", "score", "kept"])
 
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
+    source = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
     return source.mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, kept boolean")

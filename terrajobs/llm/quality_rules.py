@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrajobs.llm import bytescan as B
+from terrajobs.llm.common import small_batches
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -120,7 +121,7 @@ def ledger(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             columns = [np.concatenate([p[k] for p in parts]) if parts else np.empty(0) for k in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in columns)], names=["doc_id", *MEASURES])
 
-    measured = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    measured = small_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
     )
     bits = None

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrajobs.llm.common import small_batches
 from terrajobs.storage import stash
 
 # The three base patterns.
@@ -86,7 +87,7 @@ def candidates(documents: DataFrame, repo_col: str = "source", id_col: str = "do
                 names=["row", "doc_id", "repo", "base", "wider", "base_sha256"],
             )
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return small_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"row long, doc_id long, repo string, base array<{_SPAN}>, wider array<{_SPAN}>, base_sha256 string"
     )
 

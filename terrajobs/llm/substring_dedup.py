@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrajobs.llm import bytescan as B
-from terrajobs.llm.common import split_by_ids
+from terrajobs.llm.common import small_batches, split_by_ids
 from terrajobs.storage import discard, stash
 
 SMALLEST = 16  # bytes; also the reach of the rolling hash
@@ -160,7 +160,7 @@ def dedup_substrings(documents: DataFrame, min_bytes: int = MIN_BYTES, bits: int
     exclusive. Null texts stay null; empty texts and rows of a null id stay as they are.
     Rows of equal id and text count as one document. Other columns are not read.
     """
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = rows.filter("doc_id is not null and text is not null").withColumn("version", F.xxhash64("text"))
     found = stash(repeated_spans(base, min_bytes, bits), "spans").select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("spans").alias("_spans"))
     hit, rest = split_by_ids(rows, "doc_id", found, "_doc")
