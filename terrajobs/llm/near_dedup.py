@@ -3,9 +3,11 @@
 Documents are nodes of random trees. At the root of each tree, and below it in every node
 that is still large, a document moves to the child named by its minwise shingle under the
 node's own hash function, so similar documents tend to take the same path. Small nodes are
-compared exhaustively. Several independent trees bring recall to the target: a pair of
-similarity s stays together over k levels of one tree with probability about s**k, so ten
-trees miss a pair at 0.8 about 1e-7 of the time in the first level and 4e-5 in the second.
+compared exhaustively. Several independent trees bring recall to the target: below the root
+a document moves to two children, so a pair of similarity s >= 0.5 stays together in one
+tree with probability (2 * s - 1) / s or more however deep the tree is. Ten trees
+miss a pair at 0.8 about 1e-7 of the time in the first level and 1e-6 at any depth. Minima
+are taken over the full shingle sets, never over sketches.
 
 A node is small if its pairs between different components are at most ``SMALL_NODE`` times
 its members. Other nodes never emit all their pairs. From the second level on, each member's
@@ -40,7 +42,7 @@ SKETCH = 64
 SMALL_NODE = 12
 TREES = 10
 DEPTH = 8
-BRANCHES = 1
+BRANCHES = 2
 
 
 def _row_sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -56,6 +58,18 @@ def _tree_seeds(trees: int) -> np.ndarray:
     return B.mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+def minwise_nodes(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The node that each seed's hash function names: its minwise shingle over the full set."""
+    return np.array([B.mix(B.mix(values ^ seed).min(keepdims=True) ^ seed)[0] for seed in seeds], np.uint64).view(np.int64)
+
+
+def child_nodes(values: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The distinct children of ``nodes``, ``BRANCHES`` of each, that a set moves to."""
+    salt = np.arange(1, BRANCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    seeds = B.mix(nodes.view(np.uint64)[:, None] ^ salt[None, :]).ravel()
+    return np.unique(minwise_nodes(values, seeds))
+
+
 def shingle_features(documents: DataFrame, n: int = 4, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, digest of the set, bottom-k sketch, first-level nodes) per row."""
 
@@ -71,7 +85,7 @@ def shingle_features(documents: DataFrame, n: int = 4, trees: int = TREES, id_co
                 low = s[:SKETCH]
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sketch.append(low.tobytes())
-                nodes.append(B.mix(B.mix(low[:, None] ^ seeds[None, :]).min(axis=0) ^ seeds).view(np.int64))
+                nodes.append(minwise_nodes(s, seeds))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "digest", "sketch", "nodes"],
@@ -187,20 +201,21 @@ def confirm(pairs: DataFrame, documents: DataFrame, n: int, percent: int, id_col
     return links
 
 
-def _children(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Each row's next nodes: the minwise shingle under hash functions drawn from the node."""
+def _children(rows: DataFrame, documents: DataFrame, n: int) -> DataFrame:
+    """Each row's next nodes, from the full shingle sets of the documents still in open nodes."""
 
-    @F.pandas_udf("array<long>")
-    def step(node: pd.Series, sketch: pd.Series) -> pd.Series:
-        salt = np.arange(1, BRANCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
-        out = []
-        for v, s in zip(node.to_numpy(np.int64).view(np.uint64), sketch, strict=True):
-            seed = B.mix(v ^ salt)
-            low = B.mix(np.frombuffer(s, np.uint64)[:, None] ^ seed[None, :]).min(axis=0)
-            out.append(B.mix(low ^ seed).view(np.int64))
-        return pd.Series(out)
-
-    return rows.join(sketches, "doc").select(F.explode(step("node", "sketch")).alias("node"), "doc", "n", "s").distinct()
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = zip(*(batch.column(c) for c in ("doc", "n", "s", "nodes")), _row_sets(batch, n), strict=True)
+            for doc, size, shared, nodes, own in values:
+                if len(own):
+                    child = child_nodes(own, np.array(nodes.as_py(), np.int64))
+                    same = [pa.array(np.full(len(child), x.as_py(), np.int64)) for x in (doc, size, shared)]
+                    yield pa.RecordBatch.from_arrays([pa.array(child), *same], names=["node", "doc", "n", "s"])
+
+    held = rows.groupBy("doc").agg(F.max("n").alias("n"), F.max("s").alias("s"), F.collect_set("node").alias("nodes"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    return narrowed(docs, "doc", rows.select("doc"), "doc").join(held, "doc").mapInArrow(step, "node long, doc long, n long, s long").distinct()
 
 
 def near_duplicates(
@@ -226,11 +241,11 @@ def near_duplicates(
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     level = reps.select(F.explode("nodes").alias("node"), "doc", "n", F.col("n").alias("s")).distinct()
-    links, comps, left, bounds = None, None, None, None
+    links, comps, left, moved, bounds = None, None, None, None, None
     few, many = F.col("cross") <= small * F.col("size"), F.col("cross") > small * F.col("size")
     row = ["node", "doc", "n", "s"]
     for k in range(depth):
-        rows, used = stash(_measured(level, comps), "level"), left
+        rows, used = stash(_measured(level, comps), "level"), [x for x in (left, moved) if x is not None]
         todo, large = rows.filter(few), rows.filter(many)
         open_ = large.limit(1).count()
         if open_ and k > 0:
@@ -252,11 +267,12 @@ def near_duplicates(
             if new.limit(1).count():
                 links = new if links is None else links.union(new)
                 comps = edge_components(links, "a", "b")
-        discard(likely, used)
+        discard(likely, *used)
         if k == depth - 1 or not open_:
             break
         left = stash(_measured(large.select(row), comps), "open")
-        level = left.filter(few).select(row).unionByName(_children(left.filter(many).select(row), sketches))
+        moved = stash(_children(left.filter(many).select(row), texts, n), "children")
+        level = left.filter(few).select(row).unionByName(moved)
         discard(rows)
     if comps is None:
         out = members.withColumn("component_id", F.coalesce("class_id", "doc_id"))

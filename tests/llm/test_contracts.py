@@ -93,6 +93,33 @@ def test_large_nodes_and_deep_trees(spark):
     assert all(r.component_id == (0 if r.doc_id < 1000 else r.doc_id) for r in got)
 
 
+def test_pairs_in_nodes_open_to_the_last_level(spark):
+    rng = random.Random(5)
+    common, pool = [f"c{i}" for i in range(160)], [f"p{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        whole = common + rng.sample(pool, 40)
+        rows += [(2 * i, " ".join(whole)), (2 * i + 1, " ".join(rng.sample(whole, 160)))]  # a part of 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, n=1, small=1).collect()}
+    assert got == {i: i - i % 2 for i in got} and len(got) == 120
+
+
+def test_minima_come_from_full_sets():
+    rng = np.random.default_rng(7)
+    missed = 0
+    for _ in range(60):
+        whole = np.unique(rng.integers(0, 2**63, 2000).astype(np.uint64))
+        part = np.sort(rng.choice(whole, len(whole) * 4 // 5, replace=False))
+        seeds = near_dedup._tree_seeds(near_dedup.TREES)
+        a, b = near_dedup.minwise_nodes(whole, seeds), near_dedup.minwise_nodes(part, seeds)
+        for _ in range(near_dedup.DEPTH - 1):
+            both = np.intersect1d(a, b)
+            a, b = (near_dedup.child_nodes(x, both) for x in (whole, part))
+        missed += not len(np.intersect1d(a, b))
+    assert missed == 0
+
+
 def test_secrets(spark):
     rng = random.Random(4)
     key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
