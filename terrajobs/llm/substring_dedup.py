@@ -2,8 +2,9 @@
 
 A gear rolling hash over the last 16 bytes ends a chunk wherever its top bits are zero, so
 chunk borders depend on nearby bytes only and an insertion moves none but its own. Chunks
-are deduplicated by digest. In a text, adjacent chunks that all occur earlier form a
-repeated passage if together they are long enough, and are cut out.
+are deduplicated by digest. In a text, each run of chunks that occurs earlier is extended
+byte by byte against its first occurrence, to the passage's real ends. Extended runs that
+touch or overlap form a repeated passage if together they are long enough, and are cut out.
 
 Two passes keep wide data out of shuffles: the first counts 64-bit digests, the second
 chunks the texts again and sends on only what passes a filter of fixed size over the
@@ -21,9 +22,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from terrajobs.llm import bytescan as B
-from terrajobs.llm.common import small_batches, split_by_ids
+from terrajobs.llm.common import narrowed, small_batches, split_by_ids
 from terrajobs.storage import discard, stash
 
 SMALLEST = 16  # bytes; also the reach of the rolling hash
@@ -127,19 +129,67 @@ def likely_repeats(documents: DataFrame, table: np.ndarray, bits: int) -> DataFr
 
 
 def _joined_runs(spans: Column, least: int) -> Column:
-    """Touching spans, sorted by start, joined; those of at least ``least`` bytes stay."""
+    """Touching or overlapping spans, sorted by start, joined; those of at least ``least`` bytes stay."""
     kind = "array<struct<start:long,stop:long>>"
     merged = F.aggregate(
         spans,
         F.expr(f"cast(array() as {kind})"),
         lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] == x["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), x["stop"].alias("stop")))),
+            (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= x["start"]),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
     return F.filter(merged, lambda x: x["stop"] - x["start"] >= least)
 
 
+def _context(runs: DataFrame, documents: DataFrame, doc: str, version: str, start: str, stop: str, width: int, name: str) -> DataFrame:
+    """``runs`` with the ``width`` bytes before and after one of their places."""
+    texts = narrowed(documents, "doc_id", runs, doc).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), F.col("text").cast("binary").alias("_data"))
+    before = f"substring(_data, cast(greatest({start} - {width}, 0) + 1 as int), cast(least({start}, {width}) as int)) as {name}_before"
+    after = f"substring(_data, cast({stop} + 1 as int), {width}) as {name}_after"
+    return runs.join(texts, (F.col(doc) == F.col("_d")) & (F.col(version) == F.col("_v"))).selectExpr(*runs.columns, before, after)
+
+
+@F.pandas_udf(StructType([StructField("before", IntegerType()), StructField("after", IntegerType()), StructField("more", BooleanType())]))
+def _common(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, width: pd.Series) -> pd.DataFrame:
+    """Equal bytes at the ends of a and b and at the starts of c and d, whole characters only."""
+    out = []
+    for p, q, x, y, w in zip(a, b, c, d, width, strict=True):
+        n = m = 0
+        while n < min(len(p), len(q)) and p[-n - 1] == q[-n - 1]:
+            n += 1
+        while m < min(len(x), len(y)) and x[m] == y[m]:
+            m += 1
+        more = n == w or m == w
+        while n and p[-n] & 0xC0 == 0x80:
+            n -= 1
+        while m and any(m < len(z) and z[m] & 0xC0 == 0x80 for z in (x, y)):
+            m -= 1
+        out.append((n, m, more))
+    return pd.DataFrame(out, columns=["before", "after", "more"])
+
+
+def extended(runs: DataFrame, documents: DataFrame, width: int = 64) -> DataFrame:
+    """(doc_id, version, start, stop) of ``runs`` (doc_id, version, start, stop, first_doc,
+    first_version, shift), as far as both texts agree. Wider contexts are read for the runs
+    that agree up to the end of theirs, until none does."""
+    keys, parts = runs.columns, []
+    while True:
+        later = _context(runs, documents, "doc_id", "version", "start", "stop", width, "later")
+        both = _context(later, documents, "first_doc", "first_version", "start + shift", "stop + shift", width, "first")
+        found = both.withColumn("e", _common("later_before", "first_before", "later_after", "first_after", F.lit(width)))
+        found = stash(found.select(*keys, "e"), "extended")
+        parts.append(found.filter("not e.more").selectExpr("doc_id", "version", "start - e.before as start", "stop + e.after as stop"))
+        runs = found.filter("e.more").select(*keys)
+        if not runs.limit(1).count():
+            break
+        width *= 8
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def repeated_spans(documents: DataFrame, min_bytes: int = MIN_BYTES, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, version, spans): byte spans of later repeated passages, per text with any."""
     twice = stash(repeated_digests(documents), "digests")
@@ -148,14 +198,18 @@ def repeated_spans(documents: DataFrame, min_bytes: int = MIN_BYTES, bits: int =
     place = F.struct("doc_id", "version", "start")
     first = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     later = chunks.join(first, "digest").filter(place != F.col("first"))
-    spans = later.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    side = ["doc_id", "version", F.col("first.doc_id").alias("first_doc"), F.col("first.version").alias("first_version"), (F.col("first.start") - F.col("start")).alias("shift")]
+    runs = later.groupBy(*side).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    runs = runs.select("doc_id", "version", "first_doc", "first_version", "shift", F.explode(_joined_runs(F.col("spans"), 1)).alias("x"))
+    runs = stash(runs.select("doc_id", "version", "x.start", "x.stop", "first_doc", "first_version", "shift"), "runs")
+    spans = extended(runs, documents).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     return spans.select("doc_id", "version", _joined_runs(F.col("spans"), min_bytes).alias("spans")).filter(F.size("spans") > 0)
 
 
 def dedup_substrings(documents: DataFrame, min_bytes: int = MIN_BYTES, bits: int = FILTER_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, removed_chars, spans): every row's text without later repeated passages.
 
-    A passage is repeated where its chunks occur earlier, in order of (id, position), in
+    A passage is repeated where it holds a chunk and its bytes occur earlier, in order of (id, position), in
     another text or further up in the same one. ``spans`` are the cut code points, ends
     exclusive. Null texts stay null; empty texts and rows of a null id stay as they are.
     Rows of equal id and text count as one document. Other columns are not read.

@@ -314,3 +314,17 @@ def test_repeated_passages(spark, none):
     assert got[0].removed_chars == 0 and all(got[100 + i].removed_chars == 0 for i in range(20))
     assert all(0.6 * len(passage) <= got[i].removed_chars <= len(passage) + 20 for i in range(1, 20))
     assert got[None].text == passage and substring_dedup.dedup_substrings(none).count() == 0
+
+
+def test_passages_are_cut_to_their_ends(spark):
+    rng = random.Random(3)
+    passages = [prose(rng, 51) for _ in range(40)] + [" ".join("Ωé€" + prose(rng, 1) for _ in range(51))]
+    passages.append("na" * 1500 + prose(rng, 60) + "na" * 1500)
+    rows = [(100 * k + i, f"{prose(rng, 30)}|{i}{p}{i}|{prose(rng, 30)}") for i, p in enumerate(passages) for k in (0, 1)]
+    rows = [(d, t.replace("|", "Δ" if d < 100 else "Θ")) for d, t in rows]
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), bits=16).collect()}
+    whole = 0
+    for i, p in enumerate(passages):
+        assert i >= 41 or got[i].removed_chars == 0
+        whole += max((s.stop - s.start for s in got[100 + i].spans), default=0) >= len(p)
+    assert whole >= len(passages) - 1
