@@ -4,22 +4,25 @@ Documents are nodes of random trees. At the root of each tree, and below it in e
 that is still large, a document moves to the child named by its minwise shingle under the
 node's own hash function, so similar documents tend to take the same path. Small nodes are
 compared exhaustively. Several independent trees bring recall to the target: below the root
-a document moves to two children, so a pair of similarity s >= 0.5 stays together in one
-tree with probability (2 * s - 1) / s or more however deep the tree is. Ten trees
-miss a pair at 0.8 about 1e-7 of the time in the first level and 1e-6 at any depth. Minima
-are taken over the full shingle sets, never over sketches.
-
-A node is small if its pairs between different components are at most ``SMALL_NODE`` times
-its members. Other nodes never emit all their pairs. From the second level on, each member's
-shingles that no other member of a large node has are counted; they bound its similarity
-to anything there, exactly, and members that cannot reach the threshold leave. The
-rest are compared with the member of the largest shared part, the links found are joined
-into components, and a node is done when it has one component, is compared exhaustively
-when it has become small, and else goes one level deeper. Nodes still open at the deepest
-level are finished exactly as well.
-
-Candidates are first estimated on bottom-k sketches, with a margin of four standard
-deviations, and then confirmed on the full shingle sets.
+a document moves to two children, so a pair of similarity s >= 0.5 that shares a root node
+stays together in one tree with probability (2 * s - 1) / s^2 or more however deep the tree
+is. Ten trees miss a pair at 0.8 about 1e-7 of the time in the first level and 1e-6 at any
+depth. Minima are taken over the full shingle sets, never over sketches.
+
+A level has three steps. Nodes with few pairs between different components are compared at
+once, and in every other node all members are compared with one central member. The links
+found are joined into components. Nodes that still have several components are compared
+exhaustively if they are of middle size; the rest go one level deeper. Before that, each
+member's shingles that no other member of a large node has are counted; they bound its
+similarity to anything there, exactly, and members that cannot reach the threshold leave.
+Nodes still large at the deepest level are compared exhaustively as well, so no pair that
+shares a path is left out.
+
+Exhaustive comparison is a join on the node whose condition holds the sizes and 256-bit
+minwise signatures, with a margin of four standard deviations (1 in 20,000 pairs exactly at
+the threshold falls below it); only likely pairs leave the join. They are confirmed on the
+full shingle sets: sets of documents with common partners meet in groups of bounded size,
+and a spanning set of links is kept.
 """
 
 from __future__ import annotations
@@ -30,108 +33,160 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrajobs.llm import bytescan as B
-from terrajobs.llm.common import narrowed, small_batches
+from terrajobs.llm.common import narrowed, released, small_batches
 from terrajobs.operators.components import edge_components
 from terrajobs.storage import discard, stash
 
-SKETCH = 64
-SMALL_NODE = 12
+BITS = 256
 TREES = 10
 DEPTH = 8
 BRANCHES = 2
+FEW = 12  # pairs a member, compared at once
+SMALL_NODE = 256  # pairs a member, compared once its components are known
+PIVOTS = 4
+BLOCK = 1 << 19  # shingles of the sets that meet in one task
+_WORDS = [f"w{i}" for i in range(BITS // 64)]
+_MEMBER = ["doc", "n", "s", "comp", *_WORDS]
 
 
 def _row_sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
+    for values, at in _row_shingles(batch, n):
+        for r in range(len(at) - 1):
+            yield np.unique(values[at[r] : at[r + 1]])
+
+
+def _row_shingles(batch: pa.RecordBatch, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for _, _, data, offsets in B.slices(batch.column("text")):
         data = B.LOWER[data]
         start, end, first = B.words(data, offsets)
-        values, at = B.shingles(B.span_hashes(data, start, end), first, n)
-        for r in range(len(at) - 1):
-            yield np.unique(values[at[r] : at[r + 1]])
+        yield B.shingles(B.span_hashes(data, start, end), first, n)
 
 
 def _tree_seeds(trees: int) -> np.ndarray:
-    return B.mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return B.mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
 def minwise_nodes(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The node that each seed's hash function names: its minwise shingle over the full set."""
-    return np.array([B.mix(B.mix(values ^ seed).min(keepdims=True) ^ seed)[0] for seed in seeds], np.uint64).view(np.int64)
+    """The node that each seed's hash function names: its minwise shingle over the full set.
+    Shingles are well mixed already, so an odd multiplier orders them at random."""
+    low = np.array([(values * seed).min() for seed in seeds], np.uint64)
+    return B.mix(low ^ B.mix(seeds)).view(np.int64)
 
 
 def child_nodes(values: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """The distinct children of ``nodes``, ``BRANCHES`` of each, that a set moves to."""
     salt = np.arange(1, BRANCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
-    seeds = B.mix(nodes.view(np.uint64)[:, None] ^ salt[None, :]).ravel()
+    seeds = B.mix(nodes.view(np.uint64)[:, None] ^ salt[None, :]).ravel() | np.uint64(1)
     return np.unique(minwise_nodes(values, seeds))
 
 
+def _minima(values: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The least product with each seed over the non-empty rows that start at ``at``."""
+    return np.stack([np.minimum.reduceat(values * seed, at) for seed in seeds], axis=1)
+
+
 def shingle_features(documents: DataFrame, n: int = 4, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, bottom-k sketch, first-level nodes) per row."""
+    """(doc_id, version, n_shingles, digest of the set, root nodes, signature) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _tree_seeds(trees)
+        bit_seeds = B.mix(np.arange(1, BITS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
         for batch in batches:
-            size, digest, sketch, nodes = [], [], [], []
-            for s in _row_sets(batch, n):
-                size.append(len(s))
-                if not len(s):
-                    digest.append(None), sketch.append(None), nodes.append(None)
-                    continue
-                low = s[:SKETCH]
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                sketch.append(low.tobytes())
-                nodes.append(minwise_nodes(s, seeds))
+            size, digest, nodes, signs = [], [], [], []
+            for values, at in _row_shingles(batch, n):
+                full = np.flatnonzero(np.diff(at))
+                for r in range(len(at) - 1):
+                    s = np.unique(values[at[r] : at[r + 1]])
+                    size.append(len(s))
+                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                node, sign = np.zeros((len(at) - 1, trees), np.int64), np.zeros((len(at) - 1, BITS // 64), np.int64)
+                if len(full):
+                    node[full] = B.mix(_minima(values, at[full], seeds) ^ B.mix(seeds)).view(np.int64)
+                    bit = B.mix(_minima(values, at[full], bit_seeds)) >> np.uint64(63)
+                    sign[full] = np.packbits(bit.astype(bool), axis=1).view(np.int64)
+                nodes.append(node)
+                signs.append(sign)
+            nodes = np.concatenate(nodes) if nodes else np.zeros((0, trees), np.int64)
+            signs = np.concatenate(signs) if signs else np.zeros((0, BITS // 64), np.int64)
+            roots = pa.ListArray.from_arrays(pa.array(np.arange(0, nodes.size + 1, trees, dtype=np.int32)), pa.array(nodes.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "sketch", "nodes"],
+                [batch.column("doc_id"), batch.column("version"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), roots, *(pa.array(np.ascontiguousarray(signs[:, k])) for k in range(BITS // 64))],
+                names=["doc_id", "version", "n_shingles", "digest", "nodes", *_WORDS],
             )
 
-    return small_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, sketch binary, nodes array<long>"
-    )
+    text = F.col(text_col).cast("string")
+    rows = small_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    return rows.mapInArrow(released(run), "doc_id long, version long, n_shingles long, digest binary, nodes array<long>, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
-def _measured(level: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Rows (node, doc, n, s) with their component and their node's size, largest component and
-    number of pairs between components; nodes of one component are left out."""
+def _with_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     if comps is None:
-        level = level.withColumn("comp", F.col("doc"))
+        return rows
+    return rows.join(comps, F.col("doc") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "doc")).drop("id", "component")
+
+
+def _measured(level: DataFrame, alone: bool = False) -> DataFrame:
+    """Rows of nodes with their node's size, largest component and number of pairs between
+    components; nodes of one component are left out. ``alone``: each row has its own."""
+    if alone:
+        nodes = level.groupBy("node").agg(F.count("*").alias("size"), F.count("*").alias("squares"), F.min("comp").alias("major"), F.min("n").alias("least_n"))
     else:
-        level = level.join(comps, F.col("doc") == F.col("id"), "left").select("node", "doc", "n", "s", F.coalesce("component", "doc").alias("comp"))
-    parts = level.groupBy("node", "comp").agg(F.count("*").alias("c"), F.min("n").alias("least_n"))
-    nodes = parts.groupBy("node").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("comp", F.struct("c", "comp")).alias("major"), F.min("least_n").alias("least_n"))
+        parts = level.groupBy("node", "comp").agg(F.count("*").alias("c"), F.min("n").alias("least_n"))
+        nodes = parts.groupBy("node").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("comp", F.struct("c", "comp")).alias("major"), F.min("least_n").alias("least_n"))
     nodes = nodes.selectExpr("node", "size", "(size * size - squares) div 2 as cross", "major", "least_n").filter("cross > 0")
     return level.join(nodes, "node")
 
 
+def _alike(x: str, y: str) -> str:
+    """How many bits of two members' signatures agree."""
+    return f"({BITS} - " + " - ".join(f"bit_count({x}{w} ^ {y}{w})" for w in _WORDS) + ")"
+
+
+def _least_alike(percent: int) -> int:
+    p = (1 + percent / 100) / 2
+    return int(BITS * p - 4 * (BITS * p * (1 - p)) ** 0.5)
+
+
+def _likely(x: str, y: str, percent: int) -> str:
+    """Whether members of these sizes, shared parts and signatures may be similar."""
+    sizes = f"{percent} * greatest({x}n, {y}n) <= 100 * least({x}n, {y}n)"
+    parts = f"{100 + percent} * least({x}s, {y}s) >= {percent} * ({x}n + {y}n)"
+    return f"{x}comp <> {y}comp and {sizes} and {parts} and {_alike(x, y)} >= {_least_alike(percent)}"
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a node's members of different components: its members outside the
+    """Likely pairs of a node's members of different components: its members outside the
     largest component against all."""
-    a = rows.filter("comp <> major").select("node", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("comp").alias("cx"))
-    b = rows.select("node", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("comp").alias("cy"), "major")
-    met = a.join(b, "node").filter("cx <> cy and (cy = major or x < y)").filter(_possible("nx", "ny", "sx", "sy", percent))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    a = rows.filter("comp <> major").select("node", *(F.col(c).alias(f"x_{c}") for c in _MEMBER))
+    b = rows.select("node", "major", *(F.col(c).alias(f"y_{c}") for c in _MEMBER))
+    return a.join(b, "node").filter(f"(y_comp = major or x_doc < y_doc) and {_likely('x_', 'y_', percent)}").select(_ordered("x_doc", "y_doc"))
 
 
-def _possible(n0: str, n1: str, s0: str, s1: str, percent: int) -> str:
-    """Whether sets of these sizes, of which these parts occur elsewhere, can be similar."""
-    return f"{percent} * greatest({n0}, {n1}) <= 100 * least({n0}, {n1}) and {100 + percent} * least({s0}, {s1}) >= {percent} * ({n0} + {n1})"
+def _pairs_with_centre(rows: DataFrame, percent: int) -> DataFrame:
+    """Each member with its node's central one: the most alike to a few members drawn by hash."""
+    member = F.struct(*_MEMBER)
+    drawn = rows.groupBy("node").agg(*(F.min_by(F.struct(*_WORDS), F.struct(F.xxhash64("doc", F.lit(i)), "doc")).alias(f"p{i}") for i in range(PIVOTS)))
+    likeness = F.expr(" + ".join(_alike("", f"p{i}.") for i in range(PIVOTS)))
+    centre = rows.join(drawn, "node").groupBy("node").agg(F.max_by(member, F.struct(likeness, -F.col("doc"))).alias("p"))
+    met = rows.join(centre, "node").filter(_likely("", "p.", percent))
+    return met.select(_ordered("p.doc", "doc"))
 
 
-def _pairs_with_pivot(rows: DataFrame, percent: int) -> DataFrame:
-    """Each member with the member of the largest shared part of its set."""
-    pivot = rows.groupBy("node").agg(F.max_by(F.struct("doc", "n", "s", "comp"), F.struct(F.col("s") / F.col("n"), -F.col("doc"))).alias("p"))
-    met = rows.join(pivot, "node").filter("p.doc <> doc and p.comp <> comp").filter(_possible("n", "p.n", "s", "p.s", percent))
-    return met.select(F.least("p.doc", "doc").alias("a"), F.greatest("p.doc", "doc").alias("b"))
+def _texts(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """Texts of the rows (doc, version, ...) of ``ids``; wide rows of others are dropped before the shuffle."""
+    return narrowed(documents, "doc", ids, "doc").join(ids, ["doc", "version"])
 
 
 def shared_parts(ids: DataFrame, documents: DataFrame, n: int) -> DataFrame:
-    """(doc, alone): how many shingles of each document no other one of ``ids`` has."""
+    """(doc, alone): how many shingles of each document (doc, version) no other one of ``ids`` has."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,87 +194,94 @@ def shared_parts(ids: DataFrame, documents: DataFrame, n: int) -> DataFrame:
                 if len(values):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), doc)), pa.array(values.view(np.int64))], names=["doc", "shingle"])
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    own = narrowed(docs, "doc", ids, "doc").join(ids, "doc", "left_semi").mapInArrow(sets, "doc long, shingle long")
+    own = _texts(ids, documents).select("doc", "text").mapInArrow(released(sets), "doc long, shingle long")
     single = own.groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).filter("doc = last")
     return single.groupBy("doc").agg(F.count("*").alias("alone"))
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose estimated similarity is within four deviations of the threshold."""
-    t = percent / 100
+def confirm(pairs: DataFrame, sizes: DataFrame, documents: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the same documents as all pairs with 100 * intersection >=
+    percent * union of their full sets do.
 
-    @F.pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = np.empty(len(x), bool)
-        for i, (p, q) in enumerate(zip(x, y, strict=True)):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            whole = len(p) < SKETCH and len(q) < SKETCH
-            top = np.uint64(2**64 - 1) if whole else min([s[-1] for s in (p, q) if len(s) == SKETCH])
-            p, q = p[p <= top], q[q <= top]
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            union = len(p) + len(q) - both
-            slack = 0 if whole else 4 * (t * (1 - t) / max(union, 1)) ** 0.5
-            out[i] = both >= (t - slack) * union - 1e-9
-        return pd.Series(out)
-
-    left = sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("sa"))
-    right = sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").filter(near("sa", "sb")).select("a", "b")
-
-
-def confirm(pairs: DataFrame, documents: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ``sizes`` has (doc, n, version). Pairs meet at the smallest id within two steps of either
+    end, so stars and cliques of pairs need each set once. Homes share tasks' groups of about
+    ``block`` shingles; a larger home is split into blocks, with a group for each pair of
+    blocks. A pair whose ends are joined already is passed over.
+    """
+    sides = pairs.union(pairs.select("b", "a")).toDF("doc", "other")
+    near = sides.groupBy("doc").agg(F.least("doc", F.min("other")).alias("home"))
+    near = sides.join(near.toDF("other", "home"), "other").groupBy("doc").agg(F.min("home").alias("home"))
+    near = stash(near.join(sizes, "doc"), "near")
+    home = F.least("ha", "hb")
+    homed = pairs.join(near.selectExpr("doc as a", "home as ha", "n as na", "version as va"), "a").join(near.selectExpr("doc as b", "home as hb", "n as nb", "version as vb"), "b")
+    homed = stash(homed.select("a", "b", "va", "vb", home.alias("home"), "na", "nb"), "homed")
+    ends = homed.selectExpr("home", "a as doc", "na as n").union(homed.select("home", "b", "nb")).distinct()
+    weights = stash(ends.groupBy("home").agg(F.sum("n").alias("weight")), "weights")
+    total = weights.agg(F.sum("weight")).first()[0] or 0
+    parts = F.ceil(F.col("weight") / block).cast("long")
+    own_part = [F.when(parts > 1, F.pmod(F.xxhash64(c), parts)).otherwise(F.lit(-1)) for c in ("a", "b")]
+    bucket = F.when(parts > 1, F.col("home")).otherwise(F.pmod(F.xxhash64("home"), F.lit(max(1, total // block))))
+    keyed = homed.join(weights, "home").select(F.xxhash64(bucket, F.least(*own_part), F.greatest(*own_part)).alias("key"), "a", "b", "va", "vb")
+    keyed = stash(keyed, "keyed")
+    ends = keyed.selectExpr("key", "a as doc", "va as version").union(keyed.select("key", "b", "vb"))
+    needed = ends.groupBy("doc", "version").agg(F.collect_set("key").alias("keys"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = pa.array([s.tobytes() for s in _row_sets(batch, n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), whole], names=["doc", "whole"])
-
-    docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    found = stash(narrowed(docs, "doc", ids).mapInArrow(sets, "doc long, whole binary").join(ids.withColumnRenamed("id", "doc"), "doc", "left_semi"), "sets")
-
-    @F.pandas_udf("boolean")
-    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = np.empty(len(x), bool)
-        for i, (p, q) in enumerate(zip(x, y, strict=True)):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out[i] = 100 * both >= percent * (len(p) + len(q) - both)
-        return pd.Series(out)
-
-    links = stash(
-        pairs.join(found.select(F.col("doc").alias("a"), F.col("whole").alias("wa")), "a")
-        .join(found.select(F.col("doc").alias("b"), F.col("whole").alias("wb")), "b")
-        .filter(similar("wa", "wb"))
-        .select("a", "b")
-        .distinct(),
-        "links",
-    )
-    discard(found)
+            for doc, keys, own in zip(batch.column("doc").to_pylist(), batch.column("keys").to_pylist(), _row_sets(batch, n), strict=True):
+                whole = own.tobytes()
+                for key in keys:
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([doc]), pa.array([whole], pa.binary())], names=["key", "doc", "whole"])
+
+    def span(met: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        whole = {d: np.frombuffer(w, np.uint64) for d, w in zip(own["doc"].tolist(), own["whole"], strict=True)}
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := up.get(x, x)) != x:
+                up[x] = up.get(p, p)
+                x = p
+            return x
+
+        found = []
+        for a, b in zip(met["a"].tolist(), met["b"].tolist(), strict=True):
+            ra, rb = root(a), root(b)
+            if ra != rb:
+                p, q = whole[a], whole[b]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    up[rb] = ra
+                    found.append((a, b))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    given = _texts(needed, documents).select("doc", "keys", "text").mapInArrow(released(sets), "key long, doc long, whole binary")
+    links = stash(keyed.groupBy("key").cogroup(given.groupBy("key")).applyInPandas(span, "a long, b long"), "links")
+    discard(near, homed, weights, keyed)
     return links
 
 
-def _children(rows: DataFrame, documents: DataFrame, n: int) -> DataFrame:
+def _children(rows: DataFrame, comps: DataFrame | None, sizes: DataFrame, documents: DataFrame, n: int) -> DataFrame:
     """Each row's next nodes, from the full shingle sets of the documents still in open nodes."""
+    same = [c for c in _MEMBER if c != "doc"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = zip(*(batch.column(c) for c in ("doc", "n", "s", "nodes")), _row_sets(batch, n), strict=True)
-            for doc, size, shared, nodes, own in values:
+            child, count = [], np.zeros(batch.num_rows, np.int64)
+            for i, (nodes, own) in enumerate(zip(batch.column("nodes"), _row_sets(batch, n), strict=True)):
                 if len(own):
-                    child = child_nodes(own, np.array(nodes.as_py(), np.int64))
-                    same = [pa.array(np.full(len(child), x.as_py(), np.int64)) for x in (doc, size, shared)]
-                    yield pa.RecordBatch.from_arrays([pa.array(child), *same], names=["node", "doc", "n", "s"])
+                    child.append(child_nodes(own, np.array(nodes.as_py(), np.int64)))
+                    count[i] = len(child[-1])
+            if child:
+                at = pa.array(np.repeat(np.arange(batch.num_rows), count))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(child)), *(batch.column(c).take(at) for c in _MEMBER)], names=["node", *_MEMBER])
 
-    held = rows.groupBy("doc").agg(F.max("n").alias("n"), F.max("s").alias("s"), F.collect_set("node").alias("nodes"))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    return narrowed(docs, "doc", rows.select("doc"), "doc").join(held, "doc").mapInArrow(step, "node long, doc long, n long, s long").distinct()
+    held = rows.groupBy("doc").agg(*(F.first(c).alias(c) for c in same), F.collect_set("node").alias("nodes"))
+    held = _with_components(held, comps).join(sizes.select("doc", "version"), "doc")
+    return _texts(held, documents).select("text", "nodes", *_MEMBER).mapInArrow(released(step), "node long, " + ", ".join(f"{c} long" for c in _MEMBER)).distinct()
 
 
 def near_duplicates(
-    documents: DataFrame, n: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, small: int = SMALL_NODE, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, n: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, few: int = FEW, small: int = SMALL_NODE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id) for each document.
 
@@ -228,52 +290,66 @@ def near_duplicates(
     Documents with 100 * intersection >= percent * union are linked, and ``component_id`` is
     the smallest id reachable. Null, empty and blank texts have no set and are linked with
     nothing. Documents of equal sets form a class first (``class_id``, its smallest id), so
-    a class of any size takes part as one. A null id is never linked and is kept. Ids are
-    expected to be unique; identical repeated rows give identical results. Extra columns
-    are not read.
+    a class of any size takes part as one. A null id is never linked and is kept. Repeated
+    rows give repeated results; if rows of one id differ, the one whose set has the smallest
+    digest stands for the id in links with others. Texts of any length are taken whole. An
+    empty table gives an empty result. Extra columns are not read.
     """
     feats = stash(shingle_features(documents, n, trees, id_col, text_col), "features")
-    classes = feats.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    members = stash(feats.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", "class_id"), "members")
-    heads = members.filter("doc_id = class_id").select(F.col("class_id").alias("doc")).distinct()
-    reps = stash(feats.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch", "nodes").join(heads, "doc", "left_semi").dropDuplicates(["doc"]), "reps")
-    sketches = reps.select("doc", "sketch")
-    texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-
-    level = reps.select(F.explode("nodes").alias("node"), "doc", "n", F.col("n").alias("s")).distinct()
-    links, comps, left, moved, bounds = None, None, None, None, None
-    few, many = F.col("cross") <= small * F.col("size"), F.col("cross") > small * F.col("size")
-    row = ["node", "doc", "n", "s"]
+    known = feats.filter("digest is not null and doc_id is not null")
+    taken = ["n", "version", "nodes", *_WORDS]
+    named = known.select("digest", F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "version", "nodes", *_WORDS)
+    classes = named.groupBy("digest").agg(F.min_by(F.struct("doc", *taken), F.struct("doc", "version")).alias("r")).select("digest", "r.*")
+    reps = stash(classes.groupBy("doc").agg(F.min_by(F.struct(*taken), "digest").alias("r")).select("doc", "r.*"), "reps")
+    class_ids = known.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    members = stash(feats.select("doc_id", "n_shingles", "digest").join(class_ids, "digest", "left").select("doc_id", "n_shingles", "class_id"), "members")
+    discard(feats)
+    sizes = reps.select("doc", "n", "version")
+    text = F.col(text_col).cast("string")
+    texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
+
+    found: list[DataFrame] = []
+    comps, bounds = None, None
+
+    def join_up(pairs: DataFrame) -> bool:
+        """Confirm pairs and bring the components up to date."""
+        nonlocal comps
+        likely = stash(pairs.distinct(), "likely")
+        if not likely.limit(1).count():
+            return False
+        links = confirm(likely, sizes, texts, n, percent)
+        discard(likely)
+        if not links.limit(1).count():
+            return False
+        found.append(links)
+        whole = found[0]
+        for part in found[1:]:
+            whole = whole.unionByName(part)
+        old, comps = comps, edge_components(whole, "a", "b")
+        discard(old)
+        return True
+
+    row = ["node", *_MEMBER]
+    level = reps.select(F.explode(F.array_distinct("nodes")).alias("node"), "doc", "n", F.col("n").alias("s"), F.col("doc").alias("comp"), *_WORDS)
     for k in range(depth):
-        rows, used = stash(_measured(level, comps), "level"), [x for x in (left, moved) if x is not None]
-        todo, large = rows.filter(few), rows.filter(many)
-        open_ = large.limit(1).count()
-        if open_ and k > 0:
-            if bounds is None:
-                bounds = stash(shared_parts(large.select("doc").distinct(), texts, n), "bounds")
-            held = large.join(bounds, "doc", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
-            held = held.filter(f"{100 + percent} * s >= {percent} * (n + least_n) and s * 100 >= n * {percent}").select(row)
-            pruned = stash(_measured(held, comps), "pruned")
-            todo, large = todo.unionByName(pruned.filter(few)), pruned.filter(many)
-            open_ = large.limit(1).count()
-        pairs = _pairs_across(todo, percent)
-        if open_ and k == depth - 1:
-            pairs = pairs.unionByName(_pairs_across(large, percent))
-        elif open_ and k > 0:
-            pairs = pairs.unionByName(_pairs_with_pivot(large, percent))
-        likely = stash(_likely(pairs.distinct(), sketches, percent), "likely")
-        if likely.limit(1).count():
-            new = confirm(likely, texts, n, percent)
-            if new.limit(1).count():
-                links = new if links is None else links.union(new)
-                comps = edge_components(links, "a", "b")
-        discard(likely, *used)
-        if k == depth - 1 or not open_:
-            break
-        left = stash(_measured(large.select(row), comps), "open")
-        moved = stash(_children(left.filter(many).select(row), texts, n), "children")
-        level = left.filter(few).select(row).unionByName(moved)
+        rows = stash(_measured(level, alone=k == 0), "level")
+        wide = rows.filter(F.col("cross") > few * F.col("size"))
+        join_up(_pairs_across(rows.filter(F.col("cross") <= few * F.col("size")), percent).unionByName(_pairs_with_centre(wide, percent)))
+        open_ = stash(_measured(_with_components(wide.select(row), comps)), "open")
         discard(rows)
+        last = k == depth - 1
+        large = F.col("cross") > small * F.col("size")
+        join_up(_pairs_across(open_ if last else open_.filter(~large), percent))
+        rest = open_.filter(large).select(row)
+        if last or not rest.limit(1).count():
+            discard(open_)
+            break
+        if bounds is None:
+            bounds = stash(shared_parts(sizes.join(rest.select("doc"), "doc", "left_semi").select("doc", "version"), texts, n), "bounds")
+            rest = open_.filter(large).join(bounds, "doc", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
+            rest = rest.filter(f"{100 + percent} * s >= {percent} * (n + least_n) and s * 100 >= n * {percent}").select(row)
+        old, level = level, stash(_children(rest, comps, sizes, texts, n), "children")
+        discard(open_, old)
     if comps is None:
         out = members.withColumn("component_id", F.coalesce("class_id", "doc_id"))
     else:

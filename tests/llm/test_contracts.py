@@ -89,7 +89,7 @@ def test_large_nodes_and_deep_trees(spark):
         rows.append((i, " ".join(w) + " " + " ".join(base[:20])))
     rows += [(1000 + i, prose(rng, 60, "q") + " " + " ".join(base[:12])) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = near_dedup.near_duplicates(df, n=4, small=1, depth=3).collect()
+    got = near_dedup.near_duplicates(df, n=4, few=1, small=1, depth=3).collect()
     assert all(r.component_id == (0 if r.doc_id < 1000 else r.doc_id) for r in got)
 
 
@@ -101,7 +101,7 @@ def test_pairs_in_nodes_open_to_the_last_level(spark):
         whole = common + rng.sample(pool, 40)
         rows += [(2 * i, " ".join(whole)), (2 * i + 1, " ".join(rng.sample(whole, 160)))]  # a part of 0.8
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, n=1, small=1).collect()}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, n=1, few=0, small=0).collect()}
     assert got == {i: i - i % 2 for i in got} and len(got) == 120
 
 
