@@ -11,15 +11,16 @@ depth. Minima are taken over the full shingle sets, never over sketches.
 
 A level has three steps. Nodes with few pairs between different components are compared at
 once, and in every other node all members are compared with one central member. The links
-found are joined into components. Nodes that still have several components are compared
-exhaustively if they are of middle size; the rest go one level deeper. Before that, each
-member's shingles that no other member of a large node has are counted; they bound its
-similarity to anything there, exactly, and members that cannot reach the threshold leave.
+found are joined into components. In nodes that still have several, each member's shingles
+that no other member of such a node has are counted; they bound its similarity to anything
+there, exactly, and members that cannot reach the threshold leave; the others get longer
+signatures. Then nodes of middle size
+are compared exhaustively, and larger ones go one level deeper.
 Nodes still large at the deepest level are compared exhaustively as well, so no pair that
 shares a path is left out.
 
 Exhaustive comparison is a join on the node whose condition holds the sizes and 256-bit
-minwise signatures, with a margin of four standard deviations (1 in 20,000 pairs exactly at
+(later 1024-bit) minwise signatures, with a margin of four standard deviations (1 in 20,000 pairs exactly at
 the threshold falls below it); only likely pairs leave the join. They are confirmed on the
 full shingle sets: sets of documents with common partners meet in groups of bounded size,
 and a spanning set of links is kept.
@@ -42,6 +43,7 @@ from terrajobs.operators.components import edge_components
 from terrajobs.storage import discard, stash
 
 BITS = 256
+LONG_BITS = 1024  # of documents in nodes that stay open
 TREES = 10
 DEPTH = 8
 BRANCHES = 2
@@ -49,8 +51,14 @@ FEW = 12  # pairs a member, compared at once
 SMALL_NODE = 256  # pairs a member, compared once its components are known
 PIVOTS = 4
 BLOCK = 1 << 19  # shingles of the sets that meet in one task
-_WORDS = [f"w{i}" for i in range(BITS // 64)]
-_MEMBER = ["doc", "n", "s", "comp", *_WORDS]
+
+
+def _words(bits: int = BITS) -> list[str]:
+    return [f"w{i}" for i in range(bits // 64)]
+
+
+def _member(bits: int) -> list[str]:
+    return ["doc", "n", "s", "comp", *_words(bits)]
 
 
 def _row_sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -89,12 +97,20 @@ def _minima(values: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> np.ndarray
     return np.stack([np.minimum.reduceat(values * seed, at) for seed in seeds], axis=1)
 
 
+def _signatures(values: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """A row of 64-bit words per row: one bit of the minwise shingle under each of ``bits`` orders."""
+    out, full = np.zeros((len(at) - 1, bits // 64), np.int64), np.flatnonzero(np.diff(at))
+    if len(full):
+        seeds = B.mix(np.arange(1, bits + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+        out[full] = np.packbits((B.mix(_minima(values, at[full], seeds)) >> np.uint64(63)).astype(bool), axis=1).view(np.int64)
+    return out
+
+
 def shingle_features(documents: DataFrame, n: int = 4, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, version, n_shingles, digest of the set, root nodes, signature) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _tree_seeds(trees)
-        bit_seeds = B.mix(np.arange(1, BITS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
         for batch in batches:
             size, digest, nodes, signs = [], [], [], []
             for values, at in _row_shingles(batch, n):
@@ -103,24 +119,22 @@ def shingle_features(documents: DataFrame, n: int = 4, trees: int = TREES, id_co
                     s = np.unique(values[at[r] : at[r + 1]])
                     size.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                node, sign = np.zeros((len(at) - 1, trees), np.int64), np.zeros((len(at) - 1, BITS // 64), np.int64)
+                node = np.zeros((len(at) - 1, trees), np.int64)
                 if len(full):
                     node[full] = B.mix(_minima(values, at[full], seeds) ^ B.mix(seeds)).view(np.int64)
-                    bit = B.mix(_minima(values, at[full], bit_seeds)) >> np.uint64(63)
-                    sign[full] = np.packbits(bit.astype(bool), axis=1).view(np.int64)
                 nodes.append(node)
-                signs.append(sign)
+                signs.append(_signatures(values, at, BITS))
             nodes = np.concatenate(nodes) if nodes else np.zeros((0, trees), np.int64)
             signs = np.concatenate(signs) if signs else np.zeros((0, BITS // 64), np.int64)
             roots = pa.ListArray.from_arrays(pa.array(np.arange(0, nodes.size + 1, trees, dtype=np.int32)), pa.array(nodes.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("version"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), roots, *(pa.array(np.ascontiguousarray(signs[:, k])) for k in range(BITS // 64))],
-                names=["doc_id", "version", "n_shingles", "digest", "nodes", *_WORDS],
+                names=["doc_id", "version", "n_shingles", "digest", "nodes", *_words()],
             )
 
     text = F.col(text_col).cast("string")
     rows = small_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    return rows.mapInArrow(released(run), "doc_id long, version long, n_shingles long, digest binary, nodes array<long>, " + ", ".join(f"{w} long" for w in _WORDS))
+    return rows.mapInArrow(released(run), "doc_id long, version long, n_shingles long, digest binary, nodes array<long>, " + ", ".join(f"{w} long" for w in _words()))
 
 
 def _with_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -141,42 +155,42 @@ def _measured(level: DataFrame, alone: bool = False) -> DataFrame:
     return level.join(nodes, "node")
 
 
-def _alike(x: str, y: str) -> str:
+def _alike(x: str, y: str, bits: int) -> str:
     """How many bits of two members' signatures agree."""
-    return f"({BITS} - " + " - ".join(f"bit_count({x}{w} ^ {y}{w})" for w in _WORDS) + ")"
+    return f"({bits} - " + " - ".join(f"bit_count({x}{w} ^ {y}{w})" for w in _words(bits)) + ")"
 
 
-def _least_alike(percent: int) -> int:
+def _least_alike(percent: int, bits: int) -> int:
     p = (1 + percent / 100) / 2
-    return int(BITS * p - 4 * (BITS * p * (1 - p)) ** 0.5)
+    return int(bits * p - 4 * (bits * p * (1 - p)) ** 0.5)
 
 
-def _likely(x: str, y: str, percent: int) -> str:
+def _likely(x: str, y: str, percent: int, bits: int) -> str:
     """Whether members of these sizes, shared parts and signatures may be similar."""
     sizes = f"{percent} * greatest({x}n, {y}n) <= 100 * least({x}n, {y}n)"
     parts = f"{100 + percent} * least({x}s, {y}s) >= {percent} * ({x}n + {y}n)"
-    return f"{x}comp <> {y}comp and {sizes} and {parts} and {_alike(x, y)} >= {_least_alike(percent)}"
+    return f"{x}comp <> {y}comp and {sizes} and {parts} and {_alike(x, y, bits)} >= {_least_alike(percent, bits)}"
 
 
 def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
+def _pairs_across(rows: DataFrame, percent: int, bits: int) -> DataFrame:
     """Likely pairs of a node's members of different components: its members outside the
     largest component against all."""
-    a = rows.filter("comp <> major").select("node", *(F.col(c).alias(f"x_{c}") for c in _MEMBER))
-    b = rows.select("node", "major", *(F.col(c).alias(f"y_{c}") for c in _MEMBER))
-    return a.join(b, "node").filter(f"(y_comp = major or x_doc < y_doc) and {_likely('x_', 'y_', percent)}").select(_ordered("x_doc", "y_doc"))
+    a = rows.filter("comp <> major").select("node", *(F.col(c).alias(f"x_{c}") for c in _member(bits)))
+    b = rows.select("node", "major", *(F.col(c).alias(f"y_{c}") for c in _member(bits)))
+    return a.join(b, "node").filter(f"(y_comp = major or x_doc < y_doc) and {_likely('x_', 'y_', percent, bits)}").select(_ordered("x_doc", "y_doc"))
 
 
-def _pairs_with_centre(rows: DataFrame, percent: int) -> DataFrame:
+def _pairs_with_centre(rows: DataFrame, percent: int, bits: int) -> DataFrame:
     """Each member with its node's central one: the most alike to a few members drawn by hash."""
-    member = F.struct(*_MEMBER)
-    drawn = rows.groupBy("node").agg(*(F.min_by(F.struct(*_WORDS), F.struct(F.xxhash64("doc", F.lit(i)), "doc")).alias(f"p{i}") for i in range(PIVOTS)))
-    likeness = F.expr(" + ".join(_alike("", f"p{i}.") for i in range(PIVOTS)))
+    member = F.struct(*_member(bits))
+    drawn = rows.groupBy("node").agg(*(F.min_by(F.struct(*_words(bits)), F.struct(F.xxhash64("doc", F.lit(i)), "doc")).alias(f"p{i}") for i in range(PIVOTS)))
+    likeness = F.expr(" + ".join(_alike("", f"p{i}.", bits) for i in range(PIVOTS)))
     centre = rows.join(drawn, "node").groupBy("node").agg(F.max_by(member, F.struct(likeness, -F.col("doc"))).alias("p"))
-    met = rows.join(centre, "node").filter(_likely("", "p.", percent))
+    met = rows.join(centre, "node").filter(_likely("", "p.", percent, bits))
     return met.select(_ordered("p.doc", "doc"))
 
 
@@ -199,19 +213,28 @@ def shared_parts(ids: DataFrame, documents: DataFrame, n: int) -> DataFrame:
     return single.groupBy("doc").agg(F.count("*").alias("alone"))
 
 
+def long_signatures(ids: DataFrame, documents: DataFrame, n: int, bits: int = LONG_BITS) -> DataFrame:
+    """(doc, signature) of the documents (doc, version) of ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = np.concatenate([_signatures(values, at, bits) for values, at in _row_shingles(batch, n)] or [np.zeros((0, bits // 64), np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(np.ascontiguousarray(signs[:, k])) for k in range(bits // 64))], names=["doc", *_words(bits)])
+
+    return _texts(ids, documents).select("doc", "text").mapInArrow(released(run), "doc long, " + ", ".join(f"{w} long" for w in _words(bits))).dropDuplicates(["doc"])
+
+
 def confirm(pairs: DataFrame, sizes: DataFrame, documents: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join the same documents as all pairs with 100 * intersection >=
     percent * union of their full sets do.
 
-    ``sizes`` has (doc, n, version). Pairs meet at the smallest id within two steps of either
-    end, so stars and cliques of pairs need each set once. Homes share tasks' groups of about
+    ``sizes`` has (doc, n, version). Pairs meet at the smallest id among their ends and
+    the partners of these, so stars and cliques of pairs need each set once. Homes share tasks' groups of about
     ``block`` shingles; a larger home is split into blocks, with a group for each pair of
     blocks. A pair whose ends are joined already is passed over.
     """
     sides = pairs.union(pairs.select("b", "a")).toDF("doc", "other")
-    near = sides.groupBy("doc").agg(F.least("doc", F.min("other")).alias("home"))
-    near = sides.join(near.toDF("other", "home"), "other").groupBy("doc").agg(F.min("home").alias("home"))
-    near = stash(near.join(sizes, "doc"), "near")
+    near = stash(sides.groupBy("doc").agg(F.least("doc", F.min("other")).alias("home")).join(sizes, "doc"), "near")
     home = F.least("ha", "hb")
     homed = pairs.join(near.selectExpr("doc as a", "home as ha", "n as na", "version as va"), "a").join(near.selectExpr("doc as b", "home as hb", "n as nb", "version as vb"), "b")
     homed = stash(homed.select("a", "b", "va", "vb", home.alias("home"), "na", "nb"), "homed")
@@ -262,7 +285,8 @@ def confirm(pairs: DataFrame, sizes: DataFrame, documents: DataFrame, n: int, pe
 
 def _children(rows: DataFrame, comps: DataFrame | None, sizes: DataFrame, documents: DataFrame, n: int) -> DataFrame:
     """Each row's next nodes, from the full shingle sets of the documents still in open nodes."""
-    same = [c for c in _MEMBER if c != "doc"]
+    member = _member(LONG_BITS)
+    same = [c for c in member if c != "doc"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,11 +297,11 @@ def _children(rows: DataFrame, comps: DataFrame | None, sizes: DataFrame, docume
                     count[i] = len(child[-1])
             if child:
                 at = pa.array(np.repeat(np.arange(batch.num_rows), count))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(child)), *(batch.column(c).take(at) for c in _MEMBER)], names=["node", *_MEMBER])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(child)), *(batch.column(c).take(at) for c in member)], names=["node", *member])
 
     held = rows.groupBy("doc").agg(*(F.first(c).alias(c) for c in same), F.collect_set("node").alias("nodes"))
     held = _with_components(held, comps).join(sizes.select("doc", "version"), "doc")
-    return _texts(held, documents).select("text", "nodes", *_MEMBER).mapInArrow(released(step), "node long, " + ", ".join(f"{c} long" for c in _MEMBER)).distinct()
+    return _texts(held, documents).select("text", "nodes", *member).mapInArrow(released(step), "node long, " + ", ".join(f"{c} long" for c in member)).distinct()
 
 
 def near_duplicates(
@@ -297,8 +321,8 @@ def near_duplicates(
     """
     feats = stash(shingle_features(documents, n, trees, id_col, text_col), "features")
     known = feats.filter("digest is not null and doc_id is not null")
-    taken = ["n", "version", "nodes", *_WORDS]
-    named = known.select("digest", F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "version", "nodes", *_WORDS)
+    taken = ["n", "version", "nodes", *_words()]
+    named = known.select("digest", F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "version", "nodes", *_words())
     classes = named.groupBy("digest").agg(F.min_by(F.struct("doc", *taken), F.struct("doc", "version")).alias("r")).select("digest", "r.*")
     reps = stash(classes.groupBy("doc").agg(F.min_by(F.struct(*taken), "digest").alias("r")).select("doc", "r.*"), "reps")
     class_ids = known.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
@@ -309,16 +333,20 @@ def near_duplicates(
     texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
 
     found: list[DataFrame] = []
+    tested: list[DataFrame] = []
     comps, bounds = None, None
 
     def join_up(pairs: DataFrame) -> bool:
         """Confirm pairs and bring the components up to date."""
         nonlocal comps
-        likely = stash(pairs.distinct(), "likely")
+        pairs = pairs.distinct()
+        for before in tested:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        likely = stash(pairs, "likely")
         if not likely.limit(1).count():
             return False
+        tested.append(likely)
         links = confirm(likely, sizes, texts, n, percent)
-        discard(likely)
         if not links.limit(1).count():
             return False
         found.append(links)
@@ -329,27 +357,35 @@ def near_duplicates(
         discard(old)
         return True
 
-    row = ["node", *_MEMBER]
-    level = reps.select(F.explode(F.array_distinct("nodes")).alias("node"), "doc", "n", F.col("n").alias("s"), F.col("doc").alias("comp"), *_WORDS)
+    bits = BITS
+    level = reps.select(F.explode(F.array_distinct("nodes")).alias("node"), "doc", "n", F.col("n").alias("s"), F.col("doc").alias("comp"), *_words())
     for k in range(depth):
         rows = stash(_measured(level, alone=k == 0), "level")
         wide = rows.filter(F.col("cross") > few * F.col("size"))
-        join_up(_pairs_across(rows.filter(F.col("cross") <= few * F.col("size")), percent).unionByName(_pairs_with_centre(wide, percent)))
-        open_ = stash(_measured(_with_components(wide.select(row), comps)), "open")
+        join_up(_pairs_across(rows.filter(F.col("cross") <= few * F.col("size")), percent, bits).unionByName(_pairs_with_centre(wide, percent, bits)))
+        open_ = stash(_measured(_with_components(wide.select("node", *_member(bits)), comps)), "open")
         discard(rows)
+        if not open_.limit(1).count():
+            discard(open_)
+            break
+        if bounds is None:
+            ids = stash(sizes.join(open_.select("doc"), "doc", "left_semi").select("doc", "version"), "ids")
+            bounds = stash(long_signatures(ids, texts, n).join(shared_parts(ids, texts, n), "doc", "left"), "bounds")
+            held = open_.drop(*_words(bits)).join(bounds, "doc").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
+            bits = LONG_BITS
+            held = held.filter(f"{100 + percent} * s >= {percent} * (n + least_n) and s * 100 >= n * {percent}").select("node", *_member(bits))
+            old, open_ = open_, stash(_measured(held), "held")
+            discard(old)
         last = k == depth - 1
         large = F.col("cross") > small * F.col("size")
-        join_up(_pairs_across(open_ if last else open_.filter(~large), percent))
-        rest = open_.filter(large).select(row)
+        join_up(_pairs_across(open_ if last else open_.filter(~large), percent, bits))
+        rest = open_.filter(large).select("node", *_member(bits))
         if last or not rest.limit(1).count():
             discard(open_)
             break
-        if bounds is None:
-            bounds = stash(shared_parts(sizes.join(rest.select("doc"), "doc", "left_semi").select("doc", "version"), texts, n), "bounds")
-            rest = open_.filter(large).join(bounds, "doc", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
-            rest = rest.filter(f"{100 + percent} * s >= {percent} * (n + least_n) and s * 100 >= n * {percent}").select(row)
         old, level = level, stash(_children(rest, comps, sizes, texts, n), "children")
         discard(open_, old)
+    discard(*tested)
     if comps is None:
         out = members.withColumn("component_id", F.coalesce("class_id", "doc_id"))
     else:
