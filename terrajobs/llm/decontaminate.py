@@ -3,7 +3,7 @@
 Each mask samples a window of words at fixed places and ignores the others, so windows
 still meet if words at ignored places differ. Training windows whose hash passes a filter
 of the benchmark's hashes are joined with them, and each meeting is verified along its
-diagonal with substitutions allowed. The filter has a fixed number of bits whatever the
+diagonal with substitutions allowed, ``RADIUS`` words to each side; what meets is joined. The filter has a fixed number of bits whatever the
 benchmark's size; when it fills up, more windows reach the join, which decides alone.
 """
 
@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrajobs.llm import bytescan as B
-from terrajobs.llm.common import small_batches, without_ids
+from terrajobs.llm.common import released, small_batches, without_ids
 from terrajobs.storage import stash
 
 # The masks, 1 for a word that counts.
@@ -85,7 +85,7 @@ def windows(texts: DataFrame, absent: int, bits: list[np.ndarray] | None = None)
                     names=["id", "hash", "place", "context"],
                 )
 
-    return small_batches(texts).mapInArrow(run, "id long, hash long, place long, context binary")
+    return small_batches(texts).mapInArrow(released(run), "id long, hash long, place long, context binary")
 
 
 def hash_filter(hashes: DataFrame) -> list[np.ndarray]:
@@ -124,12 +124,13 @@ def overlap(doc: pd.Series, item: pd.Series) -> pd.DataFrame:
         n0, m0 = _reach(equal[:RADIUS][::-1])
         inside = q != ABSENT_ITEM
         whole = bool(inside.sum() < 2 * RADIUS and (equal & inside).sum() * 100 >= MIN_SHARE * inside.sum())
-        out.append((n0 + n1, m0 + m1, whole))
-    return pd.DataFrame(out, columns=["words", "matches", "whole"]).astype({"words": "int32", "matches": "int32", "whole": "bool"})
+        out.append((n0, n1, m0 + m1, whole))
+    return pd.DataFrame(out, columns=["before", "after", "matches", "whole"]).astype({"before": "int32", "after": "int32", "matches": "int32", "whole": "bool"})
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(doc_id, item_id, words): verified overlaps, the longest of each pair.
+    """(doc_id, item_id, words): verified overlaps, the longest of each pair. Stretches of one
+    diagonal that meet are one overlap, so its length has no limit.
 
     Words are lower-cased (A-Z) runs without ASCII white space. An overlap is a stretch on
     one diagonal around a seed in which at least ``MIN_WORDS`` words are equal and make up
@@ -139,15 +140,20 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null")
     known = stash(windows(items, ABSENT_ITEM), "seeds")
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    compare = F.pandas_udf(overlap, "struct<words:int,matches:int,whole:boolean>")
+    compare = F.pandas_udf(overlap, "struct<before:int,after:int,matches:int,whole:boolean>")
     hits = windows(docs, ABSENT_DOC, hash_filter(known))
     met = (
         hits.select(F.col("id").alias("doc_id"), "hash", F.col("place").alias("dp"), F.col("context").alias("dc"))
         .join(known.select(F.col("id").alias("item_id"), "hash", F.col("place").alias("ip"), F.col("context").alias("ic")), "hash")
-        .select("doc_id", "item_id", compare("dc", "ic").alias("o"))
+        .select("doc_id", "item_id", (F.col("dp") - F.col("ip")).alias("diagonal"), "dp", compare("dc", "ic").alias("o"))
     )
-    good = (F.col("o.matches") >= MIN_WORDS) & (F.col("o.matches") * 100 >= F.col("o.words") * MIN_SHARE) | F.col("o.whole")
-    return met.filter(good).groupBy("doc_id", "item_id").agg(F.max("o.words").cast("long").alias("words"))
+    good = (F.col("o.matches") >= MIN_WORDS) & (F.col("o.matches") * 100 >= (F.col("o.before") + F.col("o.after")) * MIN_SHARE) | F.col("o.whole")
+    parts = met.filter(good).select("doc_id", "item_id", "diagonal", (F.col("dp") - F.col("o.before")).alias("lo"), (F.col("dp") + F.col("o.after")).alias("hi")).distinct()
+    line = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("lo", "hi")
+    fresh = F.coalesce(F.col("lo") > F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    parts = parts.withColumn("fresh", fresh.cast("int")).withColumn("stretch", F.sum("fresh").over(line))
+    stretches = parts.groupBy("doc_id", "item_id", "diagonal", "stretch").agg((F.max("hi") - F.min("lo")).alias("words"))
+    return stretches.groupBy("doc_id", "item_id").agg(F.max("words").cast("long").alias("words"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

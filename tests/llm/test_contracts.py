@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrajobs.llm import bytescan, chat_format, decontaminate, language_id, line_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, substring_dedup
 
@@ -159,15 +160,19 @@ def test_language_model(spark, none):
 
 
 def brute_lines(rows, run):
-    seen, out = {}, {}
+    seen, out = set(), {}
     solid = {i: [(k, x.strip(" \t\x0b\f\r")) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\x0b\f\r")] for i, t in rows}
     for i in sorted(solid):
         gone = set()
-        for k in range(len(solid[i]) - run + 1):
-            gram = tuple(x for _, x in solid[i][k : k + run])
-            if gram in seen:
-                gone.update(n for n, _ in solid[i][k : k + run])
-            seen.setdefault(gram, (i, k))
+        for size in range(1, run + 1):
+            for k in range(len(solid[i]) - size + 1):
+                part = solid[i][k : k + size]
+                gram = tuple(x for _, x in part)
+                if size < run and sum(len(WORD.findall(x)) for x in gram) < 50:
+                    continue
+                if gram in seen:
+                    gone.update(n for n, _ in part)
+                seen.add(gram)
         out[i] = gone
     return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in out[i]) for i, t in rows}
 
@@ -178,6 +183,8 @@ def test_line_runs(docs, none):
     assert {i: r.text for i, r in got.items()} == brute_lines(rows, line_dedup.RUN)
     assert got[0].slot == 0 and got[0]["_doc"] == "x"
     assert line_dedup.dedup_lines(none).count() == 0
+    dotted = docs.select("doc_id", "text", F.lit(1).alias("a.b"))
+    assert {r["a.b"] for r in line_dedup.dedup_lines(dotted.unionByName(dotted)).collect()} == {1}
 
 
 def test_quality_measures(docs, none):
@@ -232,6 +239,10 @@ def test_spaced_seeds(spark, none):
     assert {i for i, r in got.items() if not r.kept} == {10 * i for i in range(6)}
     assert all(got[10 * i].item_ids == [i] for i in range(6))
     assert decontaminate.decontaminate(none, bench).count() == 0
+    long = prose(rng, 300, "k")
+    copied = spark.createDataFrame([(1, "x y z " + long + " end"), (2, long.split()[0])], "doc_id long, text string")
+    one = spark.createDataFrame([(7, "a b c d " + long)], "item_id long, text string")
+    assert {r.doc_id: r.longest for r in decontaminate.decontaminate(copied.unionByName(copied), one).collect()} == {1: 300, 2: 0}
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
 
 
@@ -239,7 +250,7 @@ def test_packing(docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     plain = tokenizers.Tokenizer.from_file(str(path))
-    rows = packing.pack(docs, str(path), items_each=20).collect()
+    rows = packing.pack(docs, str(path), items_each=40).collect()
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
@@ -256,7 +267,9 @@ def test_packing(docs, none):
             assert offset == at
             at += length
         assert at <= 4096
-    assert len(bins) >= packing.lower_bound(np.array([r.length for r in rows]))
+    sizes = np.array([r.length for r in rows])
+    assert packing.lower_bound(sizes) <= len(bins) <= packing.best_fit(sizes)[0].max() + 2
+    assert all(r.bins >= r.bound >= 1 for r in rows)
     assert packing.pack(none, str(path)).count() == 0
 
 
