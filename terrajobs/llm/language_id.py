@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrajobs.llm import bytescan as B
-from terrajobs.llm.common import small_batches
+from terrajobs.llm.common import released, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -192,7 +192,7 @@ def predict(documents: DataFrame, net: ByteCnn | None, id_col: str = "doc_id", t
     carried = ["doc_id", *(c for c in carry)]
     source = small_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carried)
-    return source.mapInArrow(run, schema + ", lang_pred string, score double")
+    return source.mapInArrow(released(run), schema + ", lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
