@@ -1,7 +1,7 @@
 """Repeated runs of lines, found by winnowing over line hashes. DataFrame functions only.
 
 In every window of ``run`` consecutive non-blank lines, and in every shorter one of 50 words
-or more, the line of smallest hash is a fingerprint, so any two equal windows share one. Fingerprints that occur
+or more that holds no such window, the line of smallest hash is a fingerprint, so any two equal windows share one. Fingerprints that occur
 once are dropped; each other one is extended both ways to the aligned windows around it, and a window that occurs earlier marks its lines. A longer repeated run is
 the union of its windows, so exactly the lines of later repeated runs go. Windows meet
 their first occurrence only, never each other, so nothing grows with the square of a run's
@@ -50,7 +50,10 @@ def fingerprints(documents: DataFrame, run: int = RUN) -> DataFrame:
         return F.transform(F.sequence(F.greatest(q - (run - 1), F.lit(0)), F.least(q, F.size("h") - run)), lambda s: window(s))
 
     def wordy(size: int) -> Column:  # shorter windows of many words are runs, too
-        starts = F.filter(F.sequence(F.lit(0), F.size("h") - size), lambda s: F.aggregate(F.slice("w", s + 1, size), F.lit(0), lambda x, y: x + y) >= LONG_WORDS)
+        def words(s: Column, n: int) -> Column:
+            return sum((F.element_at("w", s + k + 1) for k in range(n)), F.lit(0))
+
+        starts = F.filter(F.sequence(F.lit(0), F.size("h") - size), lambda s: (words(s, size) >= LONG_WORDS) & (words(s, size - 1) < LONG_WORDS) & (words(s + 1, size - 1) < LONG_WORDS))
         each = F.transform(starts, lambda s: F.struct(F.array_min(F.slice("h", s + 1, size)).alias("mark"), F.array(window(s, size)).alias("windows")))
         return F.when(F.size("h") >= size, each)
 
@@ -78,7 +81,7 @@ def dedup_lines(documents: DataFrame, run: int = RUN, id_col: str = "doc_id", te
 
     Lines are equal if they are equal without ASCII white space around them; blank lines
     are skipped in runs and stay in the text. A run has ``run`` lines, or fewer lines with
-    ``LONG_WORDS`` words or more together; it is repeated if the same lines occur earlier, in
+    ``LONG_WORDS`` words or more together, but not without its first or its last line; it is repeated if the same lines occur earlier, in
     order of (id, position), in another text or further up in the same one. Null and empty
     texts and rows of a null id stay as they are, an empty table stays empty, and texts may
     have any length. Rows of equal id and text count as one document. Other columns are kept;
@@ -102,7 +105,8 @@ def dedup_lines(documents: DataFrame, run: int = RUN, id_col: str = "doc_id", te
 
 def _grams(size: int) -> str:
     lines, joins = [f"x{j}" for j in range(size)], "".join(f" JOIN solid x{j} ON x{j}.doc_id = x0.doc_id AND x{j}.k = x0.k + {j}" for j in range(1, size))
-    least = "" if size == RUN else f" WHERE {' + '.join(f'{x}.words' for x in lines)} >= {LONG_WORDS}"
+    words = lambda part: " + ".join([f"{x}.words" for x in part] or ["0"])
+    least = "" if size == RUN else f" WHERE {words(lines)} >= {LONG_WORDS} AND {words(lines[1:])} < {LONG_WORDS} AND {words(lines[:-1])} < {LONG_WORDS}"
     return f"SELECT x0.doc_id, x0.k, {size} AS size, {' || chr(10) || '.join(f'{x}.body' for x in lines)} AS gram FROM solid x0{joins}{least}"
 
 

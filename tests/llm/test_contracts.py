@@ -168,7 +168,8 @@ def brute_lines(rows, run):
             for k in range(len(solid[i]) - size + 1):
                 part = solid[i][k : k + size]
                 gram = tuple(x for _, x in part)
-                if size < run and sum(len(WORD.findall(x)) for x in gram) < 50:
+                n = [len(WORD.findall(x)) for x in gram]
+                if size < run and not (sum(n) >= 50 > max(sum(n[1:]), sum(n[:-1]))):
                     continue
                 if gram in seen:
                     gone.update(n for n, _ in part)
@@ -177,12 +178,17 @@ def brute_lines(rows, run):
     return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in out[i]) for i, t in rows}
 
 
-def test_line_runs(docs, none):
+def test_line_runs(spark, docs, none):
     rows = [(r[0], r[1]) for r in corpus()]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
     assert {i: r.text for i, r in got.items()} == brute_lines(rows, line_dedup.RUN)
     assert got[0].slot == 0 and got[0]["_doc"] == "x"
     assert line_dedup.dedup_lines(none).count() == 0
+    rng = random.Random(5)
+    halves = [prose(rng, 30) for _ in range(12)] + [prose(rng, 52) for _ in range(6)]
+    rows = [(i, "\n".join(rng.choice([*halves, prose(rng, 4)]) for _ in range(rng.randrange(1, 6)))) for i in range(60)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == brute_lines(rows, line_dedup.RUN)
     dotted = docs.select("doc_id", "text", F.lit(1).alias("a.b"))
     assert {r["a.b"] for r in line_dedup.dedup_lines(dotted.unionByName(dotted)).collect()} == {1}
 
