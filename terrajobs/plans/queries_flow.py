@@ -52,12 +52,12 @@ CHAINS = ", b AS (SELECT id, parentid, sum(weight) OVER (PARTITION BY id // 500
 
 @query(
     "i15_next_downstream",
-    CHAINS + " SELECT s.id, coalesce((SELECT max(d.id) FROM b d WHERE d.id // 500 = s.id // 500 AND d.id < s.id AND d.total >= s.total + 60), s.id - s.id % 500 + (SELECT min(m.id % 500) FROM b m WHERE m.id // 500 = s.id // 500)) AS found FROM b s WHERE s.id % 100 = 77",
+    CHAINS + " SELECT s.id, coalesce((SELECT max(d.id) FROM b d WHERE d.id // 500 = s.id // 500 AND d.id < s.id AND d.total >= s.total + 60), s.id - s.id % 500 + (SELECT min(m.id % 500) FROM b m WHERE m.id // 500 = s.id // 500)) AS found FROM b s",
 )
 def i15(spark: SparkSession, sf: str) -> DataFrame:
     f = Territory(spark, sf).forest
     tree = f.join(T.subtree_sum(f, "weight", "branchpopulation"), "id").withColumn("boundary", F.lit(True))
-    return T.next_downstream(tree, tree.filter("id % 100 = 77").select("id", F.col("branchpopulation").alias("need")), 60)
+    return T.next_downstream(tree, tree.select("id", F.col("branchpopulation").alias("need")), 60)
 
 
 OPEN = """, b AS (SELECT blockid, stateid * 10 + cx // 10 AS rootid, CASE WHEN cy % 8 = 7 THEN 5 + cx % 2 END AS districtid, population, cx::DOUBLE AS x, cy::DOUBLE AS y FROM blocks),

@@ -59,13 +59,13 @@ def i5(spark: SparkSession, sf: str) -> DataFrame:
     return E.boundary_flags(conn(Territory(spark, sf)))
 
 
-FLOW = ", c AS (SELECT owner AS id, CASE x % 4 WHEN 0 THEN 558 WHEN 1 THEN 460 WHEN 2 THEN 420 ELSE 334 END AS class, y % 3 - (id % 2) AS parent FROM points WHERE y % 11 < 2)"
+FLOW = ", c AS (SELECT id // 3 AS id, CASE x % 4 WHEN 0 THEN 558 WHEN 1 THEN 460 WHEN 2 THEN 420 ELSE 334 END AS class, y % 3 - (id % 2) AS parent FROM points)"
 
 
 @query("i6_preferred_flow_type", FLOW + """, o AS (SELECT id, class, min(parent) AS parent FROM c WHERE parent > 0 GROUP BY id, class HAVING count(DISTINCT parent) = 1)
   SELECT id, class, parent FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY class DESC) AS n FROM o) WHERE n = 1""")
 def i6(spark: SparkSession, sf: str) -> DataFrame:
-    c = Territory(spark, sf).points.filter("y % 11 < 2").selectExpr("owner as id", "case x % 4 when 0 then 558 when 1 then 460 when 2 then 420 else 334 end as class", "y % 3 - id % 2 as parent")
+    c = Territory(spark, sf).points.selectExpr("id div 3 as id", "case x % 4 when 0 then 558 when 1 then 460 when 2 then 420 else 334 end as class", "y % 3 - id % 2 as parent")
     return I.preferred_flow_type(c)
 
 
@@ -126,10 +126,10 @@ def i11(spark: SparkSession, sf: str) -> DataFrame:
     return I.reroot(f, at.select("node", F.lit(None).cast("long").alias("new_parent"))).join(at.select(F.col("node").alias("id"), F.lit(True).alias("top")), "id", "left").select("id", F.when(F.col("top").isNull(), F.col("parentid")).alias("parentid"))
 
 
-@query("i12_link_islands", ", g AS (SELECT id, owner AS groupid, owner % 2 AS stateid, x, y FROM points WHERE id % 3 = 0) SELECT stateid, 1 AS groups FROM g GROUP BY stateid")
+@query("i12_link_islands", ", g AS (SELECT id, owner AS groupid, owner % 2 AS stateid, x, y FROM points) SELECT stateid, 1 AS groups FROM g GROUP BY stateid")
 def i12(spark: SparkSession, sf: str) -> DataFrame:
     """How many groups each state has once the links are made: one."""
-    g = Territory(spark, sf).points.filter("id % 3 = 0").selectExpr("id", "owner as groupid", "owner % 2 as stateid", "x", "y")
+    g = Territory(spark, sf).points.selectExpr("id", "owner as groupid", "owner % 2 as stateid", "x", "y")
     links = I.link_islands(g, 200.0)
     own = lambda k: g.select(F.col("id").alias(f"id{k}"), F.col("groupid").alias(f"g{k}"))
     joined = G.component_labels(g, links.join(own(0), "id0").join(own(1), "id1"), "groupid", "g0", "g1")
@@ -152,10 +152,10 @@ def i28b(spark: SparkSession, sf: str) -> DataFrame:
     return I.link_lines(conn(t).filter("wsid1 <> 0").selectExpr("wsid0 as src", "wsid1 as dst"), t.watersheds.selectExpr("wsid as id", "minx as cx", "miny as cy"))
 
 
-@query("i29_basin_crossings", " SELECT wsid AS id, wsid - 1 AS parentid FROM watersheds w WHERE wsid % 6 = 2 AND EXISTS (SELECT 1 FROM watersheds v WHERE v.wsid = w.wsid - 1 AND v.wx // 3 <> w.wx // 3)")
+@query("i29_basin_crossings", " SELECT wsid AS id, wsid - 1 AS parentid FROM watersheds w WHERE EXISTS (SELECT 1 FROM watersheds v WHERE v.wsid = w.wsid - 1 AND v.wx // 3 <> w.wx // 3)")
 def i29(spark: SparkSession, sf: str) -> DataFrame:
     w = Territory(spark, sf).watersheds
-    return I.basin_crossings(w.filter("wsid % 6 = 2").selectExpr("wsid as id", "wsid - 1 as parentid"), w.selectExpr("wsid as id", "wx div 3 as basinid"))
+    return I.basin_crossings(w.selectExpr("wsid as id", "wsid - 1 as parentid"), w.selectExpr("wsid as id", "wx div 3 as basinid"))
 
 
 @query("i29_flow_reversals", " SELECT parentid AS id, wsid AS parentid FROM watersheds WHERE parentid IS NOT NULL AND wsid % 2 = 0")

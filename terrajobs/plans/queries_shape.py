@@ -156,13 +156,13 @@ def c13(spark: SparkSession, sf: str) -> DataFrame:
     return C.nearest_within_passes(p.filter("id % 5 = 0"), p.filter("id % 5 <> 0"), [100.0, 500.0, 3000.0]).select("id", "match", F.round("dist", 6).alias("dist"))
 
 
-GROUPED = ", g AS (SELECT id, owner AS groupid, owner % 2 AS stateid, x, y FROM points WHERE id % 3 = 0)"
+GROUPED = ", g AS (SELECT id, owner AS groupid, owner % 2 AS stateid, x, y FROM points)"
 
 
 @query("c14_nearest_group", GROUPED + """, m AS (SELECT a.groupid, b.groupid AS other, a.id AS id0, b.id AS id1, sqrt(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE) AS dist FROM g a JOIN g b ON a.stateid = b.stateid AND a.groupid <> b.groupid)
   SELECT groupid, other, id0, id1, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY groupid ORDER BY dist, other, id0, id1) AS n FROM m) WHERE n = 1""")
 def c14(spark: SparkSession, sf: str) -> DataFrame:
-    g = Territory(spark, sf).points.filter("id % 3 = 0").selectExpr("id", "owner as groupid", "owner % 2 as stateid", "x", "y")
+    g = Territory(spark, sf).points.selectExpr("id", "owner as groupid", "owner % 2 as stateid", "x", "y")
     return C.nearest_group(g, 50.0).select("groupid", "other", "id0", "id1", F.round("dist", 6).alias("dist"))
 
 
@@ -204,10 +204,10 @@ def c15(spark: SparkSession, sf: str) -> DataFrame:
     return inside.unionByName(outside)
 
 
-@query("c16_line_crossings", DIAG + MEET + " SELECT a_id, b_id, round(ax0 + tn / d * (ax1 - ax0), 3) AS x, round(ay0 + tn / d * (ay1 - ay0), 3) AS y FROM crossed WHERE a_id % 2 = 0 AND b_id % 2 = 1")
+@query("c16_line_crossings", DIAG + MEET + " SELECT a_id, b_id, round(ax0 + tn / d * (ax1 - ax0), 3) AS x, round(ay0 + tn / d * (ay1 - ay0), 3) AS y FROM crossed")
 def c16(spark: SparkSession, sf: str) -> DataFrame:
     d = diag(Territory(spark, sf))
-    return C.line_crossings(d.filter("id % 2 = 0"), d.filter("id % 2 = 1"), 200.0).filter("a_id < b_id").select("a_id", "b_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    return C.line_crossings(d, d, 200.0).filter("a_id < b_id").select("a_id", "b_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query("c17_neighbor_crossings", CONN + RAW + """ SELECT r.id, r.parentid AS parent, c.wsid1 AS via, c.wsid1 * 2.0::DOUBLE AS x FROM raw r JOIN watersheds p ON p.wsid = r.parentid JOIN conn c ON c.wsid0 = r.id AND c.wsid1 <> 0
@@ -239,9 +239,9 @@ def c20(spark: SparkSession, sf: str) -> DataFrame:
     return C.border_members(s, s.filter("x = 20 and (stateid = 2 or y % 2 = 0)").select("stateid", "x", "y").distinct())
 
 
-@query("c21_unfinished_regions", " SELECT owner AS stateid, id % 3 AS groupid, id FROM points WHERE owner IN (SELECT owner FROM points WHERE id % 4 = 0 GROUP BY owner HAVING count(DISTINCT id % 3) > 1) AND id % 4 = 0")
+@query("c21_unfinished_regions", " SELECT owner AS stateid, id % 3 AS groupid, id FROM points WHERE owner IN (SELECT owner FROM points GROUP BY owner HAVING count(DISTINCT id % 3) > 1)")
 def c21(spark: SparkSession, sf: str) -> DataFrame:
-    return C.unfinished_regions(Territory(spark, sf).points.filter("id % 4 = 0").selectExpr("owner as stateid", "id % 3 as groupid", "id"))
+    return C.unfinished_regions(Territory(spark, sf).points.selectExpr("owner as stateid", "id % 3 as groupid", "id"))
 
 
 @query("c22_block_network", " SELECT stateid, blockid0, blockid1 FROM edges UNION SELECT a.stateid, a.blockid, b.blockid FROM blocks a JOIN blocks b ON b.blockid = a.blockid + 2 AND a.stateid = b.stateid")
@@ -598,9 +598,9 @@ def g5(spark: SparkSession, sf: str) -> DataFrame:
     return D.retire_points(p, p.filter("id % 2 = 0"))[1].select("id")
 
 
-@query("g6_drop_nonreciprocal", ", e AS (SELECT x % 30 AS src, y % 30 AS dst FROM points WHERE id % 2 = 0) SELECT src, dst FROM e WHERE EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src)")
+@query("g6_drop_nonreciprocal", ", e AS (SELECT x % 30 AS src, y % 30 AS dst FROM points) SELECT src, dst FROM e WHERE EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src)")
 def g6(spark: SparkSession, sf: str) -> DataFrame:
-    return D.drop_nonreciprocal(Territory(spark, sf).points.filter("id % 2 = 0").selectExpr("x % 30 as src", "y % 30 as dst"))
+    return D.drop_nonreciprocal(Territory(spark, sf).points.selectExpr("x % 30 as src", "y % 30 as dst"))
 
 
 @query("h17_snap_segment", """, p AS (SELECT s.blockid * 4 + s.ordinal AS segid, s.x0 + (s.x1 - s.x0) * k / 4.0::DOUBLE AS x, s.y0 + (s.y1 - s.y0) * k / 4.0::DOUBLE AS y FROM segments s, (VALUES (1), (3)) AS v(k) WHERE s.blockid % 3 = 0)
