@@ -363,8 +363,9 @@ def near_duplicates(
         rows = stash(_measured(level, alone=k == 0), "level")
         wide = rows.filter(F.col("cross") > few * F.col("size"))
         join_up(_pairs_across(rows.filter(F.col("cross") <= few * F.col("size")), percent, bits).unionByName(_pairs_with_centre(wide, percent, bits)))
-        open_ = stash(_measured(_with_components(wide.select("node", *_member(bits)), comps)), "open")
-        discard(rows)
+        named = stash(_with_components(wide.select("node", *_member(bits)), comps), "named")  # measuring reads it twice
+        open_ = stash(_measured(named), "open")
+        discard(rows, named)
         if not open_.limit(1).count():
             discard(open_)
             break

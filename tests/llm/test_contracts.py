@@ -106,6 +106,39 @@ def test_pairs_in_nodes_open_to_the_last_level(spark):
     assert got == {i: i - i % 2 for i in got} and len(got) == 120
 
 
+def test_documents_of_stock_clauses(spark):
+    rng = random.Random(3)
+    clauses = [prose(rng, 60).split() for _ in range(30)]
+    rows = [(i, " ".join(w for c in sorted(rng.sample(range(30), 20)) for w in clauses[c])) for i in range(400)]
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                links += 1
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, n=4, small=100).collect()}
+    assert links and got == {i: find(i) for i in got}
+
+
+def test_odd_rows_of_near_duplicates(spark, none):
+    text = "a b c d e f g h"
+    rows = [(1, text), (1, text), (2, text), (None, text), (3, "x y z u v w"), (3, "other words in this one here"), (4, "x y z u v w"), (5, None), (None, None)]
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, 1, True), (3, 3, True), (3, 3, True), (4, 3, False), (5, 5, True), (None, None, True)], key=str)
+    assert near_dedup.near_duplicates(none).count() == 0
+
+
 def test_minima_come_from_full_sets():
     rng = np.random.default_rng(7)
     missed = 0
