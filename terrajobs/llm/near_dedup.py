@@ -20,7 +20,7 @@ Nodes still large at the deepest level are compared exhaustively as well, so no
 shares a path is left out.
 
 Exhaustive comparison is a join on the node whose condition holds the sizes and 256-bit
-(later 1024-bit) minwise signatures, with a margin of four standard deviations (1 in 20,000 pairs exactly at
+(later 2048-bit) minwise signatures, with a margin of four standard deviations (1 in 20,000 pairs exactly at
 the threshold falls below it); only likely pairs leave the join. They are confirmed on the
 full shingle sets: sets of documents with common partners meet in groups of bounded size,
 and a spanning set of links is kept.
@@ -43,7 +43,7 @@ from terrajobs.operators.components import edge_components
 from terrajobs.storage import discard, stash
 
 BITS = 256
-LONG_BITS = 1024  # of documents in nodes that stay open
+LONG_BITS = 2048  # of documents in nodes that stay open
 TREES = 10
 DEPTH = 8
 BRANCHES = 2
