@@ -176,12 +176,20 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _pairs_across(rows: DataFrame, percent: int, bits: int) -> DataFrame:
+def _pairs_across(rows: DataFrame, percent: int, bits: int, once: bool = False) -> DataFrame:
     """Likely pairs of a node's members of different components: its members outside the
-    largest component against all."""
-    a = rows.filter("comp <> major").select("node", *(F.col(c).alias(f"x_{c}") for c in _member(bits)))
-    b = rows.select("node", "major", *(F.col(c).alias(f"y_{c}") for c in _member(bits)))
-    return a.join(b, "node").filter(f"(y_comp = major or x_doc < y_doc) and {_likely('x_', 'y_', percent, bits)}").select(_ordered("x_doc", "y_doc"))
+    largest component against all. ``once``: a pair that meets in several of these nodes is
+    taken in the least of them, so large groups of similar documents do not repeat their
+    pairs in every tree."""
+    member, first = _member(bits), "true"
+    if once:
+        held = rows.groupBy("doc").agg(*(F.first(c).alias(c) for c in member if c != "doc"), F.collect_list(F.struct("node", "major")).alias("at"))
+        rows = held.select(*member, F.col("at.node").alias("nodes"), F.explode("at").alias("here")).select("here.*", "nodes", *member)
+        member, first = [*member, "nodes"], "array_min(array_intersect(x_nodes, y_nodes)) = node"
+    a = rows.filter("comp <> major").select("node", *(F.col(c).alias(f"x_{c}") for c in member))
+    b = rows.select("node", "major", *(F.col(c).alias(f"y_{c}") for c in member))
+    likely = f"(y_comp = major or x_doc < y_doc) and {_likely('x_', 'y_', percent, bits)} and {first}"
+    return a.join(b, "node").filter(likely).select(_ordered("x_doc", "y_doc"))
 
 
 def _pairs_with_centre(rows: DataFrame, percent: int, bits: int) -> DataFrame:
@@ -379,7 +387,7 @@ def near_duplicates(
             discard(old)
         last = k == depth - 1
         large = F.col("cross") > small * F.col("size")
-        join_up(_pairs_across(open_ if last else open_.filter(~large), percent, bits))
+        join_up(_pairs_across(open_ if last else open_.filter(~large), percent, bits, once=True))
         rest = open_.filter(large).select("node", *_member(bits))
         if last or not rest.limit(1).count():
             discard(open_)
