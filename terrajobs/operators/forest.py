@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrajobs.functions.scalars import planar_distance
 from terrajobs.operators.components import component_labels
 from terrajobs.operators.ordering import best_per
 from terrajobs.storage import discard, stash
@@ -278,23 +279,62 @@ def merge_basins(tree: DataFrame, links: DataFrame) -> DataFrame:
 def exit_points(ws: DataFrame, crossings: DataFrame, interfaces: DataFrame) -> DataFrame:
     """(id, parent, x, y, step): where each watershed's water leaves.
 
-    Takes ws (id, parentid: the source's link, boundary), crossings (id, parent, x, y) of
-    rivers with shared edges, and interfaces (id, neighbor, x, y, length): centres of shared
-    edges, neighbour 0 outside. In order: the mean of the crossings into the linked parent;
-    the centre of the interface with it; for roots on the boundary, the longest outer
-    interface; then, from solved watersheds outwards, the longest interface into one.
+    Takes ws (id, parentid: the source's link, boundary), crossings (id, parent, x, y: of
+    rivers with shared edges, parent 0 outside, optionally class, the flow type), and
+    interfaces (id, neighbor, x, y, length): points of shared edges, neighbour 0 outside. A
+    point of an exit is always one of its interface. In order:
+
+    1. the interface point nearest to the mean of the crossings into the linked parent, of
+       its preferred flow type if classes are given (``preferred_flow_type``);
+    2. for roots on the boundary, the outer point nearest to the mean of the outer crossings,
+       or of the outer interfaces where there are none;
+    3. for children that touch their parent, the nearest crossing into a neighbour common to
+       both, and the parent's interface point nearest to it;
+    4. for children inside that do not touch their parent, no parent, and their own point
+       nearest to one of the parent's;
+    5. and on, round by round: the linked parent's interface point nearest to its exit, once
+       it has one.
+
+    Distances equal to six places go to the longer interface, then to the smaller point. A
+    root inside, and what hangs on one, gets no row without a crossing of its own.
     """
-    flow = crossings.join(ws.select("id", F.col("parentid").alias("parent")), ["id", "parent"]).groupBy("id", "parent").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("step", F.lit(1))
-    shared = interfaces.join(ws.select("id", F.col("parentid").alias("neighbor")), ["id", "neighbor"])
-    shared = best_per(shared, ["id"], [F.col("length").desc(), "x", "y"]).select("id", F.col("neighbor").alias("parent"), "x", "y", F.lit(2).alias("step"))
-    outer = best_per(interfaces.filter("neighbor = 0").join(ws.filter("parentid is null and boundary").select("id"), "id"), ["id"], [F.col("length").desc(), "x", "y"])
-    outer = outer.select("id", F.lit(None).cast("long").alias("parent"), "x", "y", F.lit(3).alias("step"))
-    done = flow.unionByName(shared.join(flow, "id", "left_anti"))
-    done = stash(done.unionByName(outer.join(done, "id", "left_anti")), "exits")
-    step = 4
+    linked = ws.filter("parentid is not null").select("id", F.col("parentid").alias("parent"))
+    faces = interfaces.select("id", F.col("neighbor").alias("parent"), "x", "y", "length")
+    order = ["dist", F.col("length").desc(), "x", "y"]
+    into = crossings.join(linked, ["id", "parent"])
+    if "class" in crossings.columns:
+        into = into.join(preferred_flow_type(into.select("id", "class", "parent")), ["id", "class", "parent"], "left_semi")
+
+    def nearest(targets: DataFrame, step: int) -> DataFrame:
+        """The point of each (id, parent)'s interface nearest to its target (tx, ty)."""
+        near = best_per(faces.join(targets, ["id", "parent"]).withColumn("dist", F.round(planar_distance("x", "y", "tx", "ty"), 6)), ["id"], order)
+        return near.select("id", "parent", "x", "y", F.lit(step).alias("step"))
+
+    def mean(points: DataFrame) -> DataFrame:
+        return points.groupBy("id", "parent").agg(F.avg("x").alias("tx"), F.avg("y").alias("ty"))
+
+    done = nearest(mean(into), 1)
+    rim = faces.filter("parent = 0").join(ws.filter("parentid is null and boundary").select("id"), "id", "left_semi")
+    leaving = mean(crossings.filter("parent = 0").select("id", "parent", "x", "y").join(rim.select("id"), "id", "left_semi"))
+    out = nearest(leaving.unionByName(mean(rim).join(leaving, "id", "left_anti")), 2).withColumn("parent", F.lit(None).cast("long"))
+    done = stash(done.unionByName(out), "exits")
+
+    open_ = linked.join(done, "id", "left_anti")
+    touching = open_.join(faces.select("id", "parent"), ["id", "parent"], "left_semi")
+    met = faces.filter("parent <> 0").select("id", F.col("parent").alias("via")).distinct()
+    common = touching.join(met, "id").join(met.select(F.col("id").alias("parent"), "via"), ["parent", "via"], "left_semi")
+    seen = common.join(crossings.select("id", F.col("parent").alias("via"), F.col("x").alias("tx"), F.col("y").alias("ty")), ["id", "via"])
+    third = nearest(seen.select("id", "parent", "tx", "ty"), 3)
+    apart = open_.join(ws.filter("not boundary").select("id"), "id", "left_semi").join(touching, ["id", "parent"], "left_anti")
+    theirs = faces.select(F.col("id").alias("parent"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    pairs = apart.join(faces.drop("parent"), "id").join(theirs, "parent").withColumn("dist", F.round(planar_distance("x", "y", "tx", "ty"), 6))
+    fourth = best_per(pairs, ["id"], order).select("id", F.lit(None).cast("long").alias("parent"), "x", "y", F.lit(4).alias("step"))
+    done = stash(done.unionByName(third).unionByName(fourth), "exits")
+
+    step = 5
     while True:
-        front = interfaces.join(done.select("id"), "id", "left_anti").join(done.select(F.col("id").alias("neighbor")), "neighbor")
-        new = stash(best_per(front, ["id"], [F.col("length").desc(), "neighbor", "x", "y"]).select("id", F.col("neighbor").alias("parent"), "x", "y", F.lit(step).alias("step")), "front")
+        exits = done.select(F.col("id").alias("parent"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+        new = stash(nearest(touching.join(done, "id", "left_anti").join(exits, "parent"), step), "front")
         if not new.limit(1).count():
             return done
         done, step = stash(done.unionByName(new), "exits"), step + 1

@@ -8,9 +8,11 @@ adaptive execution splits a crowded one.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrajobs.functions.polygons import common_area, points, signed_area
 from terrajobs.functions.scalars import closest_point_on_segment, planar_distance, segment_distance, segment_intersection
 from terrajobs.operators.ordering import best_per
 from terrajobs.storage import stash
@@ -140,15 +142,18 @@ def line_crossings(rivers: DataFrame, interfaces: DataFrame, tile: float) -> Dat
 
 
 def contained_pairs(inner: DataFrame, outer: DataFrame, tile: float) -> DataFrame:
-    """(id0, id1) of convex polygons 0 wholly inside polygons 1: all corners inside, edges allowed.
+    """(id0, id1) of simple polygons 0 that lie wholly inside polygons 1, edges allowed: their
+    common area is the inner one's, to a billionth.
 
-    Takes id, ring (clockwise) and the box columns.
+    Takes id, ring and the box columns.
     """
     met = bbox_join(inner, outer, tile).filter("id0 <> id1 and minx0 >= minx1 and maxx0 <= maxx1 and miny0 >= miny1 and maxy0 <= maxy1")
-    n = F.size("ring1") - 1
-    sides = F.zip_with(F.slice("ring1", 1, n), F.slice("ring1", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    left = lambda s, p: (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])
-    return met.filter(F.forall("ring0", lambda p: F.forall(sides, lambda s: left(s, p) <= 0))).select("id0", "id1")
+
+    def within(r0: pd.Series, r1: pd.Series) -> pd.Series:
+        pairs = [(points(p), points(q)) for p, q in zip(r0, r1, strict=True)]
+        return pd.Series([common_area(p, q) >= abs(signed_area(p)) * (1 - 1e-9) for p, q in pairs], dtype=bool)
+
+    return met.filter(F.pandas_udf(within, "boolean")("ring0", "ring1")).select("id0", "id1")
 
 
 def drop_contained(polys: DataFrame, tile: float) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrajobs.functions.polygons import clip_convex, common_area, is_convex, points, signed_area
 from terrajobs.functions.scalars import along_distance, planar_distance
 from terrajobs.operators.components import component_labels
 from terrajobs.operators.joins import bbox_join
@@ -223,55 +224,34 @@ def tile_rollup(df: DataFrame, r0: int = 13, step: int = 3) -> DataFrame:
 # --- areas -----------------------------------------------------------------------------
 
 
-def clip_convex(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Part of a polygon inside a clockwise convex window; points (n, 2), not closed."""
-    for (ax, ay), (bx, by) in zip(window, np.roll(window, -1, axis=0), strict=True):
-        if not len(subject):
-            break
-        side = (bx - ax) * (subject[:, 1] - ay) - (by - ay) * (subject[:, 0] - ax)
-        kept = []
-        for i in range(len(subject)):
-            p, q, s, t = subject[i], subject[(i + 1) % len(subject)], side[i], side[(i + 1) % len(subject)]
-            if s <= 0:
-                kept.append(p)
-            if s * t < 0:
-                kept.append(p + (q - p) * (s / (s - t)))
-        subject = np.array(kept) if kept else np.empty((0, 2))
-    return subject
-
-
-def _area(points: np.ndarray) -> float:
-    if len(points) < 3:
-        return 0.0
-    x, y = points[:, 0], points[:, 1]
-    return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
-
-
-def _points(ring: list) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in ring][:-1], float)
-
-
 def overlap_area(a: DataFrame, b: DataFrame, tile: float) -> DataFrame:
-    """Pairs that overlap, with the area of their intersection; polygons b are convex and
-    clockwise. Takes id, ring and box columns; returns id0, id1, area (> 0)."""
+    """Pairs of simple polygons of any shape that overlap, with the area of their
+    intersection. Takes id, ring and box columns; returns id0, id1, area (> 0)."""
     met = bbox_join(a.select("id", "ring", "minx", "miny", "maxx", "maxy"), b.select("id", "ring", "minx", "miny", "maxx", "maxy"), tile, touching=False).select("id0", "id1", "ring0", "ring1")
 
     def area(r0: pd.Series, r1: pd.Series) -> pd.Series:
-        return pd.Series([_area(clip_convex(_points(p), _points(q))) for p, q in zip(r0, r1, strict=True)], dtype=float)
+        return pd.Series([common_area(points(p), points(q)) for p, q in zip(r0, r1, strict=True)], dtype=float)
 
     return met.withColumn("area", F.pandas_udf(area, "double")("ring0", "ring1")).filter("area > 0").select("id0", "id1", "area")
 
 
 def chop_by_region(polys: DataFrame, regions: DataFrame, tile: float) -> DataFrame:
-    """Pieces of polygons in each convex clockwise region: newid (serial), id, stateid, ring."""
+    """Pieces of polygons in each convex clockwise region: newid (serial), id, stateid, ring.
+
+    A region that is not convex and clockwise raises an error: its pieces may be several
+    rings, which one row cannot hold. ``overlap_area`` takes regions of any shape.
+    """
     cols = ["id", "ring", "minx", "miny", "maxx", "maxy"]
     met = bbox_join(polys.select(cols), regions.select(*cols, "stateid"), tile, touching=False).select(F.col("id0").alias("id"), F.col("stateid1").alias("stateid"), F.col("id1").alias("region"), "ring0", "ring1")
 
     def clip(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            pieces = [clip_convex(_points(p), _points(q)) for p, q in zip(pdf["ring0"], pdf["ring1"], strict=True)]
+            windows = [points(q) for q in pdf["ring1"]]
+            if not all(is_convex(w) for w in windows):
+                raise ValueError("a region is not convex and clockwise")
+            pieces = [clip_convex(points(p), w) for p, w in zip(pdf["ring0"], windows, strict=True)]
             out = pdf[["id", "stateid", "region"]].copy()
-            out["ring"] = [[{"x": x, "y": y} for x, y in [*c.tolist(), c[0].tolist()]] if _area(c) > 0 else None for c in pieces]
+            out["ring"] = [[{"x": x, "y": y} for x, y in [*c.tolist(), c[0].tolist()]] if signed_area(c) != 0 else None for c in pieces]
             yield out[out["ring"].notna()]
 
     kinds = ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in ("id", "stateid", "region"))
@@ -279,7 +259,7 @@ def chop_by_region(polys: DataFrame, regions: DataFrame, tile: float) -> DataFra
 
 
 def mask_by_coast(ws: DataFrame, water: DataFrame, tile: float) -> DataFrame:
-    """(id, area): what is left of polygons after convex, disjoint waters are taken away.
+    """(id, area): what is left of polygons after disjoint waters are taken away.
 
     Takes id, ring, box, area and ``border``. Polygons on the border that meet water keep
     what is land; border polygons wholly under water come back with area 0; polygons that

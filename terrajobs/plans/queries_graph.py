@@ -76,13 +76,25 @@ def exits_in(t: Territory) -> tuple[DataFrame, DataFrame, DataFrame]:
     return ws, cross, faces.selectExpr("wsid0 as id", "case when wsid1 = 0 then cast(0 as long) else wsid1 end as neighbor", "minx + connectionid % 4 as x", "miny as y", "cast(connectionid % 4 + 1 as double) as length")
 
 
-@query("i7_exit_points", CONN + """, f AS (SELECT c.wsid0 AS id, c.wsid1 AS neighbor, w.minx + c.connectionid % 4 AS x, w.miny AS y, (c.connectionid % 4 + 1)::DOUBLE AS length FROM conn c JOIN watersheds w ON w.wsid = c.wsid0 WHERE NOT (c.wsid0 % 7 = 1 AND c.wsid1 = c.wsid0 - 1)),
-  s1 AS (SELECT wsid AS id, parentid AS parent, minx + 1 AS x, miny AS y FROM watersheds WHERE wsid % 3 = 0 AND parentid IS NOT NULL),
-  s2 AS (SELECT id, neighbor AS parent, x, y FROM (SELECT f.*, row_number() OVER (PARTITION BY f.id ORDER BY length DESC, x, y) AS n FROM f JOIN watersheds w ON w.wsid = f.id AND w.parentid = f.neighbor) WHERE n = 1 AND id NOT IN (SELECT id FROM s1)),
-  s3 AS (SELECT id, NULL::BIGINT AS parent, x, y FROM (SELECT f.*, row_number() OVER (PARTITION BY f.id ORDER BY length DESC, x, y) AS n FROM f JOIN watersheds w ON w.wsid = f.id AND w.parentid IS NULL AND w.wx % 5 = 0 WHERE f.neighbor = 0) WHERE n = 1 AND id NOT IN (SELECT id FROM s1 UNION ALL SELECT id FROM s2))
-  SELECT id, parent, round(x, 4) AS x, 1 AS step FROM s1 UNION ALL SELECT id, parent, round(x, 4), 2 FROM s2 UNION ALL SELECT id, parent, round(x, 4), 3 FROM s3""")
+NEAREST = "row_number() OVER (PARTITION BY id ORDER BY dist, length DESC, x, y)"
+I7 = CONN + f""", ws AS (SELECT wsid AS id, parentid AS pid, wx % 5 = 0 AS boundary FROM watersheds),
+  f AS (SELECT c.wsid0 AS id, c.wsid1 AS parent, w.minx + c.connectionid % 4 AS x, w.miny AS y, (c.connectionid % 4 + 1)::DOUBLE AS length FROM conn c JOIN watersheds w ON w.wsid = c.wsid0 WHERE NOT (c.wsid0 % 7 = 1 AND c.wsid1 = c.wsid0 - 1)),
+  s1 AS (SELECT id, parent, x, y FROM (SELECT *, {NEAREST} AS n FROM (SELECT f.*, round(abs(f.x - (w.minx + 1)), 6) AS dist FROM f JOIN watersheds w ON w.wsid = f.id AND w.parentid = f.parent WHERE w.wsid % 3 = 0)) WHERE n = 1),
+  rim AS (SELECT f.* FROM f JOIN ws USING (id) WHERE f.parent = 0 AND pid IS NULL AND boundary),
+  s2 AS (SELECT id, x, y FROM (SELECT *, {NEAREST} AS n FROM (SELECT r.*, round(sqrt((r.x - m.mx) ** 2 + (r.y - m.my) ** 2), 6) AS dist FROM rim r JOIN (SELECT id, avg(x) AS mx, avg(y) AS my FROM rim GROUP BY id) m USING (id))) WHERE n = 1),
+  rest AS (SELECT id, pid, boundary FROM ws WHERE pid IS NOT NULL AND id NOT IN (SELECT id FROM s1)),
+  apart AS (SELECT * FROM rest r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = r.id AND f.parent = r.pid)),
+  s4 AS (SELECT id, x, y FROM (SELECT *, {NEAREST} AS n FROM (SELECT f.*, round(sqrt((f.x - g.x) ** 2 + (f.y - g.y) ** 2), 6) AS dist FROM apart a JOIN f ON f.id = a.id JOIN f g ON g.id = a.pid WHERE NOT a.boundary)) WHERE n = 1),
+  near AS (SELECT r.id, r.pid, f.x, f.y, f.length, e.x AS ex, e.y AS ey FROM rest r JOIN f ON f.id = r.id AND f.parent = r.pid JOIN f e ON e.id = r.pid),
+  hop AS (SELECT id, pid, ex, ey, x, y FROM (SELECT *, row_number() OVER (PARTITION BY id, ex, ey ORDER BY round(sqrt((x - ex) ** 2 + (y - ey) ** 2), 6), length DESC, x, y) AS n FROM near) WHERE n = 1),
+  front AS (SELECT id, x, y, 4 AS step FROM (SELECT id, x, y FROM s1 UNION ALL SELECT id, x, y FROM s2 UNION ALL SELECT id, x, y FROM s4) UNION ALL SELECT h.id, h.x, h.y, p.step + 1 FROM front p JOIN hop h ON h.pid = p.id AND h.ex = p.x AND h.ey = p.y),
+  found AS (SELECT id, parent, x, 1 AS step FROM s1 UNION ALL SELECT id, NULL, x, 2 FROM s2 UNION ALL SELECT id, NULL, x, 4 FROM s4 UNION ALL SELECT f.id, r.pid, f.x, f.step FROM front f JOIN rest r USING (id) WHERE f.step > 4)"""
+
+
+@query("i7_exit_points", I7 + " SELECT id, parent, round(x, 4) AS x, step FROM found")
 def i7(spark: SparkSession, sf: str) -> DataFrame:
-    return I.exit_points(*exits_in(Territory(spark, sf))).filter("step <= 3").select("id", "parent", F.round("x", 4).alias("x"), "step")
+    """River crossings lead into linked parents only, so no third step arises here; a test covers it."""
+    return I.exit_points(*exits_in(Territory(spark, sf))).select("id", "parent", F.round("x", 4).alias("x"), "step")
 
 
 PATHS = """, tree AS (SELECT wsid AS id, parentid, (wsid % 7)::DOUBLE AS d, wx % 5 < 3 AS boundary FROM watersheds),

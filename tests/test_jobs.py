@@ -172,3 +172,50 @@ def test_clipped_rectangles(x, y, w, h):
     got = shapes._area(shapes.clip_convex(box(x, y, x + w, y + h), box(3, 3, 7, 7)))
     want = max(0, min(x + w, 7) - max(x, 3)) * max(0, min(y + h, 7) - max(y, 3))
     assert abs(got - want) < 1e-9
+
+
+L_SHAPE = [(0, 0), (0, 4), (1, 4), (1, 1), (4, 1), (4, 0), (0, 0)]
+
+
+def polygon(spark, rows):
+    data = [(i, [(float(x), float(y)) for x, y in ring], float(min(x for x, _ in ring)), float(min(y for _, y in ring)), float(max(x for x, _ in ring)), float(max(y for _, y in ring))) for i, ring in rows]
+    return spark.createDataFrame(data, "id long, ring array<struct<x:double,y:double>>, minx double, miny double, maxx double, maxy double")
+
+
+def test_polygons_that_are_not_convex(spark):
+    from terrajobs.operators import joins, shapes
+
+    square = [(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)]
+    notch = [(2, 2), (2, 3), (3, 3), (3, 2), (2, 2)]
+    arm = [(2, 0), (2, 1), (3, 1), (3, 0), (2, 0)]
+    both = [(0.5, 0.5), (0.5, 2), (2, 2), (2, 0.5), (0.5, 0.5)]
+    inner = polygon(spark, [(1, square), (2, notch), (3, arm), (4, both), (5, L_SHAPE)])
+    for ring in (L_SHAPE, L_SHAPE[::-1], L_SHAPE[3:-1] + L_SHAPE[:4]):
+        outer = polygon(spark, [(9, ring)])
+        area = {r.id0: round(r.area, 9) for r in shapes.overlap_area(inner, outer, 4.0).collect()}
+        assert area == {1: 7.0, 3: 1.0, 4: 1.25, 5: 7.0}
+        assert {r.id0 for r in joins.contained_pairs(inner, outer, 4.0).collect()} == {3, 5}
+
+
+def test_pieces_need_convex_regions(spark):
+    import pytest
+
+    from terrajobs.operators import shapes
+
+    region = polygon(spark, [(9, L_SHAPE)]).selectExpr("*", "1 as stateid")
+    with pytest.raises(Exception, match="not convex"):
+        shapes.chop_by_region(polygon(spark, [(1, [(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)])]), region, 4.0).collect()
+
+
+def test_exit_points_follow_the_linked_parent(spark):
+    from terrajobs.operators.forest import exit_points
+
+    # 1: root on the rim; 2: crosses into 1; 3: touches 2, its parent; 4: touches only 3, linked to 1;
+    # 5: touches its parent 3 and, like it, 2, into which its river crosses; 6: root inside; 7: hangs on 6
+    ws = spark.createDataFrame([(1, None, True), (2, 1, False), (3, 2, False), (4, 1, False), (5, 3, False), (6, None, False), (7, 6, False)], "id long, parentid long, boundary boolean")
+    cross = spark.createDataFrame([(2, 1, 1.0, 1.0, 558), (2, 1, 9.0, 1.0, 460), (5, 2, 7.0, 4.0, 460)], "id long, parent long, x double, y double, class int")
+    faces = [(1, 0, 0.0, 0.0), (1, 2, 1.0, 1.5), (2, 1, 1.0, 1.5), (2, 1, 9.0, 1.5), (2, 3, 2.0, 3.0), (2, 5, 7.0, 4.0), (3, 2, 2.0, 3.0), (3, 2, 6.0, 3.0)]
+    faces += [(3, 4, 3.0, 6.0), (4, 3, 3.0, 6.0), (3, 5, 6.0, 5.0), (5, 3, 6.0, 5.0), (5, 3, 1.0, 5.0), (5, 2, 7.0, 4.0), (6, 7, 20.0, 20.0), (7, 6, 20.0, 20.0)]
+    faces = spark.createDataFrame([(*r, 1.0) for r in faces], "id long, neighbor long, x double, y double, length double")
+    got = {r.id: (r.parent, r.x, r.y, r.step) for r in exit_points(ws, cross, faces).collect()}
+    assert got == {1: (None, 0.0, 0.0, 2), 2: (1, 1.0, 1.5, 1), 3: (2, 2.0, 3.0, 5), 4: (None, 3.0, 6.0, 4), 5: (3, 6.0, 5.0, 3)}
