@@ -1,9 +1,13 @@
 """Document quality from two views that teach each other.
 
-One classifier sees only the text, the other only the page's metadata. Both start from the
-labelled documents; in each round either one labels the unlabelled documents it is surest
-of for the other. At the end each view is calibrated on labelled rows kept apart, and a
-logistic combination of both calibrated views scores every document.
+One classifier sees only the text, the other only the page's metadata. Both start from a
+bounded sample of the labelled documents. In each round Spark scores every document of the
+corpus with both, and each view passes all documents it is sure of to the other one. What
+the other view learns from them is summed over the executors: the gradient of its loss and
+a bound on its curvature, one number each per feature, so a round costs one pass and brings
+the same few thousand numbers to the driver whatever the corpus holds. At the end each view
+is calibrated on labelled rows kept apart, and a logistic combination of both calibrated
+views, fitted on rows kept apart from both, scores every document.
 """
 
 from __future__ import annotations
@@ -17,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrajobs.llm import bytescan as B
-from terrajobs.llm.common import small_batches
+from terrajobs.llm.common import released, small_batches
 from terrajobs.llm.quality_rules import _measure
 
 BUCKETS = 1024  # hashed words
 META = 160  # hashed metadata values
-SAMPLE = 1500  # labelled documents of each class, and unlabelled ones, at most
+SAMPLE = 1500  # labelled documents of each class at most
 ROUNDS = 4
-EACH = 60
 SURE = 0.95
+PSEUDO = 0.5  # weight of all pseudo-labels against all labels
 
 
 def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,11 +54,26 @@ def meta_buckets(source: list, lang: list, n_chars: list) -> np.ndarray:
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, steps: int = 250, rate: float = 0.1) -> np.ndarray:
+@dataclass
+class Lesson:
+    """What pseudo-labels teach a view: a quadratic that lies above their loss and touches it
+    at the weights ``at``, with this gradient and, per feature, this bound on the curvature."""
+
+    at: np.ndarray
+    gradient: np.ndarray
+    curvature: np.ndarray
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, lesson: Lesson | None = None, steps: int = 250, rate: float = 0.1) -> np.ndarray:
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) / weight.sum() + l2 * w
+        g = x.T @ (weight * (_sigmoid(x @ w) - y)) / weight.sum() + l2 * w
+        if lesson is not None:
+            g = g + PSEUDO * (lesson.gradient + lesson.curvature * (w - lesson.at))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w
@@ -86,64 +105,117 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(self.mix[0] + self.mix[1] * text + self.mix[2] * meta, -30, 30)))
 
 
-def co_train(style: np.ndarray, bags: np.ndarray, meta: np.ndarray, y: np.ndarray) -> CoTrained:
-    """Rows with y in (0, 1) are labelled, -1 not. Every fourth labelled row calibrates only."""
-    mean, scale = style.mean(axis=0), style.std(axis=0) + 1e-6
-    one = np.ones((len(style), 1))
-    hot = np.zeros((len(style), META + 1))
-    np.add.at(hot, (np.arange(len(style))[:, None], meta), 1)
+def _text_view(style: np.ndarray, bucket: np.ndarray, first: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """One row of features per text: style, a constant, and ten times the share of each bucket."""
+    n = len(first) - 1
+    row = np.repeat(np.arange(n), np.diff(first))
+    bags = np.bincount(row * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS) / np.maximum(np.diff(first), 1)[:, None]
+    return np.concatenate([(style - mean) / scale, np.ones((n, 1)), bags * 10], axis=1)
+
+
+def _meta_view(meta: np.ndarray) -> np.ndarray:
+    hot = np.zeros((len(meta), META + 1))
+    np.add.at(hot, (np.arange(len(meta))[:, None], meta), 1)
     hot[:, -1] = 1
-    views = [np.concatenate([(style - mean) / scale, one, bags], axis=1), hot]
-    labelled = np.flatnonzero(y >= 0)
-    held = labelled[::4]
-    base = np.setdiff1d(labelled, held)
-    own = [y.copy(), y.copy()]
-    for v in own:
-        v[held] = -1
-    pool, weights, log = y < 0, [], []
-    for turn in range(ROUNDS + 1):
-        weights = []
-        for x, labels in zip(views, own, strict=True):
-            at = np.flatnonzero(labels >= 0)
-            weights.append(_logistic(x[at], labels[at].astype(float), _balanced(labels[at]), 1e-3))
-        if turn == ROUNDS:
-            break
-        for k in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(views[k] @ weights[k], -30, 30)))
-            free = pool & (own[1 - k] < 0)
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = np.flatnonzero(free & (sure >= SURE))
-                best = best[np.argsort(-sure[best], kind="stable")[:EACH]]
-                own[1 - k][best] = label
-                log.append((turn, k, label, len(best)))
-    check = held if len(held) and 0 < y[held].mean() < 1 else base
-    target = y[check].astype(float)
-    platt, logits = np.empty((2, 2)), []
+    return hot
+
+
+def exchange(documents: DataFrame, mean: np.ndarray, scale: np.ndarray, weights: list[np.ndarray]) -> tuple[list[Lesson | None], list[tuple[int, int, int]]]:
+    """One round over all documents: each view's lesson from the other's sure labels, and
+    the log (teacher, label, documents). A view gets no lesson unless its teacher is sure of
+    documents of both labels, which then weigh the same.
+
+    The curvature bound is a quarter of |x_j| times the sum of |x|, so steps cannot overshoot
+    however the features go together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {(k, y): [0, np.zeros(len(weights[k])), np.zeros(len(weights[k]))] for k in (0, 1) for y in (0, 1)}
+        for batch in batches:
+            meta = meta_buckets(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+            for a, b, data, offsets in B.slices(batch.column("text")):
+                views = [_text_view(*text_features(data, offsets), mean, scale), _meta_view(meta[a:b])]
+                p = [_sigmoid(x @ w) for x, w in zip(views, weights, strict=True)]
+                for k in (0, 1):
+                    teacher = p[1 - k]
+                    for y, sure in ((0, teacher <= 1 - SURE), (1, teacher >= SURE)):
+                        x = views[k][sure]
+                        size = np.abs(x)
+                        sums = total[k, y]
+                        sums[0] += len(x)
+                        sums[1] += x.T @ (p[k][sure] - y)
+                        sums[2] += size.T @ size.sum(axis=1) / 4
+        for (k, y), (n, g, h) in total.items():
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k)), pa.array(np.full(len(g), y)), pa.array(np.arange(len(g))), pa.array(np.full(len(g), n)), pa.array(g), pa.array(h)], names=["view", "label", "place", "n", "g", "h"])
+
+    parts = small_batches(documents).mapInArrow(released(run), "view long, label long, place long, n long, g double, h double")
+    sums = parts.groupBy("view", "label", "place").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+    lessons, log = [], []
+    for k in (0, 1):
+        own = [sums[(sums["view"] == k) & (sums["label"] == y)].sort_values("place") for y in (0, 1)]
+        log += [(1 - k, y, int(rows["n"].iloc[0]) if len(rows) else 0) for y, rows in enumerate(own)]
+        if min(map(len, own)):
+            g, h = (sum(0.5 * (rows[c] / rows["n"]).to_numpy() for rows in own) for c in ("g", "h"))
+            lessons.append(Lesson(weights[k], g, h))
+        else:
+            lessons.append(None)
+    return lessons, log
+
+
+def co_train(style: np.ndarray, bags: np.ndarray, meta: np.ndarray, y: np.ndarray, documents: DataFrame, rounds: int = ROUNDS) -> CoTrained:
+    """Learn from labelled rows and, over the rounds, from all ``documents``. Of six labelled
+    rows one calibrates the views and another one their combination; neither is learned from."""
+    mean, scale = style.mean(axis=0), style.std(axis=0) + 1e-6
+    views = [np.concatenate([(style - mean) / scale, np.ones((len(style), 1)), bags], axis=1), _meta_view(meta)]
+    place = np.arange(len(y)) % 6
+    base = np.flatnonzero(place > 1)
+    if not 0 < y[base].mean() < 1:
+        base = np.arange(len(y))
+    lessons: list[Lesson | None] = [None, None]
+    log = []
+    for turn in range(rounds + 1):
+        weights = [_logistic(x[base], y[base].astype(float), _balanced(y[base]), 1e-3, lesson) for x, lesson in zip(views, lessons, strict=True)]
+        if turn < rounds:
+            lessons, found = exchange(documents, mean, scale, weights)
+            log += [(turn, *row) for row in found]
+
+    def apart(k: int) -> np.ndarray:
+        rows = np.flatnonzero(place == k)
+        return rows if len(rows) and 0 < y[rows].mean() < 1 else base
+
+    calibrates, mixes = apart(0), apart(1)
+    platt = np.empty((2, 2))
     for k in (0, 1):
-        z = np.clip(views[k][check] @ weights[k], -30, 30)
-        a = _logistic(np.stack([z, np.ones(len(z))], axis=1), target, np.ones(len(z)), 1e-3)
-        platt[k] = a
-        logits.append(a[0] * z + a[1])
-    mix = _logistic(np.stack([np.ones(len(target)), *logits], axis=1), target, np.ones(len(target)), 1e-3)
+        z = np.clip(views[k][calibrates] @ weights[k], -30, 30)
+        platt[k] = _logistic(np.stack([z, np.ones(len(z))], axis=1), y[calibrates].astype(float), np.ones(len(z)), 1e-3)
+    logits = [platt[k, 0] * np.clip(views[k][mixes] @ weights[k], -30, 30) + platt[k, 1] for k in (0, 1)]
+    mix = _logistic(np.stack([np.ones(len(mixes)), *logits], axis=1), y[mixes].astype(float), np.ones(len(mixes)), 1e-3)
     return CoTrained(mean, scale, weights[0], weights[1], platt, np.array([mix[0], max(mix[1], 0), max(mix[2], 0)]), log)
 
 
 def sample(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
-    """At most ``per_class`` documents of each label and as many without, spread by a hash."""
+    """At most ``per_class`` documents of each label, spread by a hash. Of several labels of
+    one id the higher counts, of several rows of one id any one does; null ids have no label."""
     key = F.xxhash64("doc_id", F.lit("sample"))
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
-    ids = documents.select("doc_id").filter("doc_id is not null")
-    pooled = ids.join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("y"))
-    rows = ids.join(known, "doc_id").unionByName(pooled)
+    rows = documents.select("doc_id").join(known, "doc_id")
     chosen = rows.groupBy("y", F.pmod(key, F.lit(per_class)).alias("slot")).agg(F.min(F.struct(key.alias("key"), "doc_id")).alias("r")).select("y", F.col("r.doc_id").alias("doc_id"))
     return documents.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
-_COLUMNS = ["doc_id", "text", "source", "lang", "n_chars"]
+_COLUMNS = {"doc_id": "long", "text": "string", "source": "string", "lang": "string", "n_chars": "long"}
+
+
+def _columns(documents: DataFrame) -> DataFrame:
+    return documents.select(*(F.col(c).cast(kind).alias(c) for c, kind in _COLUMNS.items()))
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> CoTrained | None:
-    """Co-train on the bounded sample; None without labelled documents of both classes."""
+    """Co-train on at most ``per_class`` labelled documents of each label and on all
+    documents; None without labelled documents of both classes. Labels of the sample alone
+    are read: in the exchange every document takes part, by what the other view says of it."""
+    documents = _columns(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,11 +232,11 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> CoT
                 names=["doc_id", "y", "style", "bag", "meta"],
             )
 
-    rows = sample(documents.select(_COLUMNS), labels, per_class).select(*_COLUMNS, "y").mapInArrow(run, "doc_id long, y int, style array<double>, bag array<float>, meta array<long>").toPandas().sort_values("doc_id")
+    rows = sample(documents, labels, per_class).select(*_COLUMNS, "y").mapInArrow(run, "doc_id long, y int, style array<double>, bag array<float>, meta array<long>").toPandas().sort_values("doc_id")
     y = rows["y"].to_numpy(np.int64)
     if not {0, 1} <= set(y.tolist()):
         return None
-    return co_train(np.stack(rows["style"].to_list()), np.stack(rows["bag"].to_list()).astype(np.float64) * 10, np.stack(rows["meta"].to_list()), y)
+    return co_train(np.stack(rows["style"].to_list()), np.stack(rows["bag"].to_list()).astype(np.float64) * 10, np.stack(rows["meta"].to_list()), y, documents)
 
 
 def score(documents: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> DataFrame:
@@ -193,5 +265,5 @@ def score(documents: DataFrame, model: CoTrained | None, threshold: float = 0.5)
                     out[2, a:b] = model.combine(x, z)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in out), pa.array(out[2] >= threshold)], names=["doc_id", "p_text", "p_meta", "score", "kept"])
 
-    source = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
+    source = _columns(small_batches(documents))
     return source.mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, kept boolean")
