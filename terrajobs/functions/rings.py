@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terrajobs.functions.scalars import Num, closest_point_on_segment
+
 
 def _pairs(ring: Column) -> Column:
     """array<struct<a, b>> of a ring's consecutive points."""
@@ -44,6 +46,12 @@ def ring_bbox(ring: Column) -> Column:
     return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
 
 
+def closest_point_on_ring(x: Num, y: Num, ring: Column) -> Column:
+    """struct<dist, x, y>: the outline's point closest to (x, y)."""
+    near = lambda p: closest_point_on_segment(x, y, p["a"]["x"], p["a"]["y"], p["b"]["x"], p["b"]["y"])
+    return F.array_min(F.transform(F.transform(_pairs(ring), near), lambda c: F.struct(c["dist"].alias("dist"), c["x"].alias("x"), c["y"].alias("y"))))
+
+
 def ring_points(ring: Column) -> Column:
     return F.size(ring)
 

@@ -56,27 +56,29 @@ def path_sums(nodes: DataFrame, values: dict[str, str]) -> DataFrame:
 
 
 def path_max(nodes: DataFrame, value: str) -> DataFrame:
-    """(id, root, most): the largest value on the path from the node to its root."""
+    """(id, root, most): the largest value on the path from the node to its root. Nodes that
+    never reach a root have no row."""
     table = stash(nodes.select("id", F.col("parentid").alias("next"), F.col("id").alias("at"), F.col(value).alias("most")), "pathmax")
-    for _ in range(64):
+    for _ in range(table.count().bit_length() + 1):
         if not table.filter("next is not null").limit(1).count():
             break
         up = table.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("at").alias("_at"), F.col("most").alias("_most"))
         new = stash(table.join(up, "next", "left").select("id", F.col("_next").alias("next"), F.coalesce("_at", "at").alias("at"), F.greatest("most", "_most").alias("most")), "pathmax")
         discard(table)
         table = new
-    return table.select("id", F.col("at").alias("root"), "most")
+    return table.filter("next is null").select("id", F.col("at").alias("root"), "most")
 
 
 def subtree_sum(nodes: DataFrame, value: str, name: str = "total") -> DataFrame:
     """(id, total): each node's value and those of all nodes above it.
 
     Round k adds to each node the sums of the nodes that jump to it in 2**k steps. Sums are
-    aggregated before they meet, so a node with very many children is no burden.
+    aggregated before they meet, so a node with very many children is no burden. Nodes that
+    never reach a root, which lie on or above a cycle, have a null total.
     """
     known = nodes.select(F.col("id").alias("parentid")).distinct()
     table = stash(nodes.join(known.withColumn("_known", F.lit(True)), "parentid", "left").select("id", F.when(F.col("_known"), F.col("parentid")).alias("jump"), F.col(value).alias("s")), "subtree")
-    for _ in range(64):
+    for _ in range(table.count().bit_length() + 1):
         if not table.filter("jump is not null").limit(1).count():
             break
         gain = table.filter("jump is not null").groupBy(F.col("jump").alias("id")).agg(F.sum("s").alias("g"))
@@ -84,7 +86,7 @@ def subtree_sum(nodes: DataFrame, value: str, name: str = "total") -> DataFrame:
         new = stash(table.join(gain, "id", "left").join(nxt, "jump", "left").select("id", F.col("j2").alias("jump"), (F.col("s") + F.coalesce("g", F.lit(0))).alias("s")), "subtree")
         discard(table)
         table = new
-    return table.select("id", F.col("s").alias(name))
+    return table.select("id", F.when(F.col("jump").isNull(), F.col("s")).alias(name))
 
 
 def reroot(nodes: DataFrame, at: DataFrame) -> DataFrame:

@@ -214,18 +214,18 @@ def nearest_within_passes(left: DataFrame, right: DataFrame, tols: list[float],
     return out
 
 
-def nearest_group(members: DataFrame, radius: float, rounds: int = 20) -> DataFrame:
+def nearest_group(members: DataFrame, radius: float) -> DataFrame:
     """(groupid, other, id0, id1, dist): for each group the closest other group in its state.
 
     Takes (id, groupid, stateid, x, y). Groups without a neighbour within the radius are
-    tried again at twice the radius; a group alone in its state has no row.
+    tried again at twice the radius until each has one; a group alone in its state has no
+    row, and members without a place count as absent.
     """
+    members = members.filter("abs(x) < double('infinity') and abs(y) < double('infinity')")
     per_state = members.groupBy("stateid").agg(F.count_distinct("groupid").alias("n")).filter("n > 1").select("stateid")
     members = members.join(per_state, "stateid", "left_semi")
     out, rest = None, members
-    for _ in range(rounds):
-        if not rest.limit(1).count():
-            break
+    while rest.limit(1).count():
         a = rest.select("groupid", "stateid", F.col("id").alias("id0"), F.col("x").alias("ax"), F.col("y").alias("ay")).withColumn("_cx", _cell("ax", radius)).withColumn("_cy", _cell("ay", radius))
         near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
         b = members.select(F.col("groupid").alias("other"), F.col("stateid").alias("st"), F.col("id").alias("id1"), F.col("x").alias("bx"), F.col("y").alias("by")).withColumn("_dx", near).withColumn("_dy", near)

@@ -35,16 +35,22 @@ def order_children(children: DataFrame) -> DataFrame:
     it has none), start (place of the parent's exit, or of its coast) and area. Places before
     the start come round again; children without a place are last. Ties: larger area, id.
     """
-    turned = F.when(F.col("ordinal") > F.col("start"), F.col("ordinal") - F.col("start")).otherwise(F.col("ordinal") - F.col("start") + F.lit(1 << 20))
-    w = Window.partitionBy("parentid").orderBy(turned.asc_nulls_last(), F.col("area").desc(), "id")
+    again = F.col("ordinal") <= F.col("start")  # null without a place or a start
+    place = F.when(again.isNotNull(), F.col("ordinal"))
+    w = Window.partitionBy("parentid").orderBy(again.asc_nulls_last(), place.asc_nulls_last(), F.col("area").desc(), "id")
     return children.withColumn("rank", F.row_number().over(w))
 
 
 def rank_basin_links(links: DataFrame, partition: list[str] | None = None) -> DataFrame:
     """Rank links by (descent - boundary descent), descent, island area, length descending,
-    then ids; takes those columns, wsid0 and wsid1."""
-    order = [F.col("descent") - F.col("boundary_descent"), "descent", "island_area", F.col("length").desc(), "wsid0", "wsid1"]
-    return links.withColumn("rank", F.row_number().over(Window.partitionBy(*(partition or [])).orderBy(*order)))
+    then ids; takes those columns, wsid0 and wsid1. Without ``partition`` all links are
+    ranked together, by ranges."""
+    first, length = F.col("descent") - F.col("boundary_descent"), F.col("length")
+    if partition:
+        w = Window.partitionBy(*partition).orderBy(first, "descent", "island_area", length.desc(), "wsid0", "wsid1")
+        return links.withColumn("rank", F.row_number().over(w))
+    keyed = links.withColumns({"_inland": first, "_shortness": -length})
+    return with_dense_id(keyed, ["_inland", "descent", "island_area", "_shortness", "wsid0", "wsid1"], "rank").drop("_inland", "_shortness")
 
 
 def farthest_block(blocks: DataFrame, targets: DataFrame, key: str = "rootid") -> DataFrame:

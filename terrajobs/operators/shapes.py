@@ -279,10 +279,11 @@ def assign_by_max_overlap(overlaps: DataFrame) -> DataFrame:
 # --- closing gaps ----------------------------------------------------------------------
 
 
-def collapse_gaps(segments: DataFrame, tol: float, rounds: int = 20) -> DataFrame:
+def collapse_gaps(segments: DataFrame, tol: float, rounds: int = 64) -> DataFrame:
     """Rounds in which mutually nearest ends of different owners within ``tol`` move to their
     midpoint, all segments that use them follow, and segments of no length go; until none
-    moves. Takes (id, owner, x0, y0, x1, y1) of doubles."""
+    moves; ends that still move after ``rounds`` are an error. Takes (id, owner, x0, y0, x1,
+    y1) of doubles."""
     from terrajobs.operators.joins import mutual_nearest, within_distance
 
     rest = segments
@@ -295,9 +296,9 @@ def collapse_gaps(segments: DataFrame, tol: float, rounds: int = 20) -> DataFram
         )
         if not moves.limit(1).count():
             discard(moves)
-            break
+            return rest
         for k in ("0", "1"):
             m = moves.select(F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"), "nx", "ny")
             rest = rest.join(m, [f"x{k}", f"y{k}"], "left").withColumn(f"x{k}", F.coalesce("nx", f"x{k}")).withColumn(f"y{k}", F.coalesce("ny", f"y{k}")).drop("nx", "ny")
         rest = stash(rest.filter("not (x0 = x1 and y0 = y1)").select("id", "owner", "x0", "y0", "x1", "y1"), "closed")
-    return rest
+    raise RuntimeError(f"ends still move after {rounds} rounds")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrajobs.functions.rings import closest_point_on_ring, contains_point
 from terrajobs.functions.scalars import planar_distance
 from terrajobs.operators.ordering import best_per
 
@@ -17,18 +20,28 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def interface_lengths(connections: DataFrame, exits: DataFrame, island_links: DataFrame | None = None) -> DataFrame:
+def interface_lengths(connections: DataFrame, exits: DataFrame, island_links: DataFrame | None = None, rings: DataFrame | None = None, distance: Callable[..., Column] = planar_distance) -> DataFrame:
     """(wsid0, wsid1, length, exitdist) in both directions of every pair.
 
     Lengths of all interfaces of a pair are summed; exitdist lies between the two exit
-    points (id, x, y); island links have length 0.
+    points (id, x, y); island links have length and exitdist 0. With ``rings`` (id, basinid,
+    ring) there is also ``outside``: from wsid0's exit to the closest point of wsid1's
+    polygon if that is in another basin, else 0. ``distance`` measures between two points,
+    ``geo_distance`` for longitudes and latitudes.
     """
-    inside = connections.filter("wsid1 <> 0").groupBy(F.least("wsid0", "wsid1").alias("a"), F.greatest("wsid0", "wsid1").alias("b")).agg((F.sum("length") / 2).alias("length"))
+    inside = connections.filter("wsid1 <> 0").groupBy(F.least("wsid0", "wsid1").alias("a"), F.greatest("wsid0", "wsid1").alias("b")).agg((F.sum("length") / 2).alias("length")).withColumn("island", F.lit(False))
     if island_links is not None:
-        inside = inside.unionByName(island_links.select(F.least("wsid0", "wsid1").alias("a"), F.greatest("wsid0", "wsid1").alias("b"), F.lit(0.0).alias("length")).distinct())
+        inside = inside.unionByName(island_links.select(F.least("wsid0", "wsid1").alias("a"), F.greatest("wsid0", "wsid1").alias("b"), F.lit(0.0).alias("length"), F.lit(True).alias("island")).distinct())
     end = lambda k, c: exits.select(F.col("id").alias(c), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
-    rows = inside.join(end(0, "a"), "a").join(end(1, "b"), "b").select("a", "b", "length", planar_distance("x0", "y0", "x1", "y1").alias("exitdist"))
-    return rows.selectExpr("a as wsid0", "b as wsid1", "length", "exitdist").union(rows.selectExpr("b", "a", "length", "exitdist"))
+    rows = inside.join(end(0, "a"), "a").join(end(1, "b"), "b").select("a", "b", "length", F.when(F.col("island"), 0.0).otherwise(distance("x0", "y0", "x1", "y1")).alias("exitdist"))
+    both = rows.selectExpr("a as wsid0", "b as wsid1", "length", "exitdist").union(rows.selectExpr("b", "a", "length", "exitdist"))
+    if rings is None:
+        return both
+    own = exits.select(F.col("id").alias("wsid0"), F.col("x").alias("ex"), F.col("y").alias("ey")).join(rings.select(F.col("id").alias("wsid0"), F.col("basinid").alias("basin0")), "wsid0")
+    met = both.join(own, "wsid0").join(rings.select(F.col("id").alias("wsid1"), F.col("basinid").alias("basin1"), "ring"), "wsid1")
+    near = closest_point_on_ring("ex", "ey", F.col("ring"))
+    away = F.when((F.col("basin0") == F.col("basin1")) | contains_point(F.col("ring"), F.col("ex"), F.col("ey")), 0.0).otherwise(distance("ex", "ey", near["x"], near["y"]))
+    return met.select("wsid0", "wsid1", "length", "exitdist", away.alias("outside"))
 
 
 def island_areas(ws: DataFrame) -> DataFrame:

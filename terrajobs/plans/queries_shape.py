@@ -318,17 +318,23 @@ def d5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("d6_interface_lengths", CONN + """, one AS (SELECT least(wsid0, wsid1) AS a, greatest(wsid0, wsid1) AS b, sum(length) / 2 AS length FROM conn WHERE wsid1 <> 0 GROUP BY 1, 2),
-  two AS (SELECT a, b, length, round(sqrt(pow(x.minx - y.minx, 2) + pow(x.miny - y.miny, 2)), 5) AS exitdist FROM one JOIN watersheds x ON x.wsid = a JOIN watersheds y ON y.wsid = b)
-  SELECT a AS wsid0, b AS wsid1, length, exitdist FROM two UNION ALL SELECT b, a, length, exitdist FROM two""")
+  two AS (SELECT a, b, length, round(sqrt(pow(x.minx - y.minx, 2) + pow(x.miny - y.miny, 2)), 5) AS exitdist FROM one JOIN watersheds x ON x.wsid = a JOIN watersheds y ON y.wsid = b
+    UNION ALL SELECT x.wsid, y.wsid, 0.0, 0.0 FROM watersheds x JOIN watersheds y ON y.wsid = x.wsid + 1 AND y.stateid = x.stateid + 1),
+  ways AS (SELECT a AS wsid0, b AS wsid1, length, exitdist FROM two UNION ALL SELECT b, a, length, exitdist FROM two)
+  SELECT wsid0, wsid1, length, exitdist, CASE WHEN x.wx // 3 = y.wx // 3 THEN 0.0 ELSE round(sqrt(pow(greatest(y.minx - x.minx, 0.0, x.minx - y.maxx), 2) + pow(greatest(y.miny - x.miny, 0.0, x.miny - y.maxy), 2)), 5) END AS outside
+  FROM ways JOIN watersheds x ON x.wsid = wsid0 JOIN watersheds y ON y.wsid = wsid1""")
 def d6(spark: SparkSession, sf: str) -> DataFrame:
     t = Territory(spark, sf)
-    exits = t.watersheds.selectExpr("wsid as id", "minx as x", "miny as y")
-    return D.interface_lengths(conn(t), exits).withColumn("exitdist", F.round("exitdist", 5))
+    w = t.watersheds
+    exits = w.selectExpr("wsid as id", "minx as x", "miny as y")
+    island = w.selectExpr("wsid as wsid0", "wsid + 1 as wsid1", "stateid + 1 as stateid").join(w.selectExpr("wsid as wsid1", "stateid"), ["wsid1", "stateid"]).select("wsid0", "wsid1")
+    rings = w.selectExpr("wsid as id", "wx div 3 as basinid", "array(struct(minx as x, miny as y), struct(minx as x, maxy as y), struct(maxx as x, maxy as y), struct(maxx as x, miny as y), struct(minx as x, miny as y)) as ring")
+    return D.interface_lengths(conn(t), exits, island, rings).withColumn("exitdist", F.round("exitdist", 5)).withColumn("outside", F.round("outside", 5))
 
 
-@query("d7_island_areas", " SELECT stateid AS islandid, (count(*) * 16)::DOUBLE AS area FROM watersheds GROUP BY stateid")
+@query("d7_island_areas", " SELECT stateid AS islandid, sum(round((maxx - minx) * (maxy - miny), 6))::DOUBLE AS area FROM watersheds GROUP BY stateid")
 def d7(spark: SparkSession, sf: str) -> DataFrame:
-    return D.island_areas(Territory(spark, sf).watersheds.selectExpr("stateid as islandid", "16.0D as area"))
+    return D.island_areas(Territory(spark, sf).watersheds.selectExpr("stateid as islandid", "round((maxx - minx) * (maxy - miny), 6) as area"))
 
 
 MAPPED = OVERLAP + ", mapped AS (SELECT blockid, wsid FROM (SELECT blockid, wsid, row_number() OVER (PARTITION BY blockid ORDER BY round(area, 6) DESC, wsid) AS n FROM ov WHERE bs = ws) WHERE n = 1)"

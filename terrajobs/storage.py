@@ -11,10 +11,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder from ``spark.checkpoint.dir``. Where that is unset a temporary one serves a local
+    session; on a cluster it is an error, since executors could not read each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="terrajobs-")

@@ -220,3 +220,23 @@ def test_exit_points_follow_the_linked_parent(spark):
     faces = spark.createDataFrame([(*r, 1.0) for r in faces], "id long, neighbor long, x double, y double, length double")
     got = {r.id: (r.parent, r.x, r.y, r.step) for r in exit_points(ws, cross, faces).collect()}
     assert got == {1: (None, 0.0, 0.0, 2), 2: (1, 1.0, 1.5, 1), 3: (2, 2.0, 3.0, 5), 4: (None, 3.0, 6.0, 4), 5: (3, 6.0, 5.0, 3)}
+
+
+def test_cycles_have_no_sums(spark):
+    rows = [(1, None), (2, 1), (3, 2), (4, 5), (5, 6), (6, 5), (7, 99)]
+    nodes = spark.createDataFrame(rows, "id long, parentid long").selectExpr("id", "parentid", "10 * id as v")
+    assert {r.id: r.total for r in forest.subtree_sum(nodes, "v").collect()} == {1: 60, 2: 50, 3: 30, 4: None, 5: None, 6: None, 7: 70}
+    assert {r.id: (r.root, r.most) for r in forest.path_max(nodes, "v").collect()} == {1: (1, 10), 2: (1, 20), 3: (1, 30), 7: (7, 70)}
+
+
+def test_links_are_ranked_together_by_ranges(spark):
+    links = spark.range(200).selectExpr("id as wsid0", "id + 1 as wsid1", "double(id * 37 % 50) as descent", "double(id % 3) as boundary_descent", "1.0D as island_area", "double(id % 4) as length")
+    got = {r.wsid0: r["rank"] for r in ordering.rank_basin_links(links).collect()}
+    order = sorted(links.collect(), key=lambda r: (r.descent - r.boundary_descent, r.descent, r.island_area, -r.length, r.wsid0))
+    assert got == {r.wsid0: k for k, r in enumerate(order, 1)}
+
+
+def test_groups_far_apart_find_each_other(spark):
+    rows = [(1, 1, 0, 0.0, 0.0), (2, 2, 0, 3e9, 4e9), (3, 3, 1, 5.0, 5.0), (4, 4, 0, None, 0.0), (5, 5, 0, float("nan"), 0.0)]
+    got = joins.nearest_group(spark.createDataFrame(rows, "id long, groupid long, stateid long, x double, y double"), 10.0).collect()
+    assert {(r.groupid, r.other, r.dist) for r in got} == {(1, 2, 5e9), (2, 1, 5e9)}
