@@ -104,12 +104,12 @@ class WordIds:
         return [b"".join(map(get, words)) for words in split]
 
 
-def _portions(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+def _portions(texts: Iterable[bytes], limit: int) -> Iterator[list[bytes]]:
     held, size = [], 0
     for text in texts:
         held.append(text)
         size += len(text)
-        if size >= TEXT_BYTES:
+        if size >= limit:
             yield held
             held, size = [], 0
     if held:
@@ -122,7 +122,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     ``own`` is a sequence number for pieces that fill a window alone, else null. A null or
     empty text has the end id alone. Only documents longer than a window are cut.
     """
-    end = np.array([END_ID], "<u4").tobytes()
+    end, portion = np.array([END_ID], "<u4").tobytes(), TEXT_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = WordIds(tokenizer_path)  # goes with the task, so a reused worker does not keep it
@@ -130,8 +130,8 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             docs = iter(batch.column("doc_id").to_pylist())
-            for texts in _portions(t.as_py() or b"" for t in batch.column("text").cast(pa.large_binary())):
-                for doc, ids in zip(docs, ids_of(texts), strict=False):
+            for texts in _portions((t.as_py() or b"" for t in batch.column("text").cast(pa.large_binary())), portion):
+                for ids, doc in zip(ids_of(texts), docs, strict=False):  # ids first: zip would else take a doc of the next portion
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
@@ -139,6 +139,8 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                         for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), alone if full else None), strict=True):
                             column.append(value)
                         alone -= full
+            if next(docs, end) is not end:
+                raise AssertionError("a document was given no token ids")
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "own"])
 

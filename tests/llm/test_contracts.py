@@ -285,6 +285,26 @@ def test_spaced_seeds(spark, none):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("portion", [1, 300, 5000, 1 << 20])
+def test_pieces_across_portions(docs, portion, monkeypatch):
+    """Every document has its own token ids, wherever the texts of a batch are cut into portions."""
+    import public_tokenizers
+    import tokenizers
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    plain = tokenizers.Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "TEXT_BYTES", portion)
+    want = {}
+    for r in docs.collect():
+        ids = np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want[r.doc_id, k] = (at, len(part), zlib.crc32(part.tobytes()))
+    got = packing.pieces(docs, path).collect()
+    assert len(got) == len(want)
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want
+
+
 def test_packing(docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
