@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrajobs.llm import chat_format, decontaminate, language_id, line_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, substring_dedup
+from terrajobs.llm import chat_format, conversation_repair, decontaminate, language_id, line_dedup, near_dedup, packing, periodic, quality_model, quality_rules, secret_scan, substring_dedup
 from terrajobs.llm.common import table
 
 
@@ -60,10 +60,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_dedup, op2_secret_scan, op3_language_id, op4_line_dedup, op5_quality_rules, op6_quality_model, op7_decontaminate, op8_packing, op9_chat_format, op10_substring_dedup]
+    found = [op1_near_dedup, op2_secret_scan, op3_language_id, op4_line_dedup, op5_quality_rules, op6_quality_model, op7_decontaminate, op8_packing, op9_chat_format, op10_substring_dedup, op12_conversation_repair, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE, "op9_chat_format": chat_format.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op9_chat_format": chat_format.ORACLE, "op12_conversation_repair": conversation_repair.ORACLE}
