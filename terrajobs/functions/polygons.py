@@ -48,23 +48,35 @@ def clip_convex(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
     return subject
 
 
-def common_area(subject: np.ndarray, window: np.ndarray) -> float:
-    """Area common to two polygons of any shape and direction.
+class Window2D:
+    """A polygon of any shape and direction that others are clipped to, prepared once.
 
-    A window that is not convex is taken as its fan of triangles about the first corner,
-    which cover each inner point once when counted by their direction.
+    One that is not convex is taken as its fan of triangles about the first corner, which
+    cover each inner point once when counted by their direction.
     """
-    if len(subject) < 3 or len(window) < 3:
-        return 0.0
-    if signed_area(window) > 0:
-        window = window[::-1]
-    if is_convex(window):
-        return abs(signed_area(clip_convex(subject, window)))
-    total = 0.0
-    for b, c in zip(window[1:-1], window[2:], strict=True):
-        fan = np.array([window[0], b, c])
-        turn = signed_area(fan)
-        if turn:
-            part = abs(signed_area(clip_convex(subject, fan if turn < 0 else fan[::-1])))
-            total += part if turn < 0 else -part
-    return max(total, 0.0)
+
+    def __init__(self, window: np.ndarray) -> None:
+        if signed_area(window) > 0:
+            window = window[::-1]
+        self.parts: list[tuple[int, np.ndarray]] = []
+        if len(window) >= 3 and is_convex(window):
+            self.parts = [(1, window)]
+        else:
+            for b, c in zip(window[1:-1], window[2:], strict=True):
+                fan = np.array([window[0], b, c])
+                turn = signed_area(fan)
+                if turn:
+                    self.parts.append((1, fan) if turn < 0 else (-1, fan[::-1]))
+        self.boxes = [(sign, part, part.min(axis=0), part.max(axis=0)) for sign, part in self.parts]
+
+    def common_area(self, subject: np.ndarray) -> float:
+        if len(subject) < 3:
+            return 0.0
+        low, high = subject.min(axis=0), subject.max(axis=0)
+        near = ((sign, part) for sign, part, lo, hi in self.boxes if (lo < high).all() and (hi > low).all())
+        return max(sum(sign * abs(signed_area(clip_convex(subject, part))) for sign, part in near), 0.0)
+
+
+def common_area(subject: np.ndarray, window: np.ndarray) -> float:
+    """Area common to two polygons of any shape and direction."""
+    return Window2D(window).common_area(subject)

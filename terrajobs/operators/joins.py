@@ -23,10 +23,6 @@ def _cell(v: Column | str, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def _cover(lo: Column | str, hi: Column | str, size: float) -> Column:
-    return F.explode(F.sequence(_cell(lo, size), _cell(hi, size)))
-
-
 def renamed(df: DataFrame, suffix: str) -> DataFrame:
     return df.select([F.col(c).alias(c + suffix) for c in df.columns])
 
@@ -87,18 +83,35 @@ def within_distance(a: DataFrame, b: DataFrame, d: float, distinct_owner: bool =
     return pairs.drop("_cx", "_cy")
 
 
+def _in_cells(df: DataFrame, s: str, others: DataFrame, tile: float) -> DataFrame:
+    """Boxes in the cells of their own size, and of those larger sizes that the other side has."""
+    rows = renamed(df, s).withColumn(f"_own{s}", _level(s, tile)).join(F.broadcast(others), how="inner")
+    levels = F.concat(F.array(f"_own{s}"), F.filter("_levels", lambda v: v > F.col(f"_own{s}")))
+    rows = rows.withColumn("_level", F.explode(levels)).withColumn("_size", F.lit(tile) * F.pow(F.lit(2.0), F.col("_level")))
+    at = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("_size")), F.floor(F.col(hi) / F.col("_size"))))
+    return rows.withColumn("_tx", at(f"minx{s}", f"maxx{s}")).withColumn("_ty", at(f"miny{s}", f"maxy{s}")).drop("_levels")
+
+
+def _level(s: str, tile: float) -> Column:
+    side = F.greatest(F.col(f"maxx{s}") - F.col(f"minx{s}"), F.col(f"maxy{s}") - F.col(f"miny{s}"))
+    return F.when(side > tile, F.ceil(F.log2(side / tile))).otherwise(0).cast("int")
+
+
 def bbox_join(a: DataFrame, b: DataFrame, tile: float, touching: bool = True) -> DataFrame:
     """Pairs whose boxes (minx, miny, maxx, maxy) meet; columns get suffixes 0 and 1.
 
-    Each pair is taken in the tile of the lower left corner of the boxes' overlap.
+    Cells double from ``tile`` up. A box lies in at most four cells of the level of its size,
+    and is looked up in as many of each larger level in use, so a box that covers the whole
+    plane costs no more than a small one. A pair meets at the level of its larger box, in
+    the cell of the lower left corner of the boxes' overlap.
     """
-    covered = lambda df, s: (
-        renamed(df, s).withColumn("_tx", _cover(f"minx{s}", f"maxx{s}", tile)).withColumn("_ty", _cover(f"miny{s}", f"maxy{s}", tile))
-    )
-    here = (F.col("_tx") == _cell(F.greatest("minx0", "minx1"), tile)) & (F.col("_ty") == _cell(F.greatest("miny0", "miny1"), tile))
+    used = lambda df, s: renamed(df.select("minx", "miny", "maxx", "maxy"), s).agg(F.collect_set(_level(s, tile)).alias("_levels"))
+    left, right = _in_cells(a, "0", used(b, "1"), tile), _in_cells(b, "1", used(a, "0"), tile).drop("_size")
+    cell = lambda c: F.floor(F.greatest(f"{c}0", f"{c}1") / F.col("_size"))
+    here = (F.col("_level") == F.greatest("_own0", "_own1")) & (F.col("_tx") == cell("minx")) & (F.col("_ty") == cell("miny"))
     op = "<=" if touching else "<"
     meet = F.expr(f"minx0 {op} maxx1 and minx1 {op} maxx0 and miny0 {op} maxy1 and miny1 {op} maxy0")
-    return covered(a, "0").join(covered(b, "1"), ["_tx", "_ty"]).filter(meet & here).drop("_tx", "_ty")
+    return left.join(right, ["_level", "_tx", "_ty"]).filter(meet & here).drop("_level", "_tx", "_ty", "_size", "_own0", "_own1")
 
 
 def _segment_boxes(segments: DataFrame, margin: float) -> DataFrame:
@@ -219,9 +232,9 @@ def nearest_group(members: DataFrame, radius: float) -> DataFrame:
 
     Takes (id, groupid, stateid, x, y). Groups without a neighbour within the radius are
     tried again at twice the radius until each has one; a group alone in its state has no
-    row, and members without a place count as absent.
+    row, and members without a group, a state or a place count as absent.
     """
-    members = members.filter("abs(x) < double('infinity') and abs(y) < double('infinity')")
+    members = members.filter("groupid is not null and stateid is not null and abs(x) < double('infinity') and abs(y) < double('infinity')")
     per_state = members.groupBy("stateid").agg(F.count_distinct("groupid").alias("n")).filter("n > 1").select("stateid")
     members = members.join(per_state, "stateid", "left_semi")
     out, rest = None, members

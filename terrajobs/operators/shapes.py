@@ -1,17 +1,15 @@
-"""Rings as rows: segments, runs, roll-ups, outlines, overlap areas, clipping."""
+"""Rings as rows: segments, runs, roll-ups, overlap areas, closing gaps."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrajobs.functions.polygons import clip_convex, common_area, is_convex, points, signed_area
+from terrajobs.functions.polygons import Window2D, points
+from terrajobs.functions.rings import ring_area
 from terrajobs.functions.scalars import along_distance, planar_distance
-from terrajobs.operators.components import component_labels
 from terrajobs.operators.joins import bbox_join
 from terrajobs.operators.ordering import best_per, with_dense_id
 from terrajobs.storage import discard, stash
@@ -148,61 +146,7 @@ def snap_segment(segments: DataFrame, points: DataFrame) -> DataFrame:
     return rows.select("id", F.posexplode(pieces).alias("piece", "s")).selectExpr("id", "piece", "s.a.x as x0", "s.a.y as y0", "s.b.x as x1", "s.b.y as y1").filter("not (x0 = x1 and y0 = y1)")
 
 
-# --- outlines --------------------------------------------------------------------------
-
-
-def outline_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """A group's segments whose reverse is not in the group: shared edges cancel."""
-    undirected = F.expr("case when x0 < x1 or (x0 = x1 and y0 < y1) then struct(x0 as a, y0 as b, x1 as c, y1 as d) else struct(x1 as a, y1 as b, x0 as c, y0 as d) end")
-    forward = F.expr("x0 < x1 or (x0 = x1 and y0 < y1)")
-    net = segments.withColumn("_u", undirected).groupBy(*keys, "_u").agg(F.count_if(forward).alias("f"), F.count_if(~forward).alias("b")).filter("f <> b")
-    return net.selectExpr(*keys, "if(f > b, _u.a, _u.c) as x0", "if(f > b, _u.b, _u.d) as y0", "if(f > b, _u.c, _u.a) as x1", "if(f > b, _u.d, _u.b) as y1")
-
-
-def _walk(xy: np.ndarray) -> list[list[tuple[float, float]]]:
-    """Closed rings from directed segments; at a crossing the sharpest right turn is taken."""
-    out: dict[tuple[float, float], list[tuple[float, float]]] = {}
-    for x0, y0, x1, y1 in xy.tolist():
-        out.setdefault((x0, y0), []).append((x1, y1))
-    rings = []
-    for start in sorted(out):
-        while out.get(start):
-            ring, here = [start], out[start].pop()
-            while here != start and out.get(here):
-                ring.append(here)
-                (px, py), (cx, cy) = ring[-2], here
-                back = np.arctan2(py - cy, px - cx)
-                turn = [(back - np.arctan2(y - cy, x - cx)) % (2 * np.pi) for x, y in out[here]]
-                here = out[here].pop(int(np.argmax(turn)))
-            ring.append(here)
-            rings.append(ring)
-    return rings
-
-
-def stitch_rings(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Directed segments of closed outlines to rings: (keys, ring number, ring).
-
-    Ends are labelled by connected component first, so a task walks one closed outline, never
-    a whole group's.
-    """
-    ids = F.struct("x0", "y0"), F.struct("x1", "y1")
-    node = lambda c: F.xxhash64(*keys, c)
-    rows = stash(segments.select(*keys, "x0", "y0", "x1", "y1", node(ids[0]).alias("src"), node(ids[1]).alias("dst")), "outline")
-    parts = component_labels(rows.select(F.col("src").alias("id")), rows.select("src", "dst"))
-    labelled = rows.join(parts, F.col("src") == F.col("id")).select(*keys, "component", "x0", "y0", "x1", "y1")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = _walk(pdf.sort_values(["x0", "y0", "x1", "y1"])[["x0", "y0", "x1", "y1"]].to_numpy(float))
-        head = {k: pdf[k].iloc[0] for k in [*keys, "component"]}
-        return pd.DataFrame([{**head, "n": i, "ring": [{"x": x, "y": y} for x, y in r]} for i, r in enumerate(rings)])
-
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return labelled.groupBy(*keys, "component").applyInPandas(walk, f"{kinds}, component long, n int, ring array<struct<x:double,y:double>>")
-
-
-def dissolve(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Outlines of groups of polygons given as directed segments."""
-    return stitch_rings(outline_segments(segments, keys), keys)
+# --- roll-ups ---------------------------------------------------------------------------
 
 
 def tile_rollup(df: DataFrame, r0: int = 13, step: int = 3) -> DataFrame:
@@ -224,49 +168,45 @@ def tile_rollup(df: DataFrame, r0: int = 13, step: int = 3) -> DataFrame:
 # --- areas -----------------------------------------------------------------------------
 
 
-def overlap_area(a: DataFrame, b: DataFrame, tile: float) -> DataFrame:
-    """Pairs of simple polygons of any shape that overlap, with the area of their
-    intersection. Takes id, ring and box columns; returns id0, id1, area (> 0)."""
-    met = bbox_join(a.select("id", "ring", "minx", "miny", "maxx", "maxy"), b.select("id", "ring", "minx", "miny", "maxx", "maxy"), tile, touching=False).select("id0", "id1", "ring0", "ring1")
-
-    def area(r0: pd.Series, r1: pd.Series) -> pd.Series:
-        return pd.Series([common_area(points(p), points(q)) for p, q in zip(r0, r1, strict=True)], dtype=float)
-
-    return met.withColumn("area", F.pandas_udf(area, "double")("ring0", "ring1")).filter("area > 0").select("id0", "id1", "area")
-
-
-def chop_by_region(polys: DataFrame, regions: DataFrame, tile: float) -> DataFrame:
-    """Pieces of polygons in each convex clockwise region: newid (serial), id, stateid, ring.
+def _plain_box() -> Column:
+    """Whether a ring is just its box: five points on the corners that enclose all of it."""
+    corner = lambda p: ((p["x"] == F.col("minx")) | (p["x"] == F.col("maxx"))) & ((p["y"] == F.col("miny")) | (p["y"] == F.col("maxy")))
+    whole = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
+    return (F.size("ring") == 5) & F.forall("ring", corner) & (F.abs(ring_area(F.col("ring")) - whole) <= 1e-9 * whole)
 
-    A region that is not convex and clockwise raises an error: its pieces may be several
-    rings, which one row cannot hold. ``overlap_area`` takes regions of any shape.
-    """
-    cols = ["id", "ring", "minx", "miny", "maxx", "maxy"]
-    met = bbox_join(polys.select(cols), regions.select(*cols, "stateid"), tile, touching=False).select(F.col("id0").alias("id"), F.col("stateid1").alias("stateid"), F.col("id1").alias("region"), "ring0", "ring1")
-
-    def clip(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            windows = [points(q) for q in pdf["ring1"]]
-            if not all(is_convex(w) for w in windows):
-                raise ValueError("a region is not convex and clockwise")
-            pieces = [clip_convex(points(p), w) for p, w in zip(pdf["ring0"], windows, strict=True)]
-            out = pdf[["id", "stateid", "region"]].copy()
-            out["ring"] = [[{"x": x, "y": y} for x, y in [*c.tolist(), c[0].tolist()]] if signed_area(c) != 0 else None for c in pieces]
-            yield out[out["ring"].notna()]
-
-    kinds = ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in ("id", "stateid", "region"))
-    return with_dense_id(met.mapInPandas(clip, f"{kinds}, ring array<struct<x:double,y:double>>"), ["id", "stateid", "region"], "newid")
 
+def overlap_area(a: DataFrame, b: DataFrame, tile: float) -> DataFrame:
+    """Pairs of simple polygons of any shape that overlap, with the area of their
+    intersection. Takes id, ring and box columns; returns id0, id1, area (> 0).
 
-def mask_by_coast(ws: DataFrame, water: DataFrame, tile: float) -> DataFrame:
-    """(id, area): what is left of polygons after disjoint waters are taken away.
-
-    Takes id, ring, box, area and ``border``. Polygons on the border that meet water keep
-    what is land; border polygons wholly under water come back with area 0; polygons that
-    meet no water are unchanged.
+    Rings that are boxes are not sent through the join, and two boxes meet by arithmetic
+    alone; other pairs are clipped in vectorized tasks.
     """
-    wet = overlap_area(ws, water, tile).groupBy(F.col("id0").alias("id")).agg(F.sum("area").alias("_wet"))
-    return ws.join(wet, "id", "left").select("id", F.greatest(F.col("area") - F.coalesce("_wet", F.lit(0.0)), F.lit(0.0)).alias("area"))
+    box = ["minx", "miny", "maxx", "maxy"]
+    bare = lambda df: df.select("id", *box, F.when(~_plain_box(), F.col("ring")).alias("ring"))
+    met = bbox_join(bare(a), bare(b), tile, touching=False)
+    shaped = F.col("ring0").isNotNull() | F.col("ring1").isNotNull()
+    corners = [F.when(shaped, F.array(*(c + k for c in box))).alias(f"box{k}") for k in "01"]
+    across = F.expr("(least(maxx0, maxx1) - greatest(minx0, minx1)) * (least(maxy0, maxy1) - greatest(miny0, miny1))")
+
+    def area(r0: pd.Series, r1: pd.Series, b0: pd.Series, b1: pd.Series, id1: pd.Series) -> pd.Series:
+        out, windows = np.zeros(len(r0)), {}
+
+        def corners_of(ring: list | None, box: list) -> np.ndarray:
+            if ring is not None:
+                return points(ring)
+            x0, y0, x1, y1 = box
+            return np.array([(x0, y0), (x0, y1), (x1, y1), (x1, y0)], float)
+
+        for k in np.flatnonzero(b0.notna().to_numpy()):
+            if id1[k] not in windows:
+                windows[id1[k]] = Window2D(corners_of(r1[k], b1[k]))
+            out[k] = windows[id1[k]].common_area(corners_of(r0[k], b0[k]))
+        return pd.Series(out)
+
+    clipped = F.pandas_udf(area, "double")("ring0", "ring1", "box0", "box1", "id1")
+    rows = met.select("id0", "id1", "ring0", "ring1", *corners, F.when(~shaped, across).alias("across")).withColumn("clipped", clipped)
+    return rows.select("id0", "id1", F.coalesce("across", "clipped").alias("area")).filter("area > 0")
 
 
 def assign_by_max_overlap(overlaps: DataFrame) -> DataFrame:

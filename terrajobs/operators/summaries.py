@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrajobs.functions.rings import closest_point_on_ring, contains_point
 from terrajobs.functions.scalars import planar_distance
 from terrajobs.operators.ordering import best_per
+from terrajobs.operators.outlines import XY, outline_segments, rings
 
 
 def state_population(blocks: DataFrame) -> DataFrame:
@@ -76,6 +77,22 @@ def district_summary(assignment: DataFrame, blocks: DataFrame) -> DataFrame:
     return assignment.join(blocks.select("blockid", "stateid", "population"), "blockid").groupBy("stateid", "districtid").agg(F.sum("population").cast("long").alias("population"), F.count("*").alias("blocks"))
 
 
+def district_outlines(assignment: DataFrame, blocks: DataFrame, segments: DataFrame) -> DataFrame:
+    """``district_summary`` with the segments of each district's outline (x0, y0, x1, y1), in
+    order along its rings (ring, ordinal). Takes the blocks' directed segments (blockid, ends)."""
+    keys = ["stateid", "districtid"]
+    owned = segments.select("blockid", *XY).join(assignment.select("blockid", "districtid"), "blockid").join(blocks.select("blockid", "stateid"), "blockid")
+    return rings(outline_segments(owned.select(*keys, *XY), keys), keys).join(district_summary(assignment, blocks), keys)
+
+
+def basin_outlines(ws: DataFrame, segments: DataFrame) -> DataFrame:
+    """``basin_summary`` with the segments of each basin's outline, as in ``district_outlines``.
+    Takes the watersheds' directed segments (id, ends)."""
+    keys = ["stateid", "basinid"]
+    owned = segments.select("id", *XY).join(ws.select("id", *keys), "id")
+    return rings(outline_segments(owned.select(*keys, *XY), keys), keys).join(basin_summary(ws), keys)
+
+
 def basin_summary(ws: DataFrame) -> DataFrame:
     return ws.groupBy("stateid", "basinid").agg(F.sum("population").cast("long").alias("population"), F.count("*").alias("watersheds"))
 

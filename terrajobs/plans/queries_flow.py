@@ -11,6 +11,7 @@ from terrajobs.operators import summaries as D
 from terrajobs.plans.fixtures import Territory
 from terrajobs.plans.queries_shape import MAPPED, mapped
 from terrajobs.plans.registry import query
+from terrajobs.storage import stash
 
 SIZE = 1500
 
@@ -26,7 +27,7 @@ UPSTREAM = (
 
 def upstream(t: Territory) -> DataFrame:
     """(id, parentid, population, branchpopulation) of every watershed."""
-    own = D.watershed_population(mapped(t), t.blocks, t.watersheds)
+    own = stash(D.watershed_population(mapped(t), t.blocks, t.watersheds), "population")  # read by every round
     tree = own.join(t.watersheds.select("wsid", "parentid"), "wsid").select(F.col("wsid").alias("id"), "parentid", "population")
     return tree.join(T.subtree_sum(tree, "population", "branchpopulation"), "id")
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from terrajobs.operators import components as G
 from terrajobs.operators import forest as I
+from terrajobs.operators import outlines as N
 from terrajobs.operators import shapes as E
 from terrajobs.plans.fixtures import Territory
-from terrajobs.plans.queries_shape import CONN, REV, SEGS, conn, segs
+from terrajobs.plans.queries_shape import CONN, RINGS, SEGS, conn, segs
 from terrajobs.plans.registry import query
 
 # Chains of 500 have their answer in closed form; the recursion over watersheds is shallow.
@@ -186,10 +187,7 @@ def i26(spark: SparkSession, sf: str) -> DataFrame:
     return ends.filter("abs(x0 * 100 - round(x0 * 100)) > 1").select("x0")
 
 
-@query("i27_stitch_rings", SEGS + f""", o AS (SELECT * FROM segs a WHERE NOT EXISTS (SELECT 1 FROM segs b WHERE {REV} AND a.stateid = b.stateid)) SELECT stateid, count(*)::DOUBLE AS length FROM o GROUP BY stateid""")
+@query("i27_stitch_rings", SEGS + RINGS + " SELECT stateid, ring, ordinal, x0, y0, x1, y1 FROM ringed")
 def i27(spark: SparkSession, sf: str) -> DataFrame:
-    from terrajobs.functions.rings import ring_length
-
-    rings = E.stitch_rings(E.outline_segments(segs(Territory(spark, sf)), ["stateid"]), ["stateid"])
-    return rings.groupBy("stateid").agg(F.sum(ring_length(F.col("ring"))).alias("length"))
-
+    """Every outline of both states, dart by dart."""
+    return N.rings(N.outline_segments(segs(Territory(spark, sf)), ["stateid"]), ["stateid"])

@@ -9,6 +9,8 @@ from terrajobs.functions import scalars as S
 from terrajobs.functions.rings import ring_bbox
 from terrajobs.operators import joins as C
 from terrajobs.operators import ordering as O
+from terrajobs.operators import outlines as N
+from terrajobs.operators import overlay as V
 from terrajobs.operators import shapes as E
 from terrajobs.operators import summaries as D
 from terrajobs.plans.fixtures import Territory
@@ -134,18 +136,28 @@ def c11(spark: SparkSession, sf: str) -> DataFrame:
     return E.overlap_area(boxed(t), ws_boxed(t, some=True), 4.0).select(F.col("id0").alias("blockid"), F.col("id1").alias("wsid"), F.round("area", 6).alias("area"))
 
 
-@query("c12_chop_by_region", """, r AS (SELECT 1 AS stateid, 0 AS lo, 20 AS hi UNION ALL SELECT 2, 20, 44)
-  SELECT row_number() OVER (ORDER BY wsid, r.stateid) AS newid, wsid AS id, r.stateid, round((least(maxx, hi) - greatest(minx, lo)) * 4, 6) AS area FROM watersheds w JOIN r ON minx < hi AND maxx > lo""")
+def ring_of(*corners: tuple[str, str]) -> str:
+    """SQL of a closed ring through corners given as SQL."""
+    return "array(" + ", ".join(f"named_struct('x', cast({x} as double), 'y', cast({y} as double))" for x, y in [*corners, corners[0]]) + ")"
+
+
+# A region per 2 x 2 watersheds: two arms on a base, open at the top.
+C12 = """, r AS (SELECT DISTINCT (wy // 2) * 10 + wx // 2 AS region, wx // 2 % 2 + 1 AS stateid, 8 * (wx // 2) AS x, 8 * (wy // 2) AS y FROM watersheds),
+  o AS (SELECT wsid AS id, region, r.stateid, x, y, greatest(minx, x) AS lx, greatest(miny, y) AS ly, least(maxx, x + 8) AS hx, least(maxy, y + 8) AS hy FROM watersheds JOIN r ON minx < x + 8 AND maxx > x AND miny < y + 8 AND maxy > y),
+  p AS (SELECT *, least(hx, x + 2) > lx AS l, hx > greatest(lx, x + 3) AS r, ly < y + 2 AND least(hx, x + 3) > greatest(lx, x + 2) AS b FROM o),
+  a AS (SELECT *, CASE WHEN l THEN (least(hx, x + 2) - lx) * (hy - ly) ELSE 0 END AS la, CASE WHEN r THEN (hx - greatest(lx, x + 3)) * (hy - ly) ELSE 0 END AS ra, CASE WHEN b THEN (least(hx, x + 3) - greatest(lx, x + 2)) * (least(hy, y + 2) - ly) ELSE 0 END AS ba FROM p),
+  pieces AS (SELECT id, region, stateid, la + ra + ba AS area, CASE WHEN l THEN lx WHEN b THEN greatest(lx, x + 2) ELSE greatest(lx, x + 3) END AS minx, CASE WHEN r THEN hx WHEN b THEN least(hx, x + 3) ELSE least(hx, x + 2) END AS maxx FROM a WHERE (l OR r OR b) AND (b OR NOT (l AND r))
+    UNION ALL SELECT id, region, stateid, la, lx, least(hx, x + 2) FROM a WHERE l AND r AND NOT b UNION ALL SELECT id, region, stateid, ra, greatest(lx, x + 3), hx FROM a WHERE l AND r AND NOT b)
+  SELECT row_number() OVER (ORDER BY id, region, minx) AS newid, id, stateid, region, round(area, 6) AS area, round(minx, 6) AS minx, round(maxx, 6) AS maxx FROM pieces"""
+
+
+@query("c12_chop_by_region", C12)
 def c12(spark: SparkSession, sf: str) -> DataFrame:
     t = Territory(spark, sf)
-    top = "1e6D"
-    corner = lambda x, y: f"named_struct('x', cast({x} as double), 'y', {y})"
-    r = spark.sql("select * from values (1L, 0D, 20D), (2L, 20D, 44D) as r(stateid, lo, hi)").selectExpr("stateid", "stateid as id", f"array({corner('lo', '-1D')}, {corner('lo', top)}, {corner('hi', top)}, {corner('hi', '-1D')}, {corner('lo', '-1D')}) as ring", "lo as minx", "hi as maxx")
-    high = t.watersheds.agg(F.max("maxy").alias("maxy"))
-    r = r.join(F.broadcast(high), how="inner").withColumn("miny", F.lit(0.0))
-    from terrajobs.functions.rings import ring_area
-
-    return E.chop_by_region(ws_boxed(t), r, 8.0).select("newid", "id", "stateid", F.round(ring_area(F.col("ring")), 6).alias("area"))
+    shape = ring_of(("x", "y"), ("x", "y + 8"), ("x + 2", "y + 8"), ("x + 2", "y + 2"), ("x + 3", "y + 2"), ("x + 3", "y + 8"), ("x + 8", "y + 8"), ("x + 8", "y"))
+    r = t.watersheds.selectExpr("(wy div 2) * 10 + wx div 2 as id", "wx div 2 % 2 + 1 as stateid", "8 * (wx div 2) as x", "8 * (wy div 2) as y").distinct().selectExpr("id", "stateid", f"{shape} as ring")
+    box = ring_bbox(F.col("ring"))
+    return V.chop_by_region(ws_boxed(t).select("id", "ring"), r, 4.0).select("newid", "id", "stateid", "region", F.round("area", 6).alias("area"), F.round(box["minx"], 6).alias("minx"), F.round(box["maxx"], 6).alias("maxx"))
 
 
 @query("c13_nearest_within_passes", """, l AS (SELECT id, owner % 2 + 1 AS stateid, x, y FROM points WHERE id % 5 = 0), r AS (SELECT id, owner % 2 + 1 AS stateid, x, y FROM points WHERE id % 5 <> 0),
@@ -256,10 +268,24 @@ def c23(spark: SparkSession, sf: str) -> DataFrame:
     return C.backfill(b, b.filter("blockid % 3 = 0").selectExpr("blockid", "population * 2 as population"), "blockid", {"population": 0})
 
 
-@query("c24_mask_by_coast", OVERLAP + ", wet AS (SELECT blockid, sum(area) AS area FROM ov WHERE wsid % 3 = 0 GROUP BY blockid) SELECT b.blockid AS id, round(greatest(1 - coalesce(w.area, 0), 0), 5) AS area FROM blocks b LEFT JOIN wet w USING (blockid)")
+# Ponds inside, canals across, and land in the lower half of three rows of four.
+C24 = """, w AS (SELECT *, wx % 5 = 0 AS border, wsid % 3 = 0 AS pond, wsid % 5 = 1 AND wsid % 3 <> 0 AS canal FROM watersheds),
+  n AS (SELECT w.*, (SELECT count(*) FROM w v WHERE v.canal AND v.wy = w.wy AND abs(v.wx - w.wx) = 1) AS nicks FROM w)
+  SELECT wsid AS id, CASE WHEN border AND wy % 4 = 3 THEN 0 WHEN canal AND NOT border THEN 2 ELSE 1 END AS parts, CASE WHEN pond AND NOT border THEN 1 ELSE 0 END AS holes,
+    round(CASE WHEN border AND wy % 4 = 3 THEN 0 WHEN border THEN 8 - CASE WHEN pond THEN 2 ELSE 0 END - CASE WHEN canal THEN 2 ELSE 0 END - nicks * 0.05 ELSE 16 - CASE WHEN pond OR canal THEN 4 ELSE 0 END - nicks * 0.1 END, 5)::DOUBLE AS area FROM n"""
+
+
+@query("c24_mask_by_coast", C24)
 def c24(spark: SparkSession, sf: str) -> DataFrame:
     t = Territory(spark, sf)
-    return E.mask_by_coast(boxed(t).withColumn("area", F.lit(1.0)), ws_boxed(t, some=True).filter("id % 3 = 0"), 4.0).select("id", F.round("area", 5).alias("area"))
+    w = t.watersheds
+    rect = lambda x0, y0, x1, y1: ring_of((x0, y0), (x0, y1), (x1, y1), (x1, y0))
+    pond = w.filter("wsid % 3 = 0").selectExpr("wsid as id", rect("minx + 1", "miny + 1", "minx + 3", "miny + 3") + " as ring")
+    canal = w.filter("wsid % 5 = 1 and wsid % 3 <> 0").selectExpr("wsid as id", rect("minx - 0.1D", "miny + 1.5D", "maxx + 0.1D", "miny + 2.5D") + " as ring")
+    land = w.filter("wy % 4 <> 3").groupBy("wy").agg(F.min("miny").alias("miny")).selectExpr("wy as id", rect("-1", "miny", "44", "miny + 2") + " as ring")
+    ws = ws_boxed(t).join(w.selectExpr("wsid as id", "wx % 5 = 0 as border"), "id").select("id", "ring", "border")
+    left = V.mask_by_coast(ws, pond.unionByName(canal), land, 4.0)
+    return left.groupBy("id").agg(F.count("ring").alias("parts"), F.sum(F.size("holes")).alias("holes"), F.round(F.sum("area"), 5).alias("area"))
 
 
 @query("c25_pair_first_appearance", """, p AS (SELECT row_number() OVER (ORDER BY id) AS rank, x % 200 AS a, y % 200 + 100 AS b FROM points WHERE x % 200 <> y % 200 + 100),
@@ -276,7 +302,7 @@ OUTLINE = SEGS + ", outline AS (SELECT * FROM segs a WHERE NOT EXISTS (SELECT 1
 @query("c26_segments_on_outline", OUTLINE + " SELECT DISTINCT s.id FROM segs s JOIN outline o ON (s.x0 = o.x0 AND s.y0 = o.y0 AND s.x1 = o.x1 AND s.y1 = o.y1) OR (s.x0 = o.x1 AND s.y0 = o.y1 AND s.x1 = o.x0 AND s.y1 = o.y0)")
 def c26(spark: SparkSession, sf: str) -> DataFrame:
     s = segs(Territory(spark, sf))
-    return C.segments_on_outline(s, E.outline_segments(s, ["stateid"])).select("id")
+    return C.segments_on_outline(s, N.outline_segments(s, ["stateid"])).select("id")
 
 
 # --- aggregations ----------------------------------------------------------------------
@@ -298,12 +324,30 @@ def d2(spark: SparkSession, sf: str) -> DataFrame:
     return E.tile_rollup(b, 13, 3)
 
 
-@query("d3_dissolve", " SELECT stateid, count(*)::DOUBLE AS area FROM blocks GROUP BY stateid")
+@query("d2_tile_outlines", f""", c AS (SELECT blockid, stateid, {CODE_SQL} AS code FROM blocks), l AS (SELECT unnest([13, 10, 7, 4, 1, 0]) AS level, unnest([0, 3, 6, 9, 12, 15]) AS shift),
+  stop AS (SELECT min(shift) AS s FROM (SELECT shift FROM c, l GROUP BY shift HAVING count(DISTINCT code >> (2 * shift)) = 1)),
+  g AS (SELECT level, g.stateid, code >> (2 * shift) AS code, x0, y0, x1, y1 FROM segments g JOIN c USING (blockid), l WHERE shift <= (SELECT s FROM stop))
+  SELECT level, stateid, code, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.level = a.level AND b.stateid = a.stateid AND b.code = a.code AND {REV})""")
+def d2b(spark: SparkSession, sf: str) -> DataFrame:
+    """Outlines of every tile at every level, equal to those of its blocks."""
+    t = Territory(spark, sf)
+    code = t.blocks.select(F.col("blockid").alias("wsid"), S.morton_code("cx", "cy").alias("code"))
+    return N.rollup_outlines(segs(t).join(code, "wsid"), 13, 3)
+
+
+# Rings walked one dart after the other: the sharpest right turn first.
+RINGS = f""", o AS (SELECT *, row_number() OVER (ORDER BY stateid, x0, y0, x1, y1) - 1 AS d FROM (SELECT stateid, x0, y0, x1, y1 FROM segs a WHERE NOT EXISTS (SELECT 1 FROM segs b WHERE {REV} AND a.stateid = b.stateid))),
+  turn AS (SELECT a.d, b.d AS next, row_number() OVER (PARTITION BY a.d ORDER BY sign((a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0))) AS n FROM o a JOIN o b ON a.stateid = b.stateid AND a.x1 = b.x0 AND a.y1 = b.y0),
+  walk AS (SELECT d AS first, d AS pos, 0 AS ordinal FROM o UNION ALL SELECT first, next, ordinal + 1 FROM walk JOIN turn ON d = pos AND n = 1 WHERE next <> first),
+  ringed AS (SELECT w.first AS ring, ordinal, o.* FROM walk w JOIN o ON o.d = w.pos WHERE w.first IN (SELECT first FROM walk GROUP BY first HAVING min(pos) = first))"""
+
+
+@query("d3_dissolve", SEGS + RINGS + " SELECT stateid, ring AS n, count(*) + 1 AS points, sum(y0 * x1 - x0 * y1) / 2 AS area, max(x0) AS maxx FROM ringed GROUP BY stateid, ring")
 def d3(spark: SparkSession, sf: str) -> DataFrame:
     from terrajobs.functions.rings import signed_area
 
-    rings = E.dissolve(segs(Territory(spark, sf)), ["stateid"])
-    return rings.groupBy("stateid").agg(F.sum(-signed_area(F.col("ring"))).alias("area"))
+    outlines = N.dissolve(segs(Territory(spark, sf)), ["stateid"])
+    return outlines.select("stateid", "n", F.size("ring").alias("points"), (-signed_area(F.col("ring"))).alias("area"), ring_bbox(F.col("ring"))["maxx"].alias("maxx"))
 
 
 @query("d4_duplicate_keys", " SELECT x, count(*) AS n FROM (SELECT x % 977 AS x FROM points) GROUP BY x HAVING count(*) > 1")
@@ -386,6 +430,20 @@ def d13(spark: SparkSession, sf: str) -> DataFrame:
     return D.district_summary(b.selectExpr("blockid", "blockid % 7 as districtid"), b)
 
 
+DISTRICT = ", g AS (SELECT stateid, wsid % 7 AS districtid, x0, y0, x1, y1 FROM segs)"
+
+
+@query("d13_district_outlines", SEGS + DISTRICT + f""", o AS (SELECT * FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE a.stateid = b.stateid AND a.districtid = b.districtid AND {REV}))
+  SELECT o.stateid, o.districtid, p.population, p.blocks, o.area, o.length FROM (SELECT stateid, districtid, sum(y0 * x1 - x0 * y1) / 2 AS area, count(*)::DOUBLE AS length FROM o GROUP BY ALL) o
+  JOIN (SELECT stateid, blockid % 7 AS districtid, sum(population)::BIGINT AS population, count(*) AS blocks FROM blocks GROUP BY ALL) p USING (stateid, districtid)""")
+def d13b(spark: SparkSession, sf: str) -> DataFrame:
+    """Districts with their outlines, told by enclosed area and length."""
+    t = Territory(spark, sf)
+    own = t.blocks.selectExpr("blockid", "blockid % 7 as districtid")
+    outlined = D.district_outlines(own, t.blocks, segs(t).withColumnRenamed("wsid", "blockid"))
+    return outlined.groupBy("stateid", "districtid", "population", "blocks").agg((F.sum(F.expr("y0 * x1 - x0 * y1")) / 2).alias("area"), F.sum(S.planar_distance("x0", "y0", "x1", "y1")).alias("length"))
+
+
 @query("d14_basin_summary", " SELECT stateid, wy // 3 AS basinid, sum(wsid)::BIGINT AS population, count(*) AS watersheds FROM watersheds GROUP BY 1, 2")
 def d14(spark: SparkSession, sf: str) -> DataFrame:
     return D.basin_summary(Territory(spark, sf).watersheds.selectExpr("stateid", "wy div 3 as basinid", "wsid as population"))

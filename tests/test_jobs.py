@@ -198,16 +198,6 @@ def test_polygons_that_are_not_convex(spark):
         assert {r.id0 for r in joins.contained_pairs(inner, outer, 4.0).collect()} == {3, 5}
 
 
-def test_pieces_need_convex_regions(spark):
-    import pytest
-
-    from terrajobs.operators import shapes
-
-    region = polygon(spark, [(9, L_SHAPE)]).selectExpr("*", "1 as stateid")
-    with pytest.raises(Exception, match="not convex"):
-        shapes.chop_by_region(polygon(spark, [(1, [(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)])]), region, 4.0).collect()
-
-
 def test_exit_points_follow_the_linked_parent(spark):
     from terrajobs.operators.forest import exit_points
 
@@ -240,3 +230,29 @@ def test_groups_far_apart_find_each_other(spark):
     rows = [(1, 1, 0, 0.0, 0.0), (2, 2, 0, 3e9, 4e9), (3, 3, 1, 5.0, 5.0), (4, 4, 0, None, 0.0), (5, 5, 0, float("nan"), 0.0)]
     got = joins.nearest_group(spark.createDataFrame(rows, "id long, groupid long, stateid long, x double, y double"), 10.0).collect()
     assert {(r.groupid, r.other, r.dist) for r in got} == {(1, 2, 5e9), (2, 1, 5e9)}
+
+
+def test_groups_without_an_id_or_a_state(spark):
+    rows = [(1, 1, 0, 0.0, 0.0), (2, None, 0, 1.0, 0.0), (3, 3, 0, 5.0, 0.0), (4, 4, None, 2.0, 0.0), (5, None, None, 3.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, groupid long, stateid long, x double, y double")
+    assert {(r.groupid, r.other, r.dist) for r in joins.nearest_group(df, 1.0).collect()} == {(1, 3, 5.0), (3, 1, 5.0)}
+    assert {(r.id0, r.id1) for r in forest.link_islands(df, 1.0).collect()} == {(1, 3), (3, 1)}
+    assert joins.nearest_group(df.limit(0), 1.0).count() == 0
+
+
+def test_boxes_of_mixed_sizes(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        w, h = (rng.choice([0, 0.3, 1, 7, 60, 4000]) * rng.random() for _ in "wh")
+        x, y = rng.uniform(-300, 300), rng.uniform(-300, 300)
+        rows.append((i, x, y, x + w, y + h))
+    rows += [(900, -1e7, -1e7, 1e7, 1e7), (901, 0.0, 0.0, 0.0, 0.0), (902, 4.0, 4.0, 8.0, 8.0), (903, 8.0, 8.0, 12.0, 16.0)]
+    df = spark.createDataFrame(rows, "id long, minx double, miny double, maxx double, maxy double")
+    for touching in (True, False):
+        meets = (lambda a, b: a <= b) if touching else (lambda a, b: a < b)
+        want = {(a[0], b[0]) for a in rows for b in rows if meets(a[1], b[3]) and meets(b[1], a[3]) and meets(a[2], b[4]) and meets(b[2], a[4])}
+        got = [(r.id0, r.id1) for r in joins.bbox_join(df, df, 2.0, touching).collect()]
+        assert len(got) == len(want) and set(got) == want
+    cells = joins._in_cells(df, "0", spark.range(1).selectExpr("array(0, 3, 9) as _levels"), 2.0)
+    assert cells.groupBy("id0").count().agg(F.max("count")).first()[0] <= 16
