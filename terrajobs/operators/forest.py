@@ -89,6 +89,47 @@ def subtree_sum(nodes: DataFrame, value: str, name: str = "total") -> DataFrame:
     return table.select("id", F.when(F.col("jump").isNull(), F.col("s")).alias(name))
 
 
+class Downstream:
+    """Sums over branches kept up to date: what changes at some nodes is added to all nodes
+    below them, with work that grows with those nodes and not with the forest.
+
+    Each node's ancestors in 1, 2, 4 … steps are tabulated once. A change starts as steps of a
+    power of two that cover its path; from the longest steps to the single ones each is
+    split into two of half its length, and changes of one node and length are added up.
+    """
+
+    def __init__(self, nodes: DataFrame) -> None:
+        places = forest_roots(nodes).filter("depth is not null").select("id", F.col("depth").alias("rest"))
+        known = nodes.select(F.col("id").alias("parentid")).distinct()
+        first = nodes.join(known, "parentid", "left_semi").select("id", F.col("parentid").alias("up"))
+        self.places, self.jumps = stash(places, "places"), [stash(first, "jump")]
+        while self.jumps[-1].limit(1).count() and 1 << len(self.jumps) <= (self.places.agg(F.max("rest")).first()[0] or 0):
+            last = self.jumps[-1]
+            self.jumps.append(stash(last.join(last.select(F.col("id").alias("up"), F.col("up").alias("up2")), "up").select("id", F.col("up2").alias("up")), "jump"))
+
+    def push(self, changes: DataFrame, values: list[str]) -> DataFrame:
+        """(id, values): what the changes (id, values) add to each node at or below theirs.
+        Changes of nodes outside the forest, or on a cycle, are left out."""
+        sums = [F.sum(v).alias(v) for v in values]
+        walk = changes.groupBy("id").agg(*sums).join(self.places, "id").withColumn("rest", F.col("rest") + 1)  # nodes still to cover
+        steps = None
+        for k in range(len(self.jumps), -1, -1):
+            here = walk.filter(F.col("rest") >= 1 << k)
+            if k < len(self.jumps):  # a step of twice this length is one of this, and one further on
+                again = steps.join(self.jumps[k], "id").select(F.col("up").alias("id"), *values) if steps is not None else None
+                now = here.select("id", *values) if steps is None else here.select("id", *values).unionByName(steps).unionByName(again)
+            else:
+                now = here.select("id", *values)
+            steps = stash(now.groupBy("id").agg(*sums), "steps")
+            if k:
+                jump = self.jumps[k] if k < len(self.jumps) else None
+                moved = here.select("id", F.col("rest") - (1 << k), *values).toDF("id", "rest", *values)
+                if jump is not None:
+                    moved = moved.join(jump, "id").select(F.col("up").alias("id"), "rest", *values)
+                walk = stash(walk.filter(F.col("rest") < 1 << k).unionByName(moved.filter("rest > 0").select(*walk.columns)), "walk")
+        return steps
+
+
 def reroot(nodes: DataFrame, at: DataFrame) -> DataFrame:
     """Hang trees anew: for each (node, new_parent) of ``at``, one a tree at most, the node
     goes under the new parent and the pointers from it to its old root are reversed."""
@@ -195,7 +236,7 @@ def absorb_dead_ends(polys: DataFrame, edges: DataFrame) -> DataFrame:
     return forest_roots(nodes).filter("id <> root").select("id", F.col("root").alias("into"))
 
 
-def link_islands(members: DataFrame, radius: float) -> DataFrame:
+def link_islands(members: DataFrame) -> DataFrame:
     """(id0, id1, both ways): links that join each state's groups into one.
 
     Takes (id, groupid, stateid, x, y). In every round each group links to its nearest other
@@ -203,9 +244,9 @@ def link_islands(members: DataFrame, radius: float) -> DataFrame:
     """
     from terrajobs.operators.joins import nearest_group
 
-    rest, out = stash(members.select("id", "groupid", "stateid", "x", "y"), "members"), None
+    rest, out = stash(members.filter("groupid is not null").select("id", "groupid", "stateid", "x", "y"), "members"), None
     while True:
-        new = nearest_group(rest, radius)
+        new = nearest_group(rest, either_way=True)  # one order of links for all, so none closes a circle
         new = stash(new, "links")
         if not new.limit(1).count():
             break

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from terrajobs.functions.polygons import common_area, points, signed_area
 from terrajobs.functions.scalars import closest_point_on_segment, planar_distance, segment_distance, segment_intersection
+from terrajobs.operators.nearest import nearest
 from terrajobs.operators.ordering import best_per
-from terrajobs.storage import stash
 
 
 def _cell(v: Column | str, size: float) -> Column:
@@ -182,74 +182,51 @@ def enclosing_many(shells: DataFrame, polys: DataFrame, tile: float) -> DataFram
     return contained_pairs(polys, shells, tile).groupBy(F.col("id1").alias("id")).agg(F.count_distinct("id0").alias("n")).filter("n > 1")
 
 
-def line_adjacency(segments: DataFrame, owner: str = "wsid", same_state: bool = True) -> DataFrame:
+def line_adjacency(segments: DataFrame, owner: str = "wsid", same_state: bool = True, tile: float = 1.0) -> DataFrame:
     """Ordered pairs of polygons with a common boundary of positive length.
 
-    Boundaries need not have equal ends: segments on one line are keyed by it and joined by
-    overlap along it. Coordinates on one line must agree exactly.
+    Boundaries need not have equal ends: segments whose boxes meet are held against each
+    other, and count if both ends of the one lie on the other's line, to a billionth of
+    ``tile`` (about a segment's length), and they overlap along it. Rows grow with the
+    segments, not with their lengths.
     """
-    s = segments.filter("not (x0 = x1 and y0 = y1)")
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    vertical = dx == 0
-    slope = F.when(vertical, F.lit(None).cast("double")).otherwise(dy / F.nullif(dx, F.lit(0)))
-    offset = F.when(vertical, F.col("x0").cast("double")).otherwise(F.col("y0") - slope * F.col("x0"))
-    along0, along1 = F.when(vertical, F.col("y0")).otherwise(F.col("x0")), F.when(vertical, F.col("y1")).otherwise(F.col("x1"))
-    line = s.select(F.col(owner).alias("w"), F.col("stateid").alias("st"), F.coalesce(F.round(slope, 9), F.lit(1e300)).alias("k"), F.round(offset, 6).alias("c"), F.least(along0, along1).alias("lo"), F.greatest(along0, along1).alias("hi"))
-    cover = F.explode(F.sequence(F.floor("lo"), F.ceil("hi") - 1))
-    line = line.withColumn("u", F.when(F.ceil("hi") > F.floor("lo"), F.lit(True))).withColumn("u", cover)
-    met = renamed(line, "0").join(renamed(line, "1"), F.expr("k0 = k1 and c0 = c1 and u0 = u1")).filter("w0 <> w1 and greatest(lo0, lo1) < least(hi0, hi1)")
+    near = tile * 1e-9
+    s = segments.filter("not (x0 = x1 and y0 = y1)").selectExpr(f"{owner} as w", "stateid as st", *(f"cast({c} as double) as {c}" for c in ("x0", "y0", "x1", "y1")))
+    boxes = _segment_boxes(s, near)
+    met = bbox_join(boxes, boxes, tile).filter("w0 <> w1")
     if same_state:
         met = met.filter("st0 = st1")
-    return met.select(F.col("w0").alias("id0"), F.col("w1").alias("id1")).distinct()
+    dx, dy, size = "(x10 - x00)", "(y10 - y00)", "sqrt((x10 - x00) * (x10 - x00) + (y10 - y00) * (y10 - y00))"
+    on_line = " and ".join(f"abs({dx} * (y{k}1 - y00) - {dy} * (x{k}1 - x00)) <= {near} * {size}" for k in (0, 1))
+    along = [f"({dx} * (x{k}1 - x00) + {dy} * (y{k}1 - y00)) / {size}" for k in (0, 1)]
+    overlap = f"least({size}, greatest({along[0]}, {along[1]})) - greatest(0D, least({along[0]}, {along[1]})) > {near}"
+    return met.filter(f"{on_line} and {overlap}").select(F.col("w0").alias("id0"), F.col("w1").alias("id1")).distinct()
 
 
 def nearest_within_passes(left: DataFrame, right: DataFrame, tols: list[float], same_state: bool = True) -> DataFrame:
     """(id, match, dist): each left point's nearest right point by (distance, id).
 
-    Points (id, stateid, x, y) are tried at each radius in turn; those matched leave before
-    the next. Equal states are asked for unless the left side knows one state only.
+    Points are (id, stateid, x, y). Only distances up to the largest of ``tols`` count; passes
+    of growing radius would find the same partners. Equal states are asked for unless the
+    left side knows one state only. Points without a place or a needed state have no match.
     """
     if same_state:
-        few = left.select("stateid").distinct().limit(2).count()
-        same_state = few > 1
-    out, rest = None, left
-    for tol in tols:
-        a = rest.select("id", "stateid", F.col("x").alias("ax"), F.col("y").alias("ay")).withColumn("_cx", _cell("ax", tol)).withColumn("_cy", _cell("ay", tol))
-        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        b = right.select(F.col("id").alias("match"), F.col("stateid").alias("st"), F.col("x").alias("bx"), F.col("y").alias("by")).withColumn("_dx", near).withColumn("_dy", near)
-        b = b.withColumn("_cx", _cell("bx", tol) + F.col("_dx")).withColumn("_cy", _cell("by", tol) + F.col("_dy"))
-        met = a.join(b, ["_cx", "_cy"]).withColumn("dist", planar_distance("ax", "ay", "bx", "by")).filter(F.col("dist") <= tol)
-        if same_state:
-            met = met.filter("stateid = st")
-        best = stash(met.groupBy("id").agg(F.min(F.struct("dist", "match")).alias("m")).select("id", "m.match", "m.dist"), "nearest")
-        out = best if out is None else out.unionByName(best)
-        rest = rest.join(best, "id", "left_anti")
-    return out
-
-
-def nearest_group(members: DataFrame, radius: float) -> DataFrame:
+        same_state = left.select("stateid").distinct().limit(2).count() > 1
+    part = F.col("stateid") if same_state else F.lit(0)
+    shaped = lambda df: df.select("id", part.alias("part"), F.lit(None).cast("long").alias("owner"), "x", "y")
+    return nearest(shaped(left).withColumn("key", F.col("id")), shaped(right), max(tols)).select(F.col("key").alias("id"), "match", "dist")
+
+
+def nearest_group(members: DataFrame, either_way: bool = False) -> DataFrame:
     """(groupid, other, id0, id1, dist): for each group the closest other group in its state.
 
-    Takes (id, groupid, stateid, x, y). Groups without a neighbour within the radius are
-    tried again at twice the radius until each has one; a group alone in its state has no
-    row, and members without a group, a state or a place count as absent.
+    Takes (id, groupid, stateid, x, y). Ties go to the smaller group and then ids; with
+    ``either_way`` to the pair of smaller ids, the same from both groups. A group
+    alone in its state has no row, and members without a group, a state or a place count as
+    absent.
     """
-    members = members.filter("groupid is not null and stateid is not null and abs(x) < double('infinity') and abs(y) < double('infinity')")
-    per_state = members.groupBy("stateid").agg(F.count_distinct("groupid").alias("n")).filter("n > 1").select("stateid")
-    members = members.join(per_state, "stateid", "left_semi")
-    out, rest = None, members
-    while rest.limit(1).count():
-        a = rest.select("groupid", "stateid", F.col("id").alias("id0"), F.col("x").alias("ax"), F.col("y").alias("ay")).withColumn("_cx", _cell("ax", radius)).withColumn("_cy", _cell("ay", radius))
-        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        b = members.select(F.col("groupid").alias("other"), F.col("stateid").alias("st"), F.col("id").alias("id1"), F.col("x").alias("bx"), F.col("y").alias("by")).withColumn("_dx", near).withColumn("_dy", near)
-        b = b.withColumn("_cx", _cell("bx", radius) + F.col("_dx")).withColumn("_cy", _cell("by", radius) + F.col("_dy"))
-        met = a.join(b, ["_cx", "_cy"]).filter("stateid = st and groupid <> other").withColumn("dist", planar_distance("ax", "ay", "bx", "by")).filter(F.col("dist") <= radius)
-        best = stash(met.groupBy("groupid").agg(F.min(F.struct("dist", "other", "id0", "id1")).alias("m")).select("groupid", "m.other", "m.id0", "m.id1", "m.dist"), "group")
-        out = best if out is None else out.unionByName(best)
-        rest, radius = stash(rest.join(best, "groupid", "left_anti"), "rest"), radius * 2
-    if out is None:
-        out = members.select("groupid", F.col("groupid").alias("other"), F.col("id").alias("id0"), F.col("id").alias("id1"), F.lit(0.0).alias("dist")).limit(0)
-    return out
+    rows = members.filter("groupid is not null").select(F.col("groupid").alias("key"), "id", F.col("stateid").alias("part"), F.col("groupid").alias("owner"), "x", "y")
+    return nearest(rows, rows.drop("key"), either_way=either_way).select(F.col("key").alias("groupid"), F.col("owner").alias("other"), F.col("id").alias("id0"), F.col("match").alias("id1"), "dist")
 
 
 def point_in_region(points: DataFrame, regions: DataFrame, tile: float) -> DataFrame:

@@ -23,6 +23,25 @@ def with_dense_id(df: DataFrame, order: list[str], name: str = "id", start: int
     return ranged.withColumn("_dense_rank", rank).join(F.broadcast(offsets), "_dense_part").withColumn(name, (F.col("_dense_offset") + F.col("_dense_rank") - 1 + start).cast("long")).drop("_dense_part", "_dense_rank", "_dense_offset")
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "running") -> DataFrame:
+    """Add the sum of ``value`` over each key's rows up to the row's own, in the given order.
+
+    Rows are range-partitioned by key and order, so a key of any size is spread over tasks;
+    sums of each key's parts give what stands before the next. Only those sums, one for a
+    key and partition, meet in a window.
+    """
+    by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    ranged = stash(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranged")
+    same = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in keys] + [F.col(k).isNull().alias(f"_no_{k}") for k in keys]
+    ids = ["_part", *(f"_{k}" for k in keys), *(f"_no_{k}" for k in keys)]
+    ranged = ranged.select("*", *same)
+    sums = ranged.groupBy(*ids).agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*ids[1:]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*ids, F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy(*ids).orderBy(*by[len(keys) :]).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(offsets, ids).withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0))).drop(*ids, "_before")
+
+
 def best_per(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each group in the given order (``row_number`` = 1)."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")

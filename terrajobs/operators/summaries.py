@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrajobs.functions.rings import closest_point_on_ring, contains_point
 from terrajobs.functions.scalars import planar_distance
-from terrajobs.operators.ordering import best_per
+from terrajobs.operators.ordering import best_per, running_sum
 from terrajobs.operators.outlines import XY, outline_segments, rings
+from terrajobs.storage import stash
 
 
 def state_population(blocks: DataFrame) -> DataFrame:
@@ -165,12 +166,13 @@ def longest_interface(connections: DataFrame) -> DataFrame:
 
 def population_cut(blocks: DataFrame, key: str = "rootid") -> DataFrame:
     """Blocks in order of (score, id) up to the first whose taking would leave the running
-    population strictly further from ``target``; equally far is taken."""
-    w = Window.partitionBy(key).orderBy("score", "blockid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = F.sum("population").over(w)
-    before = run - F.col("population")
-    rows = blocks.withColumn("running", run).withColumn("_stop", (F.abs(run - F.col("target")) > F.abs(before - F.col("target"))).cast("int"))
-    return rows.withColumn("_stopped", F.max("_stop").over(w)).filter("_stopped = 0").drop("_stop", "_stopped")
+    population strictly further from ``target``; equally far is taken. One key's blocks may
+    lie in any number of tasks."""
+    rows = stash(running_sum(blocks, [key], ["score", "blockid"], "population"), "running")
+    before = F.col("running") - F.col("population")
+    further = F.abs(F.col("running") - F.col("target")) > F.abs(before - F.col("target"))
+    stop = rows.filter(further).groupBy(key).agg(F.min(F.struct("score", "blockid")).alias("_stop"))
+    return rows.join(stop, key, "left").filter(F.col("_stop").isNull() | (F.struct("score", "blockid") < F.col("_stop"))).drop("_stop")
 
 
 # --- sets ------------------------------------------------------------------------------

@@ -129,6 +129,15 @@ def i22(spark: SparkSession, sf: str) -> DataFrame:
     return I.apply_assignment(b, b.filter("blockid % 2 = 0").selectExpr("blockid", "100L as districtid"))
 
 
+@query("i22_branch_deltas", ", b AS (SELECT id, sum(CASE WHEN id % 3 = 0 THEN weight - 20 ELSE weight END) OVER (PARTITION BY id // 500 ORDER BY id DESC)::BIGINT AS total FROM forest) SELECT id, total FROM b")
+def i22b(spark: SparkSession, sf: str) -> DataFrame:
+    """Branch sums kept up to date: 20 less at every third node, taken off all nodes below."""
+    f = stash(Territory(spark, sf).forest, "forest")
+    before = T.subtree_sum(f, "weight")
+    down = T.Downstream(f).push(f.filter("id % 3 = 0").select("id", F.lit(-20).cast("long").alias("change")), ["change"])
+    return before.join(down, "id", "left").select("id", (F.col("total") + F.coalesce("change", F.lit(0))).alias("total"))
+
+
 PARTED = """, b AS (SELECT blockid, cx % 4 // 2 AS districtid, population FROM blocks), near AS (SELECT DISTINCT n.blockid0 AS src, n.blockid1 AS dst FROM edges n JOIN b p ON p.blockid = n.blockid0 JOIN b q ON q.blockid = n.blockid1 WHERE p.districtid = q.districtid),
   reach AS (SELECT blockid AS id, blockid AS label FROM b UNION SELECT n.dst, r.label FROM reach r JOIN near n ON n.src = r.id), part AS (SELECT id AS blockid, min(label) AS component FROM reach GROUP BY id),
   best AS (SELECT districtid, component, row_number() OVER (PARTITION BY districtid ORDER BY sum(population) DESC, component) AS k FROM part JOIN b USING (blockid) GROUP BY districtid, component)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrajobs.functions.scalars import planar_distance
 from terrajobs.operators import components as G
 from terrajobs.operators import forest as I
 from terrajobs.operators import outlines as N
@@ -139,14 +140,20 @@ def i11(spark: SparkSession, sf: str) -> DataFrame:
     return I.reroot(f, at.select("node", F.lit(None).cast("long").alias("new_parent"))).join(at.select(F.col("node").alias("id"), F.lit(True).alias("top")), "id", "left").select("id", F.when(F.col("top").isNull(), F.col("parentid")).alias("parentid"))
 
 
-@query("i12_link_islands", ", g AS (SELECT id, owner AS groupid, owner % 2 AS stateid, x, y FROM points) SELECT stateid, 1 AS groups FROM g GROUP BY stateid")
+# A link is made if and only if no chain of shorter ones joins its groups; ids settle ties.
+I12 = """, g AS (SELECT id, owner AS groupid, owner % 2 AS stateid, x, y FROM points),
+  d AS (SELECT stateid, g0, g1, min(k) AS k FROM (SELECT a.stateid, a.groupid AS g0, b.groupid AS g1, {'dist': sqrt(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE), 'lo': least(a.id, b.id), 'hi': greatest(a.id, b.id)} AS k FROM g a JOIN g b ON a.stateid = b.stateid AND a.groupid <> b.groupid) GROUP BY stateid, g0, g1),
+  joined AS (SELECT g0, g1, k, g0 AS pos FROM d WHERE g0 < g1 UNION SELECT j.g0, j.g1, j.k, d.g1 FROM joined j JOIN d ON d.g0 = j.pos AND d.k < j.k)
+  SELECT stateid, k.lo AS id0, k.hi AS id1, round(k.dist, 6) AS dist FROM d WHERE g0 < g1 AND NOT EXISTS (SELECT 1 FROM joined j WHERE j.g0 = d.g0 AND j.g1 = d.g1 AND j.pos = d.g1)"""
+
+
+@query("i12_link_islands", I12)
 def i12(spark: SparkSession, sf: str) -> DataFrame:
-    """How many groups each state has once the links are made: one."""
+    """The links, and their lengths."""
     g = Territory(spark, sf).points.selectExpr("id", "owner as groupid", "owner % 2 as stateid", "x", "y")
-    links = I.link_islands(g, 200.0)
-    own = lambda k: g.select(F.col("id").alias(f"id{k}"), F.col("groupid").alias(f"g{k}"))
-    joined = G.component_labels(g, links.join(own(0), "id0").join(own(1), "id1"), "groupid", "g0", "g1")
-    return joined.join(g.select("groupid", "stateid").distinct(), "groupid").groupBy("stateid").agg(F.count_distinct("component").alias("groups"))
+    end = lambda k: g.select(F.col("id").alias(f"id{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"), F.col("stateid").alias(f"s{k}"))
+    links = I.link_islands(g).filter("id0 < id1").join(end(0), "id0").join(end(1), "id1")
+    return links.select(F.col("s0").alias("stateid"), "id0", "id1", F.round(planar_distance("x0", "y0", "x1", "y1"), 6).alias("dist"))
 
 
 @query("i13_subtree_sum", " SELECT id, sum(weight) OVER (PARTITION BY id // 500 ORDER BY id DESC)::BIGINT AS total FROM forest")

@@ -175,7 +175,7 @@ GROUPED = ", g AS (SELECT id, owner AS groupid, owner % 2 AS stateid, x, y FROM
   SELECT groupid, other, id0, id1, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY groupid ORDER BY dist, other, id0, id1) AS n FROM m) WHERE n = 1""")
 def c14(spark: SparkSession, sf: str) -> DataFrame:
     g = Territory(spark, sf).points.selectExpr("id", "owner as groupid", "owner % 2 as stateid", "x", "y")
-    return C.nearest_group(g, 50.0).select("groupid", "other", "id0", "id1", F.round("dist", 6).alias("dist"))
+    return C.nearest_group(g).select("groupid", "other", "id0", "id1", F.round("dist", 6).alias("dist"))
 
 
 CONN = """, conn AS (SELECT a.wsid AS wsid0, coalesce(b.wsid, 0) AS wsid1, a.wsid * 4 + d.k AS connectionid, d.len AS length FROM watersheds a

@@ -228,16 +228,16 @@ def test_links_are_ranked_together_by_ranges(spark):
 
 def test_groups_far_apart_find_each_other(spark):
     rows = [(1, 1, 0, 0.0, 0.0), (2, 2, 0, 3e9, 4e9), (3, 3, 1, 5.0, 5.0), (4, 4, 0, None, 0.0), (5, 5, 0, float("nan"), 0.0)]
-    got = joins.nearest_group(spark.createDataFrame(rows, "id long, groupid long, stateid long, x double, y double"), 10.0).collect()
+    got = joins.nearest_group(spark.createDataFrame(rows, "id long, groupid long, stateid long, x double, y double")).collect()
     assert {(r.groupid, r.other, r.dist) for r in got} == {(1, 2, 5e9), (2, 1, 5e9)}
 
 
 def test_groups_without_an_id_or_a_state(spark):
     rows = [(1, 1, 0, 0.0, 0.0), (2, None, 0, 1.0, 0.0), (3, 3, 0, 5.0, 0.0), (4, 4, None, 2.0, 0.0), (5, None, None, 3.0, 0.0)]
     df = spark.createDataFrame(rows, "id long, groupid long, stateid long, x double, y double")
-    assert {(r.groupid, r.other, r.dist) for r in joins.nearest_group(df, 1.0).collect()} == {(1, 3, 5.0), (3, 1, 5.0)}
-    assert {(r.id0, r.id1) for r in forest.link_islands(df, 1.0).collect()} == {(1, 3), (3, 1)}
-    assert joins.nearest_group(df.limit(0), 1.0).count() == 0
+    assert {(r.groupid, r.other, r.dist) for r in joins.nearest_group(df).collect()} == {(1, 3, 5.0), (3, 1, 5.0)}
+    assert {(r.id0, r.id1) for r in forest.link_islands(df).collect()} == {(1, 3), (3, 1)}
+    assert joins.nearest_group(df.limit(0)).count() == 0
 
 
 def test_boxes_of_mixed_sizes(spark):
