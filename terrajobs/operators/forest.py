@@ -69,6 +69,21 @@ def path_max(nodes: DataFrame, value: str) -> DataFrame:
     return table.filter("next is null").select("id", F.col("at").alias("root"), "most")
 
 
+def path_least(nodes: DataFrame, value: str) -> DataFrame:
+    """(id, root, least): the least value on the path from the node to its root, nulls left out.
+    Values may be structs. Nodes that never reach a root have no row."""
+    known = nodes.select(F.col("id").alias("parentid"), F.lit(True).alias("_known")).distinct()
+    table = stash(nodes.join(known, "parentid", "left").select("id", F.when(F.col("_known"), F.col("parentid")).alias("next"), F.col("id").alias("at"), F.col(value).alias("least")), "pathleast")
+    for _ in range(table.count().bit_length() + 1):
+        if not table.filter("next is not null").limit(1).count():
+            break
+        up = table.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("at").alias("_at"), F.col("least").alias("_least"))
+        new = stash(table.join(up, "next", "left").select("id", F.col("_next").alias("next"), F.coalesce("_at", "at").alias("at"), F.least("least", "_least").alias("least")), "pathleast")
+        discard(table)
+        table = new
+    return table.filter("next is null").select("id", F.col("at").alias("root"), "least")
+
+
 def subtree_sum(nodes: DataFrame, value: str, name: str = "total") -> DataFrame:
     """(id, total): each node's value and those of all nodes above it.
 
@@ -161,26 +176,28 @@ def branch_roots(tree: DataFrame, size: float) -> DataFrame:
     return hits.join(reach, "id", "left_semi").select("id", "last")
 
 
-def next_downstream(tree: DataFrame, starts: DataFrame, size: float, boundary_only: bool = False) -> DataFrame:
+def next_downstream(tree: DataFrame, starts: DataFrame, size: float, boundary_only: bool = False, own: bool = False) -> DataFrame:
     """(id, found): from each start (id, need), the first node downstream, itself not
-    counted, whose branch holds need + size; else the root.
+    counted, whose branch holds need + size; else the root. With ``own`` the start counts.
 
     With ``boundary_only`` the walk ends at the last node before one off the boundary.
+    Branches only grow downstream, so ancestors in falling powers of two are tried.
     """
-    up = tree.select(F.col("id").alias("at"), "parentid").join(tree.select(F.col("id").alias("parentid"), F.col("branchpopulation").alias("b"), "boundary"), "parentid", "left").select("at", "parentid", "b", "boundary")
-    front, done = stash(starts.select("id", "need", F.col("id").alias("at")), "front"), []
-    while front.limit(1).count():
-        step = front.join(up, "at", "left")
-        stop = F.col("parentid").isNull() | (~F.col("boundary") if boundary_only else F.lit(False))
-        found = stash(step.select("id", "need", F.when(stop, F.col("at")).otherwise(F.col("parentid")).alias("at"), (stop | (F.col("b") >= F.col("need") + size)).alias("end")), "front")
-        done.append(found.filter("end").select("id", F.col("at").alias("found")))
-        front = stash(found.filter("not end").select("id", "need", "at"), "front")
-    if not done:
-        return starts.select("id", F.col("id").alias("found")).limit(0)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    nodes = tree.select("id", "parentid", "branchpopulation")
+    if boundary_only:
+        rim = tree.filter("boundary").select(F.col("id").alias("parentid"), F.lit(True).alias("_rim"))
+        nodes = tree.join(rim, "parentid", "left").select("id", F.when(F.col("_rim"), F.col("parentid")).alias("parentid"), "branchpopulation")
+    nodes = stash(nodes, "nodes")
+    held = nodes.select(F.col("id").alias("up"), F.col("branchpopulation").alias("b"))
+    walk = starts.select("id", F.col("id").alias("at"), (F.col("need") + size).alias("most"))
+    jumps = Downstream(nodes).jumps
+    for jump in reversed(jumps):
+        ahead = jump.join(held, "up").select(F.col("id").alias("at"), "up", "b")
+        walk = stash(walk.join(ahead, "at", "left").select("id", F.when(F.col("b") < F.col("most"), F.col("up")).otherwise(F.col("at")).alias("at"), "most"), "walk")
+    last = walk.join(jumps[0].withColumnRenamed("id", "at"), "at", "left").select("id", F.coalesce("up", "at").alias("found"), "most")
+    if own:
+        last = last.join(nodes.select("id", F.col("branchpopulation").alias("b")), "id", "left").withColumn("found", F.when(F.col("b") >= F.col("most"), F.col("id")).otherwise(F.col("found")))
+    return last.select("id", "found")
 
 
 def close_branches(tree: DataFrame, open_count: str = "openblocks") -> DataFrame:

@@ -91,12 +91,33 @@ def i17(spark: SparkSession, sf: str) -> DataFrame:
     return I.stranded_groups(groups).select("groupid", "rootid")
 
 
-@query("i18_snap_stranded", OPEN + ", seen AS (SELECT blockid AS id FROM b WHERE districtid IS NOT NULL UNION SELECT n.dst FROM seen s JOIN near n ON n.src = s.id) SELECT id AS blockid FROM seen JOIN b ON b.blockid = id WHERE districtid IS NULL")
+# Each open block's district: layer by layer from the assigned ones, the preferred one first.
+I18 = OPEN + """, t AS (SELECT wsid, parentid, 4 * wx AS tx, 4 * wy AS ty FROM watersheds), v AS (SELECT b.*, (y::BIGINT // 4) * 10 + x::BIGINT // 4 AS wsid FROM b),
+  hop AS (SELECT wsid, parentid AS below FROM t WHERE parentid IS NOT NULL UNION ALL SELECT h.wsid, t.parentid FROM hop h JOIN t ON t.wsid = h.below WHERE t.parentid IS NOT NULL AND h.below NOT IN (SELECT wsid FROM v)),
+  under AS (SELECT wsid, below FROM hop WHERE below IN (SELECT wsid FROM v)),
+  gw AS (SELECT DISTINCT groupid, wsid FROM groups JOIN v USING (blockid)),
+  way AS (SELECT groupid, wsid, wsid AS pos, 0 AS k FROM gw UNION ALL SELECT p.groupid, p.wsid, u.below, k + 1 FROM way p JOIN under u ON u.wsid = p.pos JOIN gw ON gw.groupid = p.groupid AND gw.wsid = u.below),
+  leave AS (SELECT groupid, w.wsid, tx, ty FROM (SELECT groupid, wsid, arg_max(pos, k) AS pos FROM way GROUP BY ALL) w JOIN t ON t.wsid = w.pos),
+  rim AS (SELECT DISTINCT g.groupid, q.blockid AS nb, q.wsid, q.districtid, q.x, q.y FROM groups g JOIN near n ON n.src = g.blockid JOIN v q ON q.blockid = n.dst WHERE q.districtid IS NOT NULL),
+  named AS (SELECT l.groupid, l.wsid, r.districtid, r.nb, sqrt((r.x - tx) * (r.x - tx) + (r.y - ty) * (r.y - ty)) AS d, EXISTS (SELECT 1 FROM way p WHERE p.groupid = l.groupid AND p.wsid = l.wsid AND p.pos = r.wsid) AS onway FROM leave l JOIN rim r USING (groupid)),
+  wish AS (SELECT groupid, wsid, districtid AS prefers FROM (SELECT *, row_number() OVER (PARTITION BY groupid, wsid ORDER BY onway DESC, d, nb) AS n FROM named) WHERE n = 1),
+  free AS (SELECT v.blockid, v.x, v.y, w.prefers FROM v JOIN groups USING (blockid) LEFT JOIN wish w ON w.groupid = groups.groupid AND w.wsid = v.wsid),
+  far AS (SELECT blockid, 0 AS layer FROM b WHERE districtid IS NOT NULL UNION SELECT n.dst, layer + 1 FROM far JOIN near n ON n.src = far.blockid JOIN b ON b.blockid = n.dst WHERE b.districtid IS NULL AND layer < 60),
+  lay AS (SELECT blockid, min(layer) AS layer FROM far GROUP BY blockid),
+  grown AS (SELECT blockid, districtid, 0 AS layer FROM b WHERE districtid IS NOT NULL
+    UNION ALL SELECT blockid, districtid, layer FROM (SELECT f.blockid, g.districtid, l.layer, row_number() OVER (PARTITION BY f.blockid ORDER BY coalesce(g.districtid = f.prefers, false) DESC, (f.x - s.x) * (f.x - s.x) + (f.y - s.y) * (f.y - s.y), g.districtid, s.blockid) AS n
+      FROM grown g JOIN near ON near.src = g.blockid JOIN free f ON f.blockid = near.dst JOIN lay l ON l.blockid = f.blockid AND l.layer = g.layer + 1 JOIN b s ON s.blockid = g.blockid) WHERE n = 1)"""
+
+
+@query("i18_snap_stranded", I18 + " SELECT blockid, districtid FROM grown WHERE layer > 0")
 def i18(spark: SparkSession, sf: str) -> DataFrame:
-    """All open blocks that some district reaches by adjacency are snapped to one."""
-    b, e = open_blocks(Territory(spark, sf))
-    free = b.filter("districtid is null").withColumn("groupid", F.lit(0))
-    return I.snap_stranded(free, e, b.filter("districtid is not null")).select("blockid")
+    """All open land is taken as stranded: which district each of its blocks joins."""
+    t = Territory(spark, sf)
+    b, e = open_blocks(t)
+    b = b.withColumn("wsid", F.expr("(cast(y as long) div 4) * 10 + cast(x as long) div 4"))
+    labels, _ = I.open_groups(b, e)
+    tree = t.watersheds.selectExpr("wsid as id", "parentid", "4 * wx as x", "4 * wy as y")
+    return I.snap_stranded(b.join(labels, "blockid"), e, b.filter("districtid is not null"), tree, b)
 
 
 @query("i19_close_branches", ", n AS (SELECT id, sum(CASE WHEN id % 500 > 400 THEN 0 ELSE weight END) OVER (PARTITION BY id // 500 ORDER BY id DESC) AS n FROM forest) SELECT id, n = 0 AS closed FROM n")
