@@ -104,6 +104,20 @@ def subtree_sum(nodes: DataFrame, value: str, name: str = "total") -> DataFrame:
     return table.select("id", F.when(F.col("jump").isNull(), F.col("s")).alias(name))
 
 
+def ancestors(nodes: DataFrame) -> list[DataFrame]:
+    """Tables (id, up) of each node's ancestor in 1, 2, 4 … steps, the last one empty. Nodes on
+    or above a cycle are followed as far as a path of all nodes could reach."""
+    known = nodes.select(F.col("id").alias("parentid")).distinct()
+    jumps = [stash(nodes.join(known, "parentid", "left_semi").select("id", F.col("parentid").alias("up")), "jump")]
+    most = jumps[0].count()
+    while most and 1 << (len(jumps) - 1) <= most:
+        last = jumps[-1]
+        jumps.append(stash(last.join(last.select(F.col("id").alias("up"), F.col("up").alias("up2")), "up").select("id", F.col("up2").alias("up")), "jump"))
+        if not jumps[-1].limit(1).count():
+            break
+    return jumps
+
+
 class Downstream:
     """Sums over branches kept up to date: what changes at some nodes is added to all nodes
     below them, with work that grows with those nodes and not with the forest.
@@ -115,12 +129,7 @@ class Downstream:
 
     def __init__(self, nodes: DataFrame) -> None:
         places = forest_roots(nodes).filter("depth is not null").select("id", F.col("depth").alias("rest"))
-        known = nodes.select(F.col("id").alias("parentid")).distinct()
-        first = nodes.join(known, "parentid", "left_semi").select("id", F.col("parentid").alias("up"))
-        self.places, self.jumps = stash(places, "places"), [stash(first, "jump")]
-        while self.jumps[-1].limit(1).count() and 1 << len(self.jumps) <= (self.places.agg(F.max("rest")).first()[0] or 0):
-            last = self.jumps[-1]
-            self.jumps.append(stash(last.join(last.select(F.col("id").alias("up"), F.col("up").alias("up2")), "up").select("id", F.col("up2").alias("up")), "jump"))
+        self.places, self.jumps = stash(places, "places"), ancestors(nodes)
 
     def push(self, changes: DataFrame, values: list[str]) -> DataFrame:
         """(id, values): what the changes (id, values) add to each node at or below theirs.
@@ -176,27 +185,30 @@ def branch_roots(tree: DataFrame, size: float) -> DataFrame:
     return hits.join(reach, "id", "left_semi").select("id", "last")
 
 
-def next_downstream(tree: DataFrame, starts: DataFrame, size: float, boundary_only: bool = False, own: bool = False) -> DataFrame:
+def boundary_paths(tree: DataFrame) -> DataFrame:
+    """(id, parentid): the forest without links into nodes off the boundary."""
+    rim = tree.filter("boundary").select(F.col("id").alias("parentid"), F.lit(True).alias("_rim"))
+    return tree.select("id", "parentid").join(rim, "parentid", "left").select("id", F.when(F.col("_rim"), F.col("parentid")).alias("parentid"))
+
+
+def next_downstream(tree: DataFrame, starts: DataFrame, size: float, boundary_only: bool = False, own: bool = False, jumps: list[DataFrame] | None = None) -> DataFrame:
     """(id, found): from each start (id, need), the first node downstream, itself not
     counted, whose branch holds need + size; else the root. With ``own`` the start counts.
 
     With ``boundary_only`` the walk ends at the last node before one off the boundary.
-    Branches only grow downstream, so ancestors in falling powers of two are tried.
+    Branches only grow downstream, so ancestors in falling powers of two are tried; ``jumps``
+    are those tables (``ancestors``) where they are known already.
     """
-    nodes = tree.select("id", "parentid", "branchpopulation")
-    if boundary_only:
-        rim = tree.filter("boundary").select(F.col("id").alias("parentid"), F.lit(True).alias("_rim"))
-        nodes = tree.join(rim, "parentid", "left").select("id", F.when(F.col("_rim"), F.col("parentid")).alias("parentid"), "branchpopulation")
-    nodes = stash(nodes, "nodes")
-    held = nodes.select(F.col("id").alias("up"), F.col("branchpopulation").alias("b"))
+    held = stash(tree.select(F.col("id").alias("up"), F.col("branchpopulation").alias("b")), "held")
     walk = starts.select("id", F.col("id").alias("at"), (F.col("need") + size).alias("most"))
-    jumps = Downstream(nodes).jumps
+    if jumps is None:
+        jumps = ancestors(boundary_paths(tree) if boundary_only else tree.select("id", "parentid"))
     for jump in reversed(jumps):
         ahead = jump.join(held, "up").select(F.col("id").alias("at"), "up", "b")
         walk = stash(walk.join(ahead, "at", "left").select("id", F.when(F.col("b") < F.col("most"), F.col("up")).otherwise(F.col("at")).alias("at"), "most"), "walk")
     last = walk.join(jumps[0].withColumnRenamed("id", "at"), "at", "left").select("id", F.coalesce("up", "at").alias("found"), "most")
     if own:
-        last = last.join(nodes.select("id", F.col("branchpopulation").alias("b")), "id", "left").withColumn("found", F.when(F.col("b") >= F.col("most"), F.col("id")).otherwise(F.col("found")))
+        last = last.join(held.withColumnRenamed("up", "id"), "id", "left").withColumn("found", F.when(F.col("b") >= F.col("most"), F.col("id")).otherwise(F.col("found")))
     return last.select("id", "found")
 
 

@@ -134,14 +134,31 @@ def i20(spark: SparkSession, sf: str) -> DataFrame:
     return I.farthest_boundary_node(f, f.filter("id % 500 = 250").select(F.col("id").alias("start")), f.select("id", F.expr("cast(id * 7919 % 1009 as double) as dist")))
 
 
+def swept(t: Territory) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks with their watershed, edges, and the districts of a whole sweep."""
+    near = t.blocks.selectExpr("blockid", "(cy div 4) * 10 + cx div 4 as wsid", "stateid", "population", "cast(cx as double) as x", "cast(cy as double) as y")
+    tree = t.watersheds.selectExpr("wsid as id", "parentid", "minx as x", "miny as y", "wx % 5 = 0 as boundary")
+    blocks = near.join(tree.select(F.col("id").alias("wsid")), "wsid", "left_semi")
+    edges = t.edges.selectExpr("blockid0 as src", "blockid1 as dst")
+    return blocks, edges, I.district_sweep(blocks, edges, tree, 3 * SIZE)
+
+
 @query("i21_district_sweep")
 def i21(spark: SparkSession, sf: str) -> DataFrame:
-    """Districts of all blocks; contiguity and totals are checked by property tests."""
-    t = Territory(spark, sf)
-    near = t.blocks.selectExpr("blockid", "(cy div 4) * 10 + cx div 4 as wsid", "stateid", "population", "cast(cx as double) as x", "cast(cy as double) as y")
-    tree = t.watersheds.selectExpr("wsid as id", "parentid", "minx as x", "miny as y")
-    known = tree.select(F.col("id").alias("wsid"))
-    return I.district_sweep(near.join(known, "wsid", "left_semi"), t.edges.selectExpr("blockid0 as src", "blockid1 as dst"), tree, 3 * SIZE)
+    """Districts of all blocks."""
+    return swept(Territory(spark, sf))[2]
+
+
+@query("i21_sweep_report", " SELECT stateid, sum(population)::BIGINT AS population, count(*) AS blocks, 0 AS unassigned, 0 AS broken, 0 AS mixed FROM blocks GROUP BY stateid")
+def i21b(spark: SparkSession, sf: str) -> DataFrame:
+    """Per state: what the districts hold, blocks without one, blocks outside their district's
+    largest connected part, and districts over several states."""
+    blocks, edges, districts = swept(Territory(spark, sf))
+    own = stash(blocks.join(districts, "blockid"), "own")
+    whole = I.keep_largest_part(own, edges).withColumnRenamed("districtid", "kept")
+    mixed = own.groupBy("districtid").agg(F.count_distinct("stateid").alias("states")).filter("states > 1").select("districtid", F.lit(True).alias("_m"))
+    rows = own.join(whole, "blockid").join(mixed, "districtid", "left")
+    return rows.groupBy("stateid").agg(F.sum("population").cast("long").alias("population"), F.count("*").alias("blocks"), F.count_if(F.col("districtid").isNull()).alias("unassigned"), F.count_if(F.col("kept").isNull()).alias("broken"), F.count_if(F.col("_m").isNotNull()).alias("mixed"))
 
 
 @query("i22_apply_assignment", " SELECT blockid, CASE WHEN blockid % 2 = 0 THEN 100 ELSE blockid % 3 END AS districtid FROM blocks")
