@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrajobs.functions.rings import closest_point_on_ring, contains_point, ring_centroid
 from terrajobs.functions.scalars import planar_distance
 from terrajobs.operators.components import component_labels
 from terrajobs.operators.ordering import best_per
@@ -316,8 +317,8 @@ def descent_distances(tree: DataFrame, links: DataFrame) -> DataFrame:
 
 def best_basin_links(scores: DataFrame) -> DataFrame:
     """The cheapest watershed pair of each ordered pair of basins."""
-    order = [F.col("descent") - F.col("boundary_descent"), "descent", "island_area", F.col("length").desc(), "wsid0", "wsid1"]
-    return best_per(scores, ["basin0", "basin1"], order)
+    inland = scores.withColumn("_inland", F.col("descent") - F.col("boundary_descent"))
+    return best_per(inland, ["basin0", "basin1"], ["_inland", "descent", "island_area", "-length", "wsid0", "wsid1"]).drop("_inland")
 
 
 def merge_basins(tree: DataFrame, links: DataFrame) -> DataFrame:
@@ -348,13 +349,15 @@ def merge_basins(tree: DataFrame, links: DataFrame) -> DataFrame:
     return now.select("id", "parentid").join(original, "id").join(final, "id")
 
 
-def exit_points(ws: DataFrame, crossings: DataFrame, interfaces: DataFrame) -> DataFrame:
+def exit_points(ws: DataFrame, crossings: DataFrame, interfaces: DataFrame, rings: DataFrame | None = None, lakes: DataFrame | None = None) -> DataFrame:
     """(id, parent, x, y, step): where each watershed's water leaves.
 
     Takes ws (id, parentid: the source's link, boundary), crossings (id, parent, x, y: of
     rivers with shared edges, parent 0 outside, optionally class, the flow type), and
     interfaces (id, neighbor, x, y, length): points of shared edges, neighbour 0 outside. A
-    point of an exit is always one of its interface. In order:
+    point of an exit is always one of its interface. With ``rings`` (id, ring), a root inside, a
+    closed basin, gets its exit first (step 0): the mean of its ``lakes`` (id, x, y), or its own
+    centre without any, moved to the nearest point of its polygon. Then, in order:
 
     1. the interface point nearest to the mean of the crossings into the linked parent, of
        its preferred flow type if classes are given (``preferred_flow_type``);
@@ -367,12 +370,13 @@ def exit_points(ws: DataFrame, crossings: DataFrame, interfaces: DataFrame) -> D
     5. and on, round by round: the linked parent's interface point nearest to its exit, once
        it has one.
 
-    Distances equal to six places go to the longer interface, then to the smaller point. A
-    root inside, and what hangs on one, gets no row without a crossing of its own.
+    Distances equal to six places go to the longer interface, then to the smaller point.
+    Without ``rings`` a root inside, and what hangs on one, gets no row without a crossing of
+    its own.
     """
     linked = ws.filter("parentid is not null").select("id", F.col("parentid").alias("parent"))
     faces = interfaces.select("id", F.col("neighbor").alias("parent"), "x", "y", "length")
-    order = ["dist", F.col("length").desc(), "x", "y"]
+    order = ["dist", "-length", "x", "y"]
     into = crossings.join(linked, ["id", "parent"])
     if "class" in crossings.columns:
         into = into.join(preferred_flow_type(into.select("id", "class", "parent")), ["id", "class", "parent"], "left_semi")
@@ -389,7 +393,15 @@ def exit_points(ws: DataFrame, crossings: DataFrame, interfaces: DataFrame) -> D
     rim = faces.filter("parent = 0").join(ws.filter("parentid is null and boundary").select("id"), "id", "left_semi")
     leaving = mean(crossings.filter("parent = 0").select("id", "parent", "x", "y").join(rim.select("id"), "id", "left_semi"))
     out = nearest(leaving.unionByName(mean(rim).join(leaving, "id", "left_anti")), 2).withColumn("parent", F.lit(None).cast("long"))
-    done = stash(done.unionByName(out), "exits")
+    done = done.unionByName(out)
+    if rings is not None:
+        seas = (lakes if lakes is not None else rings.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).limit(0)).groupBy("id").agg(F.avg("x").alias("lx"), F.avg("y").alias("ly"))
+        closed = ws.filter("parentid is null and not boundary").select("id").join(rings.select("id", "ring"), "id").join(seas, "id", "left")
+        aimed = closed.withColumn("c", ring_centroid(F.col("ring"))).select("id", "ring", F.coalesce("lx", "c.x").alias("tx"), F.coalesce("ly", "c.y").alias("ty"))
+        edge = aimed.withColumn("in", contains_point(F.col("ring"), F.col("tx"), F.col("ty"))).withColumn("e", closest_point_on_ring("tx", "ty", F.col("ring")))
+        none = F.lit(None).cast("long")
+        done = done.unionByName(edge.select("id", none.alias("parent"), F.when(F.col("in"), F.col("tx")).otherwise(F.col("e.x")).alias("x"), F.when(F.col("in"), F.col("ty")).otherwise(F.col("e.y")).alias("y"), F.lit(0).alias("step")))
+    done = stash(done, "exits")
 
     open_ = linked.join(done, "id", "left_anti")
     touching = open_.join(faces.select("id", "parent"), ["id", "parent"], "left_semi")

@@ -42,9 +42,13 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, na
     return ranged.join(offsets, ids).withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0))).drop(*ids, "_before")
 
 
-def best_per(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of each group in the given order (``row_number`` = 1)."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+def best_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each group by the columns of ``order``, a minus before those that
+    descend (numbers and booleans). Groups are aggregated before they are shuffled."""
+    down = lambda c: -F.col(c[1:]).cast("int") if dict(df.dtypes)[c[1:]] == "boolean" else -F.col(c[1:])
+    ranks = [(down(c) if c.startswith("-") else F.col(c)).alias(f"r{k}") for k, c in enumerate(order)]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*ranks)).alias("_best"))
+    return best.select("_best.*")
 
 
 def order_children(children: DataFrame) -> DataFrame:

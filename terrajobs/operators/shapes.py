@@ -120,7 +120,7 @@ def retrace_map(segments: DataFrame, owner: str = "wsid") -> DataFrame:
 
 def largest_part(parts: DataFrame, id_col: str = "wsid") -> DataFrame:
     """The biggest piece of each id; ties by part."""
-    return best_per(parts, [id_col], [F.col("area").desc(), "part"])
+    return best_per(parts, [id_col], ["-area", "part"])
 
 
 def split_parts(parts: DataFrame, id_col: str = "wsid") -> DataFrame:

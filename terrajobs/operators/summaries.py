@@ -102,8 +102,9 @@ def region_table(states: DataFrame, tally: DataFrame, reps: DataFrame) -> DataFr
     return states.join(tally.select("stateid", "name"), "stateid").join(reps.select(F.col("state").alias("name"), "representatives"), "name").select("stateid", "name", "population", "representatives")
 
 
-def consistency_report(blocks: DataFrame, segments: DataFrame, edges: DataFrame, mapping: DataFrame, ws: DataFrame) -> DataFrame:
-    """(check, failures): 0 where a table is consistent."""
+def consistency_report(blocks: DataFrame, segments: DataFrame, edges: DataFrame, mapping: DataFrame, ws: DataFrame, connections: DataFrame | None = None) -> DataFrame:
+    """(check, failures): 0 where a table is consistent. ``connections`` are interfaces (wsid0,
+    wsid1, connectionid): one has two sides at most, and a polygon has it once."""
     checks = {
         "block ids are unique": blocks.agg(F.count("*") - F.count_distinct("blockid")),
         "adjacency is unique": edges.agg(F.count("*") - F.count_distinct("blockid0", "blockid1")),
@@ -113,6 +114,9 @@ def consistency_report(blocks: DataFrame, segments: DataFrame, edges: DataFrame,
         "all blocks mapped": blocks.join(mapping, "blockid", "left_anti").agg(F.count("*")),
         "population totals equal": blocks.agg(F.sum("population").alias("a")).join(ws.agg(F.sum("population").alias("b")), how="inner").select(F.abs(F.col("a") - F.col("b"))),
     }
+    if connections is not None:
+        checks["no interface more than twice"] = connections.groupBy("connectionid").agg(F.count("*").alias("n")).filter("n > 2").agg(F.count("*"))
+        checks["interfaces of a polygon are unique"] = connections.agg(F.count("*") - F.count_distinct("wsid0", "connectionid"))
     out = None
     for name, one in checks.items():
         row = one.toDF("failures").select(F.lit(name).alias("check"), F.col("failures").cast("long").alias("failures"))
@@ -142,12 +146,12 @@ def closest_endpoints(pairs: DataFrame) -> DataFrame:
 
 def nearest_interface(candidates: DataFrame) -> DataFrame:
     """One row per id: nearest, then the longer interface, then the smaller parent and interface."""
-    return best_per(candidates, ["id"], ["dist", F.col("length").desc(), "parent", "connectionid"])
+    return best_per(candidates, ["id"], ["dist", "-length", "parent", "connectionid"])
 
 
 def closest_link_per_group(links: DataFrame) -> DataFrame:
     """Nearest foreign link of each island by distance, larger area, id."""
-    return best_per(links, ["islandid0"], ["dist", F.col("area").desc(), "wsid1", "wsid0"])
+    return best_per(links, ["islandid0"], ["dist", "-area", "wsid1", "wsid0"])
 
 
 def dedupe_links(links: DataFrame) -> DataFrame:
@@ -161,7 +165,7 @@ def dedupe_links(links: DataFrame) -> DataFrame:
 
 def longest_interface(connections: DataFrame) -> DataFrame:
     """One interface per (wsid0, wsid1): the longest, then the smallest id."""
-    return best_per(connections, ["wsid0", "wsid1"], [F.col("length").desc(), "connectionid"])
+    return best_per(connections, ["wsid0", "wsid1"], ["-length", "connectionid"])
 
 
 def population_cut(blocks: DataFrame, key: str = "rootid") -> DataFrame:

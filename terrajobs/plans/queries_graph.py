@@ -11,8 +11,9 @@ from terrajobs.operators import forest as I
 from terrajobs.operators import outlines as N
 from terrajobs.operators import shapes as E
 from terrajobs.plans.fixtures import Territory
-from terrajobs.plans.queries_shape import CONN, RINGS, SEGS, conn, segs
+from terrajobs.plans.queries_shape import CONN, RINGS, SEGS, conn, segs, ws_boxed
 from terrajobs.plans.registry import query
+from terrajobs.storage import stash
 
 # Chains of 500 have their answer in closed form; the recursion over watersheds is shallow.
 CHAIN_TOP = "id - id % 500"
@@ -71,32 +72,41 @@ def i6(spark: SparkSession, sf: str) -> DataFrame:
     return I.preferred_flow_type(c)
 
 
-def exits_in(t: Territory) -> tuple[DataFrame, DataFrame, DataFrame]:
-    ws = t.watersheds.selectExpr("wsid as id", "parentid", "wx % 5 = 0 as boundary")
-    cross = t.watersheds.filter("wsid % 3 = 0 and parentid is not null").selectExpr("wsid as id", "parentid as parent", "explode(array(minx, minx + 2)) as x", "miny as y")
-    faces = conn(t).join(t.watersheds.selectExpr("wsid as wsid0", "minx", "miny"), "wsid0").filter("not (wsid0 % 7 = 1 and wsid1 = wsid0 - 1)")
-    return ws, cross, faces.selectExpr("wsid0 as id", "case when wsid1 = 0 then cast(0 as long) else wsid1 end as neighbor", "minx + connectionid % 4 as x", "miny as y", "cast(connectionid % 4 + 1 as double) as length")
+CLOSED = "wsid % 13 = 5 and wx % 5 <> 0"
+
+
+def exits_in(t: Territory) -> tuple[DataFrame, ...]:
+    """Watersheds, some of them closed basins, with rivers, interfaces, rings and lakes."""
+    w = t.watersheds.withColumn("parentid", F.when(~F.expr(CLOSED), F.col("parentid")))
+    ws = w.selectExpr("wsid as id", "parentid", "wx % 5 = 0 as boundary")
+    cross = w.filter("wsid % 3 = 0 and parentid is not null").selectExpr("wsid as id", "parentid as parent", "explode(array(minx, minx + 2)) as x", "miny as y")
+    faces = conn(t).join(w.selectExpr("wsid as wsid0", "minx", "miny"), "wsid0").filter("not (wsid0 % 7 = 1 and wsid1 = wsid0 - 1)")
+    faces = faces.selectExpr("wsid0 as id", "case when wsid1 = 0 then cast(0 as long) else wsid1 end as neighbor", "minx + connectionid % 4 as x", "miny as y", "cast(connectionid % 4 + 1 as double) as length")
+    lakes = w.filter(CLOSED).filter("wsid % 3 > 0").selectExpr("wsid as id", "explode(array(minx + 1, minx + 2)) as x", "miny + if(wsid % 3 = 1, 3, 6) as y")
+    return ws, cross, faces, ws_boxed(t).select("id", "ring"), lakes
 
 
 NEAREST = "row_number() OVER (PARTITION BY id ORDER BY dist, length DESC, x, y)"
-I7 = CONN + f""", ws AS (SELECT wsid AS id, parentid AS pid, wx % 5 = 0 AS boundary FROM watersheds),
+I7 = CONN + f""", ws AS (SELECT wsid AS id, CASE WHEN NOT ({CLOSED}) THEN parentid END AS pid, wx % 5 = 0 AS boundary, minx, miny, maxy FROM watersheds),
   f AS (SELECT c.wsid0 AS id, c.wsid1 AS parent, w.minx + c.connectionid % 4 AS x, w.miny AS y, (c.connectionid % 4 + 1)::DOUBLE AS length FROM conn c JOIN watersheds w ON w.wsid = c.wsid0 WHERE NOT (c.wsid0 % 7 = 1 AND c.wsid1 = c.wsid0 - 1)),
-  s1 AS (SELECT id, parent, x, y FROM (SELECT *, {NEAREST} AS n FROM (SELECT f.*, round(abs(f.x - (w.minx + 1)), 6) AS dist FROM f JOIN watersheds w ON w.wsid = f.id AND w.parentid = f.parent WHERE w.wsid % 3 = 0)) WHERE n = 1),
+  s0 AS (SELECT id, minx + CASE WHEN id % 3 = 0 THEN 2 ELSE 1.5 END AS x, CASE id % 3 WHEN 0 THEN miny + 2 WHEN 1 THEN miny + 3 ELSE maxy END AS y FROM ws WHERE pid IS NULL AND NOT boundary),
+  s1 AS (SELECT id, parent, x, y FROM (SELECT *, {NEAREST} AS n FROM (SELECT f.*, round(abs(f.x - (w.minx + 1)), 6) AS dist FROM f JOIN ws w ON w.id = f.id AND w.pid = f.parent WHERE w.id % 3 = 0)) WHERE n = 1),
   rim AS (SELECT f.* FROM f JOIN ws USING (id) WHERE f.parent = 0 AND pid IS NULL AND boundary),
   s2 AS (SELECT id, x, y FROM (SELECT *, {NEAREST} AS n FROM (SELECT r.*, round(sqrt((r.x - m.mx) ** 2 + (r.y - m.my) ** 2), 6) AS dist FROM rim r JOIN (SELECT id, avg(x) AS mx, avg(y) AS my FROM rim GROUP BY id) m USING (id))) WHERE n = 1),
   rest AS (SELECT id, pid, boundary FROM ws WHERE pid IS NOT NULL AND id NOT IN (SELECT id FROM s1)),
   apart AS (SELECT * FROM rest r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = r.id AND f.parent = r.pid)),
   s4 AS (SELECT id, x, y FROM (SELECT *, {NEAREST} AS n FROM (SELECT f.*, round(sqrt((f.x - g.x) ** 2 + (f.y - g.y) ** 2), 6) AS dist FROM apart a JOIN f ON f.id = a.id JOIN f g ON g.id = a.pid WHERE NOT a.boundary)) WHERE n = 1),
-  near AS (SELECT r.id, r.pid, f.x, f.y, f.length, e.x AS ex, e.y AS ey FROM rest r JOIN f ON f.id = r.id AND f.parent = r.pid JOIN f e ON e.id = r.pid),
-  hop AS (SELECT id, pid, ex, ey, x, y FROM (SELECT *, row_number() OVER (PARTITION BY id, ex, ey ORDER BY round(sqrt((x - ex) ** 2 + (y - ey) ** 2), 6), length DESC, x, y) AS n FROM near) WHERE n = 1),
-  front AS (SELECT id, x, y, 4 AS step FROM (SELECT id, x, y FROM s1 UNION ALL SELECT id, x, y FROM s2 UNION ALL SELECT id, x, y FROM s4) UNION ALL SELECT h.id, h.x, h.y, p.step + 1 FROM front p JOIN hop h ON h.pid = p.id AND h.ex = p.x AND h.ey = p.y),
-  found AS (SELECT id, parent, x, 1 AS step FROM s1 UNION ALL SELECT id, NULL, x, 2 FROM s2 UNION ALL SELECT id, NULL, x, 4 FROM s4 UNION ALL SELECT f.id, r.pid, f.x, f.step FROM front f JOIN rest r USING (id) WHERE f.step > 4)"""
+  near AS (SELECT r.id, r.pid, f.x, f.y, f.length FROM rest r JOIN f ON f.id = r.id AND f.parent = r.pid),
+  ends AS (SELECT id, x, y FROM f UNION SELECT id, x, y FROM s0),
+  hop AS (SELECT id, pid, ex, ey, x, y FROM (SELECT n.*, e.x AS ex, e.y AS ey, row_number() OVER (PARTITION BY n.id, e.x, e.y ORDER BY round(sqrt((n.x - e.x) ** 2 + (n.y - e.y) ** 2), 6), length DESC, n.x, n.y) AS n FROM near n JOIN ends e ON e.id = n.pid) WHERE n = 1),
+  front AS (SELECT id, x, y, 4 AS step FROM (SELECT id, x, y FROM s0 UNION ALL SELECT id, x, y FROM s1 UNION ALL SELECT id, x, y FROM s2 UNION ALL SELECT id, x, y FROM s4) UNION ALL SELECT h.id, h.x, h.y, p.step + 1 FROM front p JOIN hop h ON h.pid = p.id AND h.ex = p.x AND h.ey = p.y),
+  found AS (SELECT id, parent, x, y, 1 AS step FROM s1 UNION ALL SELECT id, NULL, x, y, 0 FROM s0 UNION ALL SELECT id, NULL, x, y, 2 FROM s2 UNION ALL SELECT id, NULL, x, y, 4 FROM s4 UNION ALL SELECT f.id, r.pid, f.x, f.y, f.step FROM front f JOIN rest r USING (id) WHERE f.step > 4)"""
 
 
-@query("i7_exit_points", I7 + " SELECT id, parent, round(x, 4) AS x, step FROM found")
+@query("i7_exit_points", I7 + " SELECT id, parent, round(x, 4) AS x, round(y, 4) AS y, step FROM found")
 def i7(spark: SparkSession, sf: str) -> DataFrame:
     """River crossings lead into linked parents only, so no third step arises here; a test covers it."""
-    return I.exit_points(*exits_in(Territory(spark, sf))).select("id", "parent", F.round("x", 4).alias("x"), "step")
+    return I.exit_points(*exits_in(Territory(spark, sf))).select("id", "parent", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "step")
 
 
 PATHS = """, tree AS (SELECT wsid AS id, parentid, (wsid % 7)::DOUBLE AS d, wx % 5 < 3 AS boundary FROM watersheds),
@@ -125,12 +135,23 @@ def i9(spark: SparkSession, sf: str) -> DataFrame:
     return I.best_basin_links(s).select("basin0", "basin1", "wsid0", "wsid1")
 
 
-@query("i10_merge_basins", PATHS + ", least_root AS (SELECT w.stateid, count(*) AS n FROM watersheds w GROUP BY w.stateid) SELECT s.id, s.root AS basinid FROM sums s")
+I10 = CONN + PATHS + """, b AS (SELECT DISTINCT x.root AS b0, y.root AS b1 FROM conn c JOIN sums x ON x.id = c.wsid0 JOIN sums y ON y.id = c.wsid1 WHERE c.wsid1 <> 0),
+  net AS (SELECT DISTINCT root AS b0, root AS label FROM sums UNION SELECT b.b1, n.label FROM net n JOIN b ON b.b0 = n.b0),
+  whole AS (SELECT b0 AS root, min(label) AS label FROM net GROUP BY b0)
+  SELECT s.id, s.root AS basinid, count(*) OVER (PARTITION BY w.label) AS joined, 1 AS roots, true AS linked FROM sums s JOIN whole w USING (root)"""
+
+
+@query("i10_merge_basins", I10)
 def i10(spark: SparkSession, sf: str) -> DataFrame:
-    """Basin ids are fixed; the merged tree's shape is checked by property tests."""
+    """How many watersheds each one's merged tree has and how many roots, and whether its own
+    link is one of the source's or between neighbours."""
     t = Territory(spark, sf)
-    merged = I.merge_basins(tree(t), conn(t).filter("wsid1 <> 0").select("wsid0", "wsid1"))
-    return merged.select("id", "basinid")
+    near = conn(t).filter("wsid1 <> 0").select("wsid0", "wsid1")
+    merged = stash(I.merge_basins(tree(t), near), "merged")
+    sizes = merged.groupBy("rootbasinid").agg(F.count("*").alias("joined"), F.count_if(F.col("parentid").isNull()).cast("int").alias("roots"))
+    known = tree(t).filter("parentid is not null").select("id", "parentid")
+    pairs = known.union(known.select("parentid", "id")).union(near).distinct().toDF("id", "parentid").withColumn("_k", F.lit(True))
+    return merged.join(sizes, "rootbasinid").join(pairs, ["id", "parentid"], "left").select("id", "basinid", "joined", "roots", (F.col("parentid").isNull() | F.col("_k").isNotNull()).alias("linked"))
 
 
 @query("i11_reroot", ", tops AS (SELECT max(id) AS node, id // 500 AS c FROM forest GROUP BY id // 500) SELECT id, CASE WHEN id = node THEN NULL ELSE id + 1 END AS parentid FROM forest JOIN tops ON c = id // 500")

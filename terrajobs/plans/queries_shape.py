@@ -16,6 +16,7 @@ from terrajobs.operators import summaries as D
 from terrajobs.plans.fixtures import Territory
 from terrajobs.plans.queries_scalar import STATE_SQL, states
 from terrajobs.plans.registry import query
+from terrajobs.storage import stash
 
 
 def segs(t: Territory) -> DataFrame:
@@ -449,13 +450,30 @@ def d14(spark: SparkSession, sf: str) -> DataFrame:
     return D.basin_summary(Territory(spark, sf).watersheds.selectExpr("stateid", "wy div 3 as basinid", "wsid as population"))
 
 
-@query("d15_consistency_report", MAPPED + """, ws AS (SELECT coalesce(sum(b.population), 0)::BIGINT AS population FROM mapped JOIN blocks b USING (blockid))
-  SELECT 'block ids are unique' AS "check", 0 AS failures UNION ALL SELECT 'adjacency is unique', 0 UNION ALL SELECT 'adjacency is mutual', 0 UNION ALL SELECT 'no self neighbour', 0 UNION ALL SELECT 'no zero-length segment', 0
-  UNION ALL SELECT 'all blocks mapped', (SELECT count(*) FROM blocks WHERE blockid NOT IN (SELECT blockid FROM mapped)) UNION ALL SELECT 'population totals equal', (SELECT sum(population)::BIGINT FROM blocks) - (SELECT population FROM ws)""")
+# Tables with faults put in: blocks and interfaces twice or thrice, one-sided and self links, points.
+D15 = MAPPED + CONN + """, b AS (SELECT blockid, population FROM blocks UNION ALL SELECT blockid, 0 FROM blocks WHERE blockid % 50 = 0),
+  e AS (SELECT blockid0, blockid1 FROM edges WHERE NOT (blockid0 % 40 = 3 AND blockid1 > blockid0) UNION ALL SELECT blockid0, blockid1 FROM edges WHERE blockid0 % 97 = 1 UNION ALL SELECT blockid, blockid FROM blocks WHERE blockid % 30 = 0),
+  s AS (SELECT x0, y0, x1, y1 FROM segments UNION ALL SELECT x0, y0, x0, y0 FROM segments WHERE blockid % 11 = 0),
+  c AS (SELECT wsid0, connectionid FROM conn, (VALUES (1), (2), (3)) AS v(k) WHERE k = 1 OR k = 2 AND connectionid % 5 = 0 OR connectionid % 10 = 0),
+  r AS (SELECT 'block ids are unique' AS "check", (SELECT count(*) - count(DISTINCT blockid) FROM b) AS failures UNION ALL SELECT 'adjacency is unique', (SELECT count(*) FROM e) - (SELECT count(*) FROM (SELECT DISTINCT * FROM e))
+  UNION ALL SELECT 'adjacency is mutual', (SELECT count(*) FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.blockid0 = x.blockid1 AND y.blockid1 = x.blockid0)) UNION ALL SELECT 'no self neighbour', (SELECT count(*) FROM e WHERE blockid0 = blockid1)
+  UNION ALL SELECT 'no zero-length segment', (SELECT count(*) FROM s WHERE x0 = x1 AND y0 = y1) UNION ALL SELECT 'all blocks mapped', (SELECT count(*) FROM b WHERE blockid NOT IN (SELECT blockid FROM mapped))
+  UNION ALL SELECT 'population totals equal', (SELECT sum(population) FROM b) - (SELECT coalesce(sum(population), 0) FROM mapped JOIN blocks USING (blockid))
+  UNION ALL SELECT 'no interface more than twice', (SELECT count(*) FROM (SELECT connectionid FROM c GROUP BY 1 HAVING count(*) > 2)) UNION ALL SELECT 'interfaces of a polygon are unique', (SELECT count(*) FROM c) - (SELECT count(*) FROM (SELECT DISTINCT * FROM c)))
+  SELECT "check", failures::BIGINT AS failures FROM r"""
+
+
+@query("d15_consistency_report", D15)
 def d15(spark: SparkSession, sf: str) -> DataFrame:
     t = Territory(spark, sf)
-    m = mapped(t)
-    return D.consistency_report(t.blocks, t.segments, t.edges, m, D.watershed_population(m, t.blocks, t.watersheds))
+    m = stash(mapped(t), "mapped")
+    b = t.blocks.select("blockid", "population")
+    e = t.edges.select("blockid0", "blockid1")
+    broken = e.filter("not (blockid0 % 40 = 3 and blockid1 > blockid0)").unionByName(e.filter("blockid0 % 97 = 1")).unionByName(b.filter("blockid % 30 = 0").selectExpr("blockid as blockid0", "blockid as blockid1"))
+    s = t.segments.select("blockid", *N.XY)
+    c = conn(t).withColumn("k", F.explode(F.expr("array(1, 2, 3)"))).filter("k = 1 or k = 2 and connectionid % 5 = 0 or connectionid % 10 = 0")
+    twice = b.unionByName(b.filter("blockid % 50 = 0").selectExpr("blockid", "0 as population"))
+    return D.consistency_report(twice, s.unionByName(s.filter("blockid % 11 = 0").selectExpr("blockid", "x0", "y0", "x0 as x1", "y0 as y1")), broken, m, D.watershed_population(m, t.blocks, t.watersheds), c)
 
 
 @query("d16_region_table", STATE_SQL + " SELECT stateid, name, population, representatives FROM states")

@@ -38,9 +38,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def export_district_blocks(assignment: DataFrame, blocks: DataFrame, path: str) -> DataFrame:
-    """Write (districtid, blockid10) as CSV with a header in a folder per state, ordered."""
+    """Write (districtid, blockid10) as CSV with a header in a folder per state, ordered.
+
+    Rows are dealt by ranges, so a large state is written by several tasks, a file each; the
+    files' rows follow one another."""
     rows = assignment.join(blocks, "blockid").select("stateid", "districtid", "blockid10")
-    rows.repartition("stateid").sortWithinPartitions("stateid", "districtid", "blockid10").write.mode("overwrite").partitionBy("stateid").csv(path, header=True)
+    rows.repartitionByRange("stateid", "districtid", "blockid10").sortWithinPartitions("stateid", "districtid", "blockid10").write.mode("overwrite").partitionBy("stateid").csv(path, header=True)
     return rows
 
 
