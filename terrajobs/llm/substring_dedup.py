@@ -150,16 +150,20 @@ def _context(runs: DataFrame, documents: DataFrame, doc: str, version: str, star
     return runs.join(texts, (F.col(doc) == F.col("_d")) & (F.col(version) == F.col("_v"))).selectExpr(*runs.columns, before, after)
 
 
+def _agreeing(a: bytes, b: bytes) -> int:
+    """How many bytes two strings begin with alike."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+
 @F.pandas_udf(StructType([StructField("before", IntegerType()), StructField("after", IntegerType()), StructField("more", BooleanType())]))
 def _common(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, width: pd.Series) -> pd.DataFrame:
     """Equal bytes at the ends of a and b and at the starts of c and d, whole characters only."""
     out = []
     for p, q, x, y, w in zip(a, b, c, d, width, strict=True):
-        n = m = 0
-        while n < min(len(p), len(q)) and p[-n - 1] == q[-n - 1]:
-            n += 1
-        while m < min(len(x), len(y)) and x[m] == y[m]:
-            m += 1
+        n, m = _agreeing(p[::-1], q[::-1]), _agreeing(x, y)
         more = n == w or m == w
         while n and p[-n] & 0xC0 == 0x80:
             n -= 1
@@ -202,15 +206,16 @@ def repeated_spans(documents: DataFrame, min_bytes: int = MIN_BYTES, bits: int =
     runs = later.groupBy(*side).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     runs = runs.select("doc_id", "version", "first_doc", "first_version", "shift", F.explode(_joined_runs(F.col("spans"), 1)).alias("x"))
     runs = stash(runs.select("doc_id", "version", "x.start", "x.stop", "first_doc", "first_version", "shift"), "runs")
-    spans = extended(runs, documents).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    return spans.select("doc_id", "version", _joined_runs(F.col("spans"), min_bytes).alias("spans")).filter(F.size("spans") > 0)
+    whole = extended(runs, documents).filter(F.col("stop") - F.col("start") >= min_bytes)  # each a copy of one earlier place; spans of several say nothing together
+    spans = whole.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    return spans.select("doc_id", "version", _joined_runs(F.col("spans"), 1).alias("spans"))
 
 
 def dedup_substrings(documents: DataFrame, min_bytes: int = MIN_BYTES, bits: int = FILTER_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, removed_chars, spans): every row's text without later repeated passages.
 
     A passage is repeated where it holds a chunk and its bytes occur earlier, in order of (id, position), in
-    another text or further up in the same one. ``spans`` are the cut code points, ends
+    another text or further up in the same one, and it has ``min_bytes`` there in one piece. ``spans`` are the cut code points, ends
     exclusive. Null texts stay null; empty texts and rows of a null id stay as they are.
     Rows of equal id and text count as one document. Other columns are not read.
     """
