@@ -370,7 +370,7 @@ def near_duplicates(
     for k in range(depth):
         rows = stash(_measured(level, alone=k == 0), "level")
         wide = rows.filter(F.col("cross") > few * F.col("size"))
-        join_up(_pairs_across(rows.filter(F.col("cross") <= few * F.col("size")), percent, bits).unionByName(_pairs_with_centre(wide, percent, bits)))
+        join_up(_pairs_across(rows.filter(F.col("cross") <= few * F.col("size")), percent, bits, once=True).unionByName(_pairs_with_centre(wide, percent, bits)))
         named = stash(_with_components(wide.select("node", *_member(bits)), comps), "named")  # measuring reads it twice
         open_ = stash(_measured(named), "open")
         discard(rows, named)
