@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from terrajobs.functions.polygons import Window2D, points
 from terrajobs.functions.rings import ring_area
 from terrajobs.functions.scalars import along_distance, planar_distance
-from terrajobs.operators.joins import bbox_join
+from terrajobs.operators.joins import bbox_join, mutual_nearest, near_crossings, within_distance
 from terrajobs.operators.ordering import best_per, with_dense_id
+from terrajobs.operators.outlines import XY
+from terrajobs.operators.summaries import closest_endpoints
 from terrajobs.storage import discard, stash
 
 # --- rings and segments ----------------------------------------------------------------
@@ -219,26 +221,59 @@ def assign_by_max_overlap(overlaps: DataFrame) -> DataFrame:
 # --- closing gaps ----------------------------------------------------------------------
 
 
-def collapse_gaps(segments: DataFrame, tol: float, rounds: int = 64) -> DataFrame:
-    """Rounds in which mutually nearest ends of different owners within ``tol`` move to their
-    midpoint, all segments that use them follow, and segments of no length go; until none
-    moves; ends that still move after ``rounds`` are an error. Takes (id, owner, x0, y0, x1,
-    y1) of doubles."""
-    from terrajobs.operators.joins import mutual_nearest, within_distance
+def _ties_of_ends(active: DataFrame, tol: float) -> DataFrame:
+    """(x0, y0, x1, y1): mutually nearest ends of different owners within ``tol``."""
+    ends = active.select("id", "owner", F.explode(F.expr("array(struct(x0 as x, y0 as y), struct(x1 as x, y1 as y))")).alias("p")).select("id", "owner", "p.x", "p.y")
+    return mutual_nearest(within_distance(ends, ends, tol, distinct_owner=True, positive=True)).select(*XY)
 
-    rest = segments
+
+def _ties_of_crossings(segments: DataFrame, active: DataFrame, tile: float, eps: float) -> DataFrame:
+    """(x0, y0, x1, y1): the nearest ends of segments that cross or all but touch without a
+    common end, and both ends of segments that several polygons run along the same way."""
+    near = closest_endpoints(near_crossings(segments, tile, eps)).selectExpr("xa as x0", "ya as y0", "xb as x1", "yb as y1")
+    doubled = retrace_map(active, "owner").filter("own_side > 1").select(*XY)
+    either = near.unionByName(doubled).filter("not (x0 = x1 and y0 = y1)")
+    return either.selectExpr(*(f"if(x0 < x1 or (x0 = x1 and y0 < y1), {c}{k}, {c}{1 - k}) as {c}{k}" for k in (0, 1) for c in "xy")).distinct()
+
+
+def _moves(ties: DataFrame) -> DataFrame:
+    """(x, y, nx, ny): each tied point to the nearest middle of its ties; ties by position."""
+    middle = "struct(pow(x1 - x0, 2) + pow(y1 - y0, 2) as d, (x0 + x1) / 2 as nx, (y0 + y1) / 2 as ny) as n"
+    ends = ties.select(F.explode(F.expr("array(struct(x0 as x, y0 as y), struct(x1 as x, y1 as y))")).alias("p"), F.expr(middle))
+    return ends.groupBy("p.x", "p.y").agg(F.min("n").alias("n")).select("x", "y", "n.nx", "n.ny")
+
+
+def collapse_gaps(segments: DataFrame, tol: float, tile: float = 1.0, eps: float = 1e-5, rounds: int = 64) -> DataFrame:
+    """(id, owner, x0, y0, x1, y1, finished): segments with the gaps between polygons closed.
+
+    Takes (id, owner, ends) of doubles. Segments whose reverse is run by just one other polygon
+    are finished and tie no ends any more. In each round mutually nearest ends of different
+    owners within ``tol`` are tied; where there are none, the nearest ends of segments that
+    cross without a common end, and the ends of segments that several polygons run along on
+    one side. Tied ends move to their middle, all segments that use them follow, finished
+    ones too, and segments of no length go. It ends when nothing is tied; ties that are
+    still made after ``rounds`` are an error. ``tile`` is about a segment's length.
+    """
+    clean = segments.select("id", "owner", *XY).filter("not (x0 = x1 and y0 = y1)")
+
+    def matched(df: DataFrame) -> DataFrame:
+        whole = retrace_map(df.filter("not finished"), "owner").filter("finished").select(*XY, F.lit(True).alias("_whole"))
+        return stash(df.join(whole, XY, "left").select("id", "owner", *XY, (F.col("finished") | F.col("_whole").isNotNull()).alias("finished")), "closed")
+
+    now = matched(clean.withColumn("finished", F.lit(False)))
     for _ in range(rounds):
-        ends = rest.select("id", "owner", F.explode(F.expr("array(struct(x0 as x, y0 as y), struct(x1 as x, y1 as y))")).alias("p")).select("id", "owner", "p.x", "p.y")
-        near = mutual_nearest(within_distance(ends, ends, tol, distinct_owner=True, positive=True))
-        moves = stash(
-            near.select(F.explode(F.expr("array(struct(x0 as x, y0 as y, (x0 + x1) / 2 as nx, (y0 + y1) / 2 as ny), struct(x1 as x, y1 as y, (x0 + x1) / 2 as nx, (y0 + y1) / 2 as ny))")).alias("m")).select("m.*").groupBy("x", "y").agg(F.min(F.struct("nx", "ny")).alias("n")).select("x", "y", "n.nx", "n.ny"),
-            "moves",
-        )
+        active = now.filter("not finished")
+        moves = stash(_moves(_ties_of_ends(active, tol)), "moves")
         if not moves.limit(1).count():
             discard(moves)
-            return rest
+            moves = stash(_moves(_ties_of_crossings(now, active, tile, eps)), "moves")
+        if not moves.limit(1).count():
+            discard(moves)
+            return now
+        moved = now
         for k in ("0", "1"):
             m = moves.select(F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"), "nx", "ny")
-            rest = rest.join(m, [f"x{k}", f"y{k}"], "left").withColumn(f"x{k}", F.coalesce("nx", f"x{k}")).withColumn(f"y{k}", F.coalesce("ny", f"y{k}")).drop("nx", "ny")
-        rest = stash(rest.filter("not (x0 = x1 and y0 = y1)").select("id", "owner", "x0", "y0", "x1", "y1"), "closed")
+            moved = moved.join(m, [f"x{k}", f"y{k}"], "left").withColumn(f"x{k}", F.coalesce("nx", f"x{k}")).withColumn(f"y{k}", F.coalesce("ny", f"y{k}")).drop("nx", "ny")
+        old, now = now, matched(stash(moved.filter("not (x0 = x1 and y0 = y1)"), "moved"))
+        discard(old, moves)
     raise RuntimeError(f"ends still move after {rounds} rounds")

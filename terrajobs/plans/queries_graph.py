@@ -206,13 +206,28 @@ def i29b(spark: SparkSession, sf: str) -> DataFrame:
     return I.flow_reversals(turned, w)
 
 
-@query("i26_collapse_gaps", " SELECT x0 - 0.05::DOUBLE * (blockid % 2) AS x0 FROM segments WHERE false")
+# Left sides of odd columns are drawn 0.02 off; where a left neighbour's corner is near, both meet
+# half way. Apart from them, pairs of segments cross and are tied at their nearest ends.
+I26 = """, drawn AS (SELECT blockid * 4 + ordinal AS id, blockid AS owner, cx, x0, y0, x1, y1 FROM segments JOIN blocks USING (blockid)),
+  corner AS (SELECT DISTINCT blocks.cx, y FROM blocks, (VALUES (0), (1)) AS v(k), LATERAL (SELECT cy + k AS y)),
+  "at" AS (SELECT l.cx, l.y, EXISTS (SELECT 1 FROM corner r WHERE r.cx = l.cx - 1 AND r.y = l.y) AS met FROM corner l WHERE l.cx % 2 = 1),
+  placed AS (SELECT id, owner, y0, y1, x0 + coalesce(CASE WHEN d.cx % 2 = 1 AND d.x0 = d.cx THEN CASE WHEN l0.met THEN 0.01 ELSE 0.02 END WHEN d.cx % 2 = 0 AND d.x0 = d.cx + 1 AND r0.met THEN 0.01 END, 0)::DOUBLE AS x0,
+      x1 + coalesce(CASE WHEN d.cx % 2 = 1 AND d.x1 = d.cx THEN CASE WHEN l1.met THEN 0.01 ELSE 0.02 END WHEN d.cx % 2 = 0 AND d.x1 = d.cx + 1 AND r1.met THEN 0.01 END, 0)::DOUBLE AS x1
+    FROM drawn d LEFT JOIN "at" l0 ON l0.cx = d.cx AND l0.y = d.y0 LEFT JOIN "at" l1 ON l1.cx = d.cx AND l1.y = d.y1 LEFT JOIN "at" r0 ON r0.cx = d.cx + 1 AND r0.y = d.y0 LEFT JOIN "at" r1 ON r1.cx = d.cx + 1 AND r1.y = d.y1),
+  final AS (SELECT id, owner, round(x0, 4) AS x0, y0::DOUBLE AS y0, round(x1, 4) AS x1, y1::DOUBLE AS y1 FROM placed
+    UNION ALL SELECT -1 - 2 * blockid, -1, 5.0 * blockid, 100000.5, 5.0 * blockid + 2, 100002 FROM blocks WHERE blockid % 25 = 0 UNION ALL SELECT -2 - 2 * blockid, -2, 5.0 * blockid, 100000.5, 5.0 * blockid + 2, 100000 FROM blocks WHERE blockid % 25 = 0)
+  SELECT id, x0, y0, x1, y1, (SELECT count(*) FROM final b WHERE a.x0 = b.x1 AND a.y0 = b.y1 AND a.x1 = b.x0 AND a.y1 = b.y0) = 1 AS finished FROM final a"""
+
+
+@query("i26_collapse_gaps", I26)
 def i26(spark: SparkSession, sf: str) -> DataFrame:
-    """Ends of neighbouring blocks drawn a little apart that are still apart: none."""
-    s = segs(Territory(spark, sf)).filter("ordinal in (2, 4)").selectExpr("id", "wsid as owner", "x0 + if(ordinal = 2, 0.02D, 0D) as x0", "y0", "x1", "y1")
-    closed = E.collapse_gaps(s.withColumn("owner", F.col("owner")), 0.05)
-    ends = closed.select("owner", F.explode(F.array("x0", "x1")).alias("x0"))
-    return ends.filter("abs(x0 * 100 - round(x0 * 100)) > 1").select("x0")
+    t = Territory(spark, sf)
+    off = lambda k: f"cast(x{k} + if(cx % 2 = 1 and x{k} = cx, 0.02D, 0D) as double) as x{k}"
+    s = t.segments.join(t.blocks.select("blockid", "cx"), "blockid").selectExpr("blockid * 4 + ordinal as id", "blockid as owner", off(0), "cast(y0 as double) as y0", off(1), "cast(y1 as double) as y1")
+    b = t.blocks.filter("blockid % 25 = 0")
+    lines = b.selectExpr("-1 - 2 * blockid as id", "-1L as owner", "5D * blockid as x0", "100000D as y0", "5D * blockid + 2 as x1", "100002D as y1").unionByName(b.selectExpr("-2 - 2 * blockid as id", "-2L as owner", "5D * blockid as x0", "100001D as y0", "5D * blockid + 2 as x1", "100000D as y1"))
+    closed = E.collapse_gaps(s.unionByName(lines), 0.05)
+    return closed.select("id", F.round("x0", 4).alias("x0"), "y0", F.round("x1", 4).alias("x1"), "y1", "finished")
 
 
 @query("i27_stitch_rings", SEGS + RINGS + " SELECT stateid, ring, ordinal, x0, y0, x1, y1 FROM ringed")
