@@ -42,19 +42,20 @@ def i3(spark: SparkSession, sf: str) -> DataFrame:
     return I.find_cycles(Territory(spark, sf).forest.selectExpr(*LOOPED))
 
 
-@query("i4_absorb_dead_ends", " SELECT id, id - id % 10 + 9 AS into FROM points WHERE id % 10 <> 9 AND id - id % 10 + 9 <= (SELECT max(id) FROM points) AND id >= 10")
+@query("i4_absorb_dead_ends", ", c AS (SELECT id, least(id - id % 10 + 9, max(id) OVER ()) AS last FROM points) SELECT id, last AS into FROM c WHERE id < last")
 def i4(spark: SparkSession, sf: str) -> DataFrame:
-    """Chains of ten points, each smaller than the next, drain into their last one."""
+    """Chains of ten points, the last one maybe shorter, each smaller than the next, drain into
+    their last one, which lies on a ring of three more polygons."""
     p = Territory(spark, sf).points
     top = p.agg(F.max("id").alias("top"))
-    p = p.join(F.broadcast(top), how="inner").filter("id >= 10 and id - id % 10 + 9 <= top")
-    forward = p.filter("id % 10 <> 9").selectExpr("id as src", "id + 1 as dst")
-    ring = p.filter("id % 10 = 9").selectExpr("id as src", "-id as dst").unionByName(p.filter("id % 10 = 9").selectExpr("id as src", "-id - 1000000 as dst"))
-    e = forward.unionByName(forward.selectExpr("dst as src", "src as dst")).unionByName(ring).unionByName(ring.selectExpr("dst as src", "src as dst"))
-    loop = ring.selectExpr("dst as src", "dst - 2000000 as dst")
-    e = e.unionByName(loop).unionByName(loop.selectExpr("dst as src", "src as dst")).unionByName(loop.selectExpr("dst as src", "src - 5000000 as dst")).unionByName(loop.selectExpr("src - 5000000 as src", "dst as dst"))
-    areas = e.selectExpr("src as id").distinct().selectExpr("id", "case when id > 0 then id else 0 end as area")
-    return I.absorb_dead_ends(areas, e).filter("id > 0")
+    p = p.join(F.broadcast(top), how="inner").selectExpr("id", "least(id - id % 10 + 9, top) as last")
+    forward, ends = p.filter("id < last").selectExpr("id as src", "id + 1 as dst"), p.filter("id = last")
+    ring = ends.selectExpr("id as src", "explode(array(-id - 1, -id - 1000001)) as dst")
+    loop = ends.selectExpr("-id - 1 as src", "-id - 2000001 as dst").unionByName(ends.selectExpr("-id - 1000001 as src", "-id - 2000001 as dst"))
+    e = forward.unionByName(ring).unionByName(loop)
+    e = e.unionByName(e.selectExpr("dst as src", "src as dst"))
+    areas = e.selectExpr("src as id").distinct().selectExpr("id", "case when id >= 0 then id else -1 end as area")
+    return I.absorb_dead_ends(areas, e).filter("id >= 0")
 
 
 @query("i5_boundary_flags", CONN + " SELECT wsid0 AS wsid, bool_or(wsid1 = 0) AS boundary FROM conn GROUP BY wsid0")
