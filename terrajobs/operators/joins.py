@@ -94,7 +94,7 @@ def _in_cells(df: DataFrame, s: str, others: DataFrame, tile: float) -> DataFram
 
 def _level(s: str, tile: float) -> Column:
     side = F.greatest(F.col(f"maxx{s}") - F.col(f"minx{s}"), F.col(f"maxy{s}") - F.col(f"miny{s}"))
-    return F.when(side > tile, F.ceil(F.log2(side / tile))).otherwise(0).cast("int")
+    return F.when(side > tile, F.ceil(F.log2(side / tile) - 1e-9)).otherwise(0).cast("int")  # a side of the cell's size but for rounding stays there
 
 
 def bbox_join(a: DataFrame, b: DataFrame, tile: float, touching: bool = True) -> DataFrame:
@@ -193,7 +193,7 @@ def line_adjacency(segments: DataFrame, owner: str = "wsid", same_state: bool =
     near = tile * 1e-9
     s = segments.filter("not (x0 = x1 and y0 = y1)").selectExpr(f"{owner} as w", "stateid as st", *(f"cast({c} as double) as {c}" for c in ("x0", "y0", "x1", "y1")))
     boxes = _segment_boxes(s, near)
-    met = bbox_join(boxes, boxes, tile).filter("w0 <> w1")
+    met = bbox_join(boxes, boxes, 1.37 * tile).filter("w0 <> w1")  # so that regular drawings do not lie on the cells' borders
     if same_state:
         met = met.filter("st0 = st1")
     dx, dy, size = "(x10 - x00)", "(y10 - y00)", "sqrt((x10 - x00) * (x10 - x00) + (y10 - y00) * (y10 - y00))"
