@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from terrajobs.llm import bytescan as B
-from terrajobs.llm.common import narrowed, small_batches, split_by_ids
+from terrajobs.llm.common import narrowed, released, small_batches, split_by_ids
 from terrajobs.storage import discard, stash
 
 SMALLEST = 16  # bytes; also the reach of the rolling hash
@@ -33,6 +33,7 @@ LARGEST = 512
 BORDER_BITS = 5
 MIN_BYTES = 128
 FILTER_BITS = 26
+PART = 64  # bytes of the pieces that wider contexts are compared by
 GEAR = (B.BYTE_CODE >> np.uint64(13)).astype(np.uint32)
 
 
@@ -84,7 +85,7 @@ def repeated_digests(documents: DataFrame) -> DataFrame:
             for *_, h in _chunked(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["short"])
 
-    return documents.select("text").mapInArrow(run, "short long").groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").select("short")
+    return documents.select("text").mapInArrow(released(run), "short long").groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").select("short")
 
 
 def digest_filter(digests: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -125,7 +126,7 @@ def likely_repeats(documents: DataFrame, table: np.ndarray, bits: int) -> DataFr
                     names=["doc_id", "version", "start", "stop", "digest"],
                 )
 
-    return documents.mapInArrow(run, "doc_id long, version long, start long, stop long, digest binary")
+    return documents.mapInArrow(released(run), "doc_id long, version long, start long, stop long, digest binary")
 
 
 def _joined_runs(spans: Column, least: int) -> Column:
@@ -159,20 +160,44 @@ def _agreeing(a: bytes, b: bytes) -> int:
 
 
 @F.pandas_udf(StructType([StructField("before", IntegerType()), StructField("after", IntegerType()), StructField("more", BooleanType())]))
-def _common(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, width: pd.Series) -> pd.DataFrame:
-    """Equal bytes at the ends of a and b and at the starts of c and d, whole characters only."""
+def _common(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, before: pd.Series, after: pd.Series, width: pd.Series) -> pd.DataFrame:
+    """Equal bytes at the ends of a and b and at the starts of c and d, whole characters only,
+    and the ``before`` and ``after`` ones that were left out as equal."""
     out = []
-    for p, q, x, y, w in zip(a, b, c, d, width, strict=True):
+    for p, q, x, y, i, j, w in zip(a, b, c, d, before, after, width, strict=True):
         n, m = _agreeing(p[::-1], q[::-1]), _agreeing(x, y)
-        more = n == w or m == w
+        more = n + i == w or m + j == w
         while n and p[-n] & 0xC0 == 0x80:
             n -= 1
         while m and any(m < len(z) and z[m] & 0xC0 == 0x80 for z in (x, y)):
             m -= 1
-        out.append((n, m, more))
+        out.append((n + i, m + j, more))
     return pd.DataFrame(out, columns=["before", "after", "more"])
 
 
+def _near_change(both: DataFrame, width: int) -> DataFrame:
+    """``both`` with only the part of each context around the first difference, and how many
+    equal bytes (skip_before, skip_after) were left out next to the run. Whole contexts stay in
+    Spark, where their pieces are compared; a piece and two characters on both sides go to Python."""
+    part = max(PART, min(width // PART, PART * PART))
+
+    def skipped(x: str, y: str, first: str, second: str) -> str:
+        pieces = f"least(length({x}), length({y})) div {part}"
+        alike = f"transform(sequence(1L, {pieces}), k -> {first} = {second})"
+        return f"if({pieces} = 0, 0L, greatest(coalesce(nullif(array_position({alike}, false), 0L) - 1, {pieces}) * {part} - 8, 0L))"
+
+    last = lambda c: f"substring({c}, cast(length({c}) - k * {part} + 1 as int), {part})"
+    next_ = lambda c: f"substring({c}, cast((k - 1) * {part} + 1 as int), {part})"
+    sides = ["later_before", "first_before", "later_after", "first_after"]
+    both = both.withColumn("skip_before", F.expr(skipped(*sides[:2], *map(last, sides[:2])))).withColumn("skip_after", F.expr(skipped(*sides[2:], *map(next_, sides[2:]))))
+    held = part + 16
+    for c in sides[:2]:
+        both = both.withColumn(c, F.expr(f"substring({c}, cast(greatest(length({c}) - skip_before - {held}, 0) + 1 as int), cast(least(length({c}) - skip_before, {held}) as int))"))
+    for c in sides[2:]:
+        both = both.withColumn(c, F.expr(f"substring({c}, cast(skip_after + 1 as int), {held})"))
+    return both
+
+
 def extended(runs: DataFrame, documents: DataFrame, width: int = 64) -> DataFrame:
     """(doc_id, version, start, stop) of ``runs`` (doc_id, version, start, stop, first_doc,
     first_version, shift), as far as both texts agree. Wider contexts are read for the runs
@@ -181,7 +206,11 @@ def extended(runs: DataFrame, documents: DataFrame, width: int = 64) -> DataFram
     while True:
         later = _context(runs, documents, "doc_id", "version", "start", "stop", width, "later")
         both = _context(later, documents, "first_doc", "first_version", "start + shift", "stop + shift", width, "first")
-        found = both.withColumn("e", _common("later_before", "first_before", "later_after", "first_after", F.lit(width)))
+        if width > PART:
+            both = _near_change(both, width)
+        else:
+            both = both.withColumns({"skip_before": F.lit(0), "skip_after": F.lit(0)})
+        found = both.withColumn("e", _common("later_before", "first_before", "later_after", "first_after", "skip_before", "skip_after", F.lit(width)))
         found = stash(found.select(*keys, "e"), "extended")
         parts.append(found.filter("not e.more").selectExpr("doc_id", "version", "start - e.before as start", "stop + e.after as stop"))
         runs = found.filter("e.more").select(*keys)
@@ -246,5 +275,5 @@ def dedup_substrings(documents: DataFrame, min_bytes: int = MIN_BYTES, bits: int
                 names=["doc_id", "text", "removed_chars", "spans"],
             )
 
-    done = joined.mapInArrow(cut, f"doc_id long, text string, removed_chars long, spans {kind}")
+    done = joined.mapInArrow(released(cut), f"doc_id long, text string, removed_chars long, spans {kind}")
     return done.unionByName(rest.select("doc_id", "text", F.lit(0).cast("long").alias("removed_chars"), F.expr(f"cast(array() as {kind})").alias("spans")))

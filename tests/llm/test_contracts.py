@@ -404,6 +404,24 @@ def test_passages_are_cut_to_their_ends(spark):
     assert whole >= len(passages) - 1
 
 
+def test_wide_contexts_stay_in_spark(spark):
+    """Only the bytes around the first difference go to Python, and what they say is right for the whole."""
+    rng, width, rows = random.Random(21), 4096, []
+    for n in [0, 1, 63, 64, 65, 71, 72, 127, 128, 129, 200, 640, 1999, 4095, 4096] * 4:
+        same = "".join(rng.choice("aé€😀") for _ in range(n)).encode()[: n if n == width else None][:width]
+        same = same.decode(errors="ignore").encode() if n < width else b"a" * width
+        ends = [rng.choice(["", "x", "éy", "è", "€z"]).encode() for _ in range(2)]
+        p, q = ((e + same)[-width:].decode(errors="ignore").encode() for e in ends)
+        x, y = ((same + e)[:width].decode(errors="ignore").encode() for e in ends)
+        rows.append((len(rows), p, q, x, y))
+    names = ["later_before", "first_before", "later_after", "first_after"]
+    both = spark.createDataFrame(rows, "k long, " + ", ".join(f"{c} binary" for c in names))
+    near = substring_dedup._near_change(both, width)
+    common = lambda df, *skip: {r.k: (r.e.before, r.e.after, r.e.more) for r in df.select("k", substring_dedup._common(*names, *skip, F.lit(width)).alias("e")).collect()}
+    assert common(near, "skip_before", "skip_after") == common(both, F.lit(0), F.lit(0))
+    assert max(len(r[c]) for r in near.collect() for c in names) <= substring_dedup.PART + 16
+
+
 def test_pieces_of_different_sources_stay(spark):
     """Two repeated pieces under the least length, side by side, are no repeated passage."""
     rng = random.Random(31)
