@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrajobs.llm import bytescan as B
 from terrajobs.llm.common import released, small_batches
 from terrajobs.storage import discard, stash
 
@@ -28,8 +29,12 @@ END_ID = 1
 ITEMS = 1500
 TEXT_BYTES = 1 << 20  # of texts encoded at a time, about
 MEMO = 120_000  # pieces of words in each of two generations
+SLOT_BITS = 19  # of the table of words met, a word a slot
+SHORT = 16  # bytes of the words that have slots
+STORE = 1 << 22  # ids held for them
 _TAIL = b".,;:!?|*#$%&()-+="
 _NOT_LETTERS = re.compile(r"[\W\d_]")
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class WordIds:
@@ -40,6 +45,10 @@ class WordIds:
     lowers case and splits letters from other characters, so a word's case and its trailing
     punctuation need no entries of their own. Words with "<" may hold special tokens and are
     encoded as they are.
+
+    All words of some texts are looked up at once in a table of short words with a slot for
+    each hash; it holds the words' bytes and lengths, so what it finds is exact. The other
+    words, those whose slot another word took included, are looked up one by one.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,11 +61,14 @@ class WordIds:
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.head, self.rest = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.uint64)
+        self.length, self.count, self.at = np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(1 << SLOT_BITS, np.uint32)
+        self.store, self.held = np.zeros(1 << 16, "<u4"), 0
 
     def _unknown(self, words: set[bytes]) -> set[bytes]:
         """Words in neither generation; those of the old one come back into the young one."""
         words = words.difference(self.memo)
-        back = words.intersection(self.old)
+        back = [w for w in words if w in self.old]
         self.memo.update(zip(back, map(self.old.__getitem__, back), strict=True))
         return words.difference(back)
 
@@ -76,12 +88,12 @@ class WordIds:
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded, strict=True))
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<" in t else t.lower()).split() for t in texts]
+    def _ids(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words, each by itself."""
         if len(self.memo) > MEMO:  # words not met again before the next turn are forgotten
             self.old, self.memo = self.memo, {}
         plain, odd, parts, known = set(), set(), [], {}
-        for w in set().union(*split):
+        for w in words:
             head = w.rstrip(_TAIL)
             if len(head) == len(w):
                 (plain if w.isalpha() or not _NOT_LETTERS.search(w.decode()) else odd).add(w)
@@ -100,8 +112,53 @@ class WordIds:
             known[w] = get(head) + get(tail)
         known.update(zip(plain, map(get, plain), strict=True))
         known.update(zip(odd, map(get, odd), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return known
+
+    def _put(self, ids: list[bytes]) -> np.ndarray:
+        """Where the ids of words begin in the store, put there one after the other."""
+        new = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = self.held + np.cumsum(sizes) - sizes
+        if self.held + len(new) > len(self.store):
+            self.store = np.concatenate([self.store[: self.held], np.zeros(self.held + 2 * len(new), "<u4")])
+        self.store[self.held : self.held + len(new)] = new
+        self.held += len(new)
+        return at
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if self.held > STORE:
+            self.length[:], self.held = 0, 0
+        texts = [t if b"<" in t else t.lower() for t in texts]
+        whole = b" ".join([*texts, bytes(SHORT)])
+        data = np.frombuffer(whole, np.uint8)[:-SHORT]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        start, end, first = B.words(data, np.concatenate([[0], np.cumsum(sizes)]))
+        if not len(start):
+            return [b""] * len(texts)
+        length = end - start
+        eight = np.ndarray(len(whole) - 7, "<u8", whole, 0, (1,))  # the eight bytes from each place
+        head = eight[start] & _FIRST_BYTES[np.minimum(length, 8)]
+        rest = eight[start + 8] & _FIRST_BYTES[np.clip(length - 8, 0, 8)]
+        slot = (B.mix(head ^ B.mix(rest)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        count, at = self.count[slot].astype(np.int64), self.at[slot].astype(np.int64)
+        miss = np.flatnonzero((self.length[slot] != length) | (self.head[slot] != head) | (self.rest[slot] != rest))
+        if len(miss):
+            words = [whole[s:e] for s, e in zip(start[miss].tolist(), end[miss].tolist(), strict=True)]
+            number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+            known = self._ids(set(number))
+            ids = [known[w] for w in number]
+            own, sizes = self._put(ids), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            at[miss], count[miss] = own[which], sizes[which]
+            short = miss[(length[miss] <= SHORT) & (count[miss] < 256)]
+            _, once = np.unique(slot[short], return_index=True)
+            short = short[once]
+            s = slot[short]
+            self.head[s], self.rest[s], self.length[s], self.count[s], self.at[s] = head[short], rest[short], length[short], count[short], at[short]
+        ends = np.cumsum(count)
+        ids = self.store[np.repeat(at - ends + count, count) + np.arange(ends[-1])].tobytes()
+        cuts = (np.concatenate([[0], ends])[first] * 4).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _portions(texts: Iterable[bytes], limit: int) -> Iterator[list[bytes]]:

@@ -344,6 +344,25 @@ def test_word_ids_match_the_tokenizer():
     assert words([t.encode() for t in texts]) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_known_words_are_not_looked_up_again(monkeypatch):
+    """Words met before come from the table, whatever shares their slots; long ones and those in a taken slot one by one."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = str(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    plain, rng = tokenizers.Tokenizer.from_file(path), random.Random(4)
+    texts = [prose(rng, 300) + " a a\0 a\0\0 \0 " + "x" * 17 + " " + "é" * 8 + " <|endoftext|>" for _ in range(3)] + ["", " "]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    data = [t.encode() for t in texts]
+    words = packing.WordIds(path)
+    assert words(data) == want
+    asked = []
+    monkeypatch.setattr(packing.WordIds, "_ids", lambda self, new, f=packing.WordIds._ids: asked.append(len(new)) or f(self, new))
+    assert words(data) == want and sum(asked) < 20
+    monkeypatch.setattr(packing, "SLOT_BITS", 4)
+    monkeypatch.setattr(packing, "STORE", 500)
+    words = packing.WordIds(path)
+    assert [words(data) for _ in range(3)] == [want] * 3
+
+
 def test_bounds_hold():
     rng = random.Random(9)
     for _ in range(30):
