@@ -24,16 +24,28 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+SPACES = " \t\x0b\f\r"
+
+
 def _body(line: Column) -> Column:
     """A line without ASCII white space around it; blank lines have none."""
-    return F.regexp_replace(line, "^[ \\t\\x0B\\f\\r]+|[ \\t\\x0B\\f\\r]+$", "")
+    return F.btrim(line, F.lit(SPACES))
+
+
+def _words(body: Column) -> Column:
+    """How many words a body has: in plain lines one more than spaces."""
+    odd = F.contains(body, F.lit("  "))
+    for c in SPACES[1:]:
+        odd = odd | F.contains(body, F.lit(c))
+    plain = F.octet_length(body) - F.octet_length(F.replace(body, F.lit(" "), F.lit(""))) + 1
+    return F.when(odd, F.size(F.split(body, "[ \\t\\x0B\\f\\r]+"))).otherwise(plain)
 
 
 def fingerprints(documents: DataFrame, run: int = RUN) -> DataFrame:
     """(doc_id, version, mark, windows): a row per fingerprint, with the aligned windows that
     hold it, each with its hash and its line numbers."""
     lines = F.transform(_lines(F.col("text")), lambda line, i: F.struct(i.alias("i"), _body(line).alias("body")))
-    solid = F.transform(F.filter(lines, lambda x: x["body"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["body"]).alias("h"), F.size(F.split(x["body"], "[ \\t\\x0B\\f\\r]+")).alias("w")))
+    solid = F.transform(F.filter(lines, lambda x: x["body"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["body"]).alias("h"), _words(x["body"]).alias("w")))
     rows = documents.select("doc_id", F.xxhash64("text").alias("version"), solid.alias("solid")).filter(F.size("solid") > 0)
     rows = rows.withColumn("h", F.col("solid.h")).withColumn("i", F.col("solid.i")).withColumn("w", F.col("solid.w"))
 

@@ -228,6 +228,18 @@ def test_line_runs(spark, docs, none):
     assert {r["a.b"] for r in line_dedup.dedup_lines(dotted.unionByName(dotted)).collect()} == {1}
 
 
+def test_bodies_and_words_of_lines(spark):
+    """White space goes at a line's very ends only, also next to what Java takes for the end of a line."""
+    rng = random.Random(13)
+    lines = ["".join(rng.choice(["a", "é", " ", "  ", "\t", "\x0b", "\f", "\r", "\x85", "\u2028"]) for _ in range(rng.randrange(12))) for _ in range(300)] + ["x \x85", "x\x85 ", "a b", "", " "]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "k long, text string").withColumn("body", line_dedup._body(F.col("text")))
+    for r in df.withColumn("w", line_dedup._words(F.col("body"))).filter("body <> ''").union(df.filter("body = ''").withColumn("w", F.lit(0))).collect():
+        assert r.body == lines[r.k].strip(" \t\x0b\f\r") and r.w == len(WORD.findall(r.body))
+    rows = [(k, f"{prose(random.Random(k), 5)}\n{e}one line \x85\ntwo lines\nthree lines") for k, e in enumerate(["", " ", ""])]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame([*rows, (9, rows[0][1].replace(" \x85", "\x85"))], "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 3, 2: 3, 9: 0}
+
+
 def test_quality_measures(docs, none):
     got = {r.doc_id: r for r in quality_rules.verdicts(docs).collect()}
     for i, t, *_ in corpus():
