@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -312,6 +313,25 @@ def _children(rows: DataFrame, comps: DataFrame | None, sizes: DataFrame, docume
     return _texts(held, documents).select("text", "nodes", *member).mapInArrow(released(step), "node long, " + ", ".join(f"{c} long" for c in member)).distinct()
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``comps`` (id, component) after ``links`` (a, b): only links between different components
+    are followed, so the components of a level are not worked out again on the next."""
+    if comps is None:
+        return edge_components(links, "a", "b")
+    part = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    across = links.join(part("a"), "a", "left").join(part("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b")
+    new = edge_components(across, "a", "b")
+    whole = comps.select("id", "component").unionByName(new.join(comps.select("id"), "id", "left_anti").select("id", F.col("id").alias("component")))
+    moved = new.select(F.col("id").alias("old"), F.col("component").alias("new"))
+    out = stash(whole.join(moved, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")), "components")
+    discard(new)
+    return out
+
+
 def near_duplicates(
     documents: DataFrame, n: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, few: int = FEW, small: int = SMALL_NODE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -340,7 +360,6 @@ def near_duplicates(
     text = F.col(text_col).cast("string")
     texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
 
-    found: list[DataFrame] = []
     tested: list[DataFrame] = []
     comps, bounds = None, None
 
@@ -348,21 +367,17 @@ def near_duplicates(
         """Confirm pairs and bring the components up to date."""
         nonlocal comps
         pairs = pairs.distinct()
-        for before in tested:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        if tested:
+            pairs = pairs.join(_union(tested), ["a", "b"], "left_anti")
         likely = stash(pairs, "likely")
-        if not likely.limit(1).count():
+        if likely.isEmpty():
             return False
         tested.append(likely)
         links = confirm(likely, sizes, texts, n, percent)
-        if not links.limit(1).count():
+        if links.isEmpty():
             return False
-        found.append(links)
-        whole = found[0]
-        for part in found[1:]:
-            whole = whole.unionByName(part)
-        old, comps = comps, edge_components(whole, "a", "b")
-        discard(old)
+        old, comps = comps, _joined(comps, links)
+        discard(old, links)
         return True
 
     bits = BITS
@@ -374,7 +389,7 @@ def near_duplicates(
         named = stash(_with_components(wide.select("node", *_member(bits)), comps), "named")  # measuring reads it twice
         open_ = stash(_measured(named), "open")
         discard(rows, named)
-        if not open_.limit(1).count():
+        if open_.isEmpty():
             discard(open_)
             break
         if bounds is None:
@@ -389,7 +404,7 @@ def near_duplicates(
         large = F.col("cross") > small * F.col("size")
         join_up(_pairs_across(open_ if last else open_.filter(~large), percent, bits, once=True))
         rest = open_.filter(large).select("node", *_member(bits))
-        if last or not rest.limit(1).count():
+        if last or rest.isEmpty():
             discard(open_)
             break
         old, level = level, stash(_children(rest, comps, sizes, texts, n), "children")

@@ -16,11 +16,11 @@ def _compress(pointer: DataFrame) -> DataFrame:
             pointer.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")),
             "pointer",
         )
-        moved = step.filter("moved").limit(1).count()
+        still = step.filter("moved").isEmpty()
         discard(pointer)
         pointer = step.select("u", "p")
         pointer._stash_path = step._stash_path
-        if not moved:
+        if still:
             return pointer
 
 
@@ -34,7 +34,7 @@ def edge_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
     """
     e = stash(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null and u <> v").distinct(), "edges")
     labels = None
-    while e.limit(1).count():
+    while not e.isEmpty():
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         pointer = stash(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "hook")
         pointer = _compress(pointer)

@@ -213,6 +213,24 @@ def brute_lines(rows, run):
     return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in out[i]) for i, t in rows}
 
 
+def test_components_grow_by_new_links(spark):
+    """Links that come level by level join the same documents as all of them at once."""
+    rng, comps, up = random.Random(1), None, {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for _ in range(3):
+        links = [(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(15)) if a != b]
+        comps = near_dedup._joined(comps, spark.createDataFrame(links, "a long, b long"))
+        for a, b in links:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+        assert {r.id: r.component for r in comps.collect()} == {x: root(x) for x in up}
+
+
 def test_line_runs(spark, docs, none):
     rows = [(r[0], r[1]) for r in corpus()]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
