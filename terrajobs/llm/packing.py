@@ -27,14 +27,31 @@ from terrajobs.storage import discard, stash
 CAPACITY = 4096
 END_ID = 1
 ITEMS = 1500
-TEXT_BYTES = 1 << 20  # of texts encoded at a time, about
-MEMO = 120_000  # pieces of words in each of two generations
-SLOT_BITS = 19  # of the table of words met, a word a slot
-SHORT = 16  # bytes of the words that have slots
+TEXT_BYTES = 1 << 18  # of texts encoded at a time, about
+SLOT_BITS = 20  # of the table of pieces met, a piece a slot
+SHORT = 16  # bytes of the pieces that have slots
 STORE = 1 << 22  # ids held for them
-_TAIL = b".,;:!?|*#$%&()-+="
+TAIL = 4  # bytes of the punctuation that is cut from a word, at most
+_MARKS = b".,;:!?|*#$%&()-+="
 _NOT_LETTERS = re.compile(r"[\W\d_]")
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # of ASCII and Latin-1
 _FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_IS_MARK, _IS_ALNUM, _IS_LATIN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_IS_MARK[list(_MARKS)] = True
+_IS_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
+_IS_LATIN[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True  # after 0xC3
+
+
+def _cut_marks(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same words, with a few last marks after a letter or digit as pieces of their own."""
+    which = np.flatnonzero(_IS_MARK[data[end - 1]])
+    cut = end[which] - 1
+    for _ in range(TAIL - 1):
+        cut -= (cut > start[which]) & _IS_MARK[data[cut - 1]]
+    before = data[cut - 1]
+    good = (cut > start[which]) & (_IS_ALNUM[before] | _IS_LATIN[before] & (data[cut - 2] == 0xC3) & (cut > start[which] + 1))
+    which, cut = which[good], cut[good]
+    return np.insert(start, which + 1, cut), np.insert(end, which, cut), first + np.searchsorted(which, first)
 
 
 class WordIds:
@@ -44,11 +61,11 @@ class WordIds:
     text are those of its words in order; words are cut at ASCII white space only. It then
     lowers case and splits letters from other characters, so a word's case and its trailing
     punctuation need no entries of their own. Words with "<" may hold special tokens and are
-    encoded as they are.
+    encoded as they are; those end with ">", which no cut piece begins or ends with.
 
-    All words of some texts are looked up at once in a table of short words with a slot for
-    each hash; it holds the words' bytes and lengths, so what it finds is exact. The other
-    words, those whose slot another word took included, are looked up one by one.
+    All pieces of some texts are looked up at once in a table of short ones with a slot for
+    each hash; it holds the pieces' bytes and lengths, so what it finds is exact. The others,
+    those whose slot another piece took included, are encoded.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,60 +76,32 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.memo: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
         self.head, self.rest = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.uint64)
         self.length, self.count, self.at = np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(1 << SLOT_BITS, np.uint32)
         self.store, self.held = np.zeros(1 << 16, "<u4"), 0
 
-    def _unknown(self, words: set[bytes]) -> set[bytes]:
-        """Words in neither generation; those of the old one come back into the young one."""
-        words = words.difference(self.memo)
-        back = [w for w in words if w in self.old]
-        self.memo.update(zip(back, map(self.old.__getitem__, back), strict=True))
-        return words.difference(back)
-
-    def _learn(self, plain: set[bytes], odd: set[bytes]) -> None:
-        """Put words into the memo; plain pieces are encoded together and told apart by the
-        tokens that end a piece."""
-        new, single = list(self._unknown(plain)), self._unknown(odd)
-        if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(new).decode()], add_special_tokens=False)[0].ids, "<u4")
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, each by itself. Those of one token piece are encoded
+        together and told apart by the tokens that end a piece."""
+        plain, odd = [], []
+        for k, w in enumerate(words):
+            one = w.isalpha() or _LETTERS.fullmatch(w) or not w.strip(_MARKS) or not _NOT_LETTERS.search(w.decode())
+            (plain if one else odd).append(k)
+        out: list[bytes] = [b""] * len(words)
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join([words[k] for k in plain]).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(new) and ends[-1] == len(ids):
+            if len(ends) == len(plain) and ends[-1] == len(ids):
                 data, at = ids.tobytes(), [0, *(ends * 4).tolist()]
-                self.memo.update((p, data[a:b]) for p, a, b in zip(new, at, at[1:], strict=False))
-            else:
-                single = single.union(new)
-        words = list(single)
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded, strict=True))
-
-    def _ids(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words, each by itself."""
-        if len(self.memo) > MEMO:  # words not met again before the next turn are forgotten
-            self.old, self.memo = self.memo, {}
-        plain, odd, parts, known = set(), set(), [], {}
-        for w in words:
-            head = w.rstrip(_TAIL)
-            if len(head) == len(w):
-                (plain if w.isalpha() or not _NOT_LETTERS.search(w.decode()) else odd).add(w)
-            elif not head:
-                plain.add(w)
-            elif head.isalpha() or not _NOT_LETTERS.search(head.decode()):
-                tail = w[len(head) :]
-                parts.append((w, head, tail))
-                plain.add(head)
-                plain.add(tail)
+                for k, a, b in zip(plain, at, at[1:], strict=False):
+                    out[k] = data[a:b]
             else:
-                odd.add(w)
-        self._learn(plain, odd)
-        get = self.memo.__getitem__
-        for w, head, tail in parts:
-            known[w] = get(head) + get(tail)
-        known.update(zip(plain, map(get, plain), strict=True))
-        known.update(zip(odd, map(get, odd), strict=True))
-        return known
+                odd = odd + plain
+        if odd:
+            encoded = self.tokenizer.encode_batch_fast([words[k].decode() for k in odd], add_special_tokens=False)
+            for k, e in zip(odd, encoded, strict=True):
+                out[k] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def _put(self, ids: list[bytes]) -> np.ndarray:
         """Where the ids of words begin in the store, put there one after the other."""
@@ -135,6 +124,7 @@ class WordIds:
         start, end, first = B.words(data, np.concatenate([[0], np.cumsum(sizes)]))
         if not len(start):
             return [b""] * len(texts)
+        start, end, first = _cut_marks(data, start, end, first)
         length = end - start
         eight = np.ndarray(len(whole) - 7, "<u8", whole, 0, (1,))  # the eight bytes from each place
         head = eight[start] & _FIRST_BYTES[np.minimum(length, 8)]
@@ -145,8 +135,7 @@ class WordIds:
         if len(miss):
             words = [whole[s:e] for s, e in zip(start[miss].tolist(), end[miss].tolist(), strict=True)]
             number = {w: k for k, w in enumerate(dict.fromkeys(words))}
-            known = self._ids(set(number))
-            ids = [known[w] for w in number]
+            ids = self._ids(list(number))
             own, sizes = self._put(ids), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
             at[miss], count[miss] = own[which], sizes[which]

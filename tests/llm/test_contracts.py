@@ -393,6 +393,19 @@ def test_known_words_are_not_looked_up_again(monkeypatch):
     assert [words(data) for _ in range(3)] == [want] * 3
 
 
+def test_marks_at_ends_of_words_share_entries():
+    """A word is held once, whatever marks follow it; marks that join a word's end stay with it."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = str(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    plain, words = tokenizers.Tokenizer.from_file(path), packing.WordIds(path)
+    ids = lambda t: np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    texts = ["alpha, né. 7!", "né, alpha! 7.", "alpha né 7 , . !"]
+    assert words([t.encode() for t in texts]) == [ids(t) for t in texts]
+    assert np.count_nonzero(words.length) == 6
+    odd = ["İ!!!!! a\u0307... ’” é’. ×, a!!!!!!!!!", "...", "(a,", "a\u0301,", "é", "<|endoftext|>. <|endoftext|,"]
+    assert words([t.encode() for t in odd]) == [ids(t) for t in odd]
+
+
 def test_bounds_hold():
     rng = random.Random(9)
     for _ in range(30):
