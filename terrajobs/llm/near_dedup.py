@@ -49,7 +49,7 @@ TREES = 10
 DEPTH = 8
 BRANCHES = 2
 FEW = 12  # pairs a member, compared at once
-SMALL_NODE = 256  # pairs a member, compared once its components are known
+SMALL_NODE = 4096  # pairs a member, compared once its components are known: dearer levels below are for larger nodes
 PIVOTS = 4
 BLOCK = 1 << 19  # shingles of the sets that meet in one task
 

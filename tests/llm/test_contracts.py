@@ -131,6 +131,29 @@ def test_documents_of_stock_clauses(spark):
     assert links and got == {i: find(i) for i in got}
 
 
+def test_nodes_of_hundreds_are_compared_at_their_level(spark, monkeypatch):
+    """Alike texts under the threshold are compared at once; levels below cost more than these pairs."""
+    rng = random.Random(5)
+    clauses = [prose(rng, 12).split() for _ in range(30)]
+    rows = [(i, " ".join(w for c in sorted(rng.sample(range(30), 24)) for w in clauses[c])) for i in range(340)]
+    rows += [(1000 + i, t + " end") for i, t in rows[:5]]
+
+    def below(*_):
+        raise AssertionError("went a level deeper")
+
+    monkeypatch.setattr(near_dedup, "_children", below)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, n=4).collect()}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in ((i, t.split()) for i, t in rows)}
+    up = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and up[i] != up[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((up[i], up[j]))
+                up = {k: low if v == high else v for k, v in up.items()}
+    assert got == up and len(set(up.values())) > 200
+
+
 def test_odd_rows_of_near_duplicates(spark, none):
     text = "a b c d e f g h"
     rows = [(1, text), (1, text), (2, text), (None, text), (3, "x y z u v w"), (3, "other words in this one here"), (4, "x y z u v w"), (5, None), (None, None)]
