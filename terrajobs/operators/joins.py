@@ -84,12 +84,22 @@ def within_distance(a: DataFrame, b: DataFrame, d: float, distinct_owner: bool =
 
 
 def _in_cells(df: DataFrame, s: str, others: DataFrame, tile: float) -> DataFrame:
-    """Boxes in the cells of their own size, and of those larger sizes that the other side has."""
+    """Boxes in the cells of their own size, and of those larger sizes that the other side has.
+
+    ``_grid`` names the cells' size and who meets there: side 0's boxes of that size and all of
+    side 1's, or its smaller boxes and only side 1's of that size, so two that are both too
+    small never meet. ``_left`` and ``_low`` tell the box's first column and row of cells.
+    """
     rows = renamed(df, s).withColumn(f"_own{s}", _level(s, tile)).join(F.broadcast(others), how="inner")
     levels = F.concat(F.array(f"_own{s}"), F.filter("_levels", lambda v: v > F.col(f"_own{s}")))
     rows = rows.withColumn("_level", F.explode(levels)).withColumn("_size", F.lit(tile) * F.pow(F.lit(2.0), F.col("_level")))
-    at = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("_size")), F.floor(F.col(hi) / F.col("_size"))))
-    return rows.withColumn("_tx", at(f"minx{s}", f"maxx{s}")).withColumn("_ty", at(f"miny{s}", f"maxy{s}")).drop("_levels")
+    first = lambda c: F.floor(F.col(f"{c}{s}") / F.col("_size"))
+    rows = rows.withColumn("_tx", F.explode(F.sequence(first("minx"), first("maxx")))).withColumn("_ty", F.explode(F.sequence(first("miny"), first("maxy"))))
+    rows = rows.withColumns({f"_left{s}": F.col("_tx") == first("minx"), f"_low{s}": F.col("_ty") == first("miny")})
+    own, any_smaller = F.col("_level") == F.col(f"_own{s}"), F.exists("_levels", lambda v: v < F.col("_level"))
+    all_of, smaller = F.col("_level") * 2, F.col("_level") * 2 + 1
+    grid = F.array(F.when(own, all_of).otherwise(smaller)) if s == "0" else F.when(own & any_smaller, F.array(all_of, smaller)).otherwise(F.array(all_of))
+    return rows.withColumn("_grid", F.explode(grid)).drop("_levels", "_level", "_size", f"_own{s}")
 
 
 def _level(s: str, tile: float) -> Column:
@@ -106,12 +116,10 @@ def bbox_join(a: DataFrame, b: DataFrame, tile: float, touching: bool = True) ->
     the cell of the lower left corner of the boxes' overlap.
     """
     used = lambda df, s: renamed(df.select("minx", "miny", "maxx", "maxy"), s).agg(F.collect_set(_level(s, tile)).alias("_levels"))
-    left, right = _in_cells(a, "0", used(b, "1"), tile), _in_cells(b, "1", used(a, "0"), tile).drop("_size")
-    cell = lambda c: F.floor(F.greatest(f"{c}0", f"{c}1") / F.col("_size"))
-    here = (F.col("_level") == F.greatest("_own0", "_own1")) & (F.col("_tx") == cell("minx")) & (F.col("_ty") == cell("miny"))
+    left, right = _in_cells(a, "0", used(b, "1"), tile), _in_cells(b, "1", used(a, "0"), tile)
     op = "<=" if touching else "<"
-    meet = F.expr(f"minx0 {op} maxx1 and minx1 {op} maxx0 and miny0 {op} maxy1 and miny1 {op} maxy0")
-    return left.join(right, ["_level", "_tx", "_ty"]).filter(meet & here).drop("_level", "_tx", "_ty", "_size", "_own0", "_own1")
+    meet = F.expr(f"minx0 {op} maxx1 and minx1 {op} maxx0 and miny0 {op} maxy1 and miny1 {op} maxy0 and (_left0 or _left1) and (_low0 or _low1)")
+    return left.join(right, ["_grid", "_tx", "_ty"]).filter(meet).drop("_grid", "_tx", "_ty", "_left0", "_left1", "_low0", "_low1")
 
 
 def _segment_boxes(segments: DataFrame, margin: float) -> DataFrame:
@@ -143,10 +151,28 @@ def segment_pairs(a: DataFrame, b: DataFrame, tile: float, margin: float = 0.0)
 _A, _B = ("ax0", "ay0", "ax1", "ay1"), ("bx0", "by0", "bx1", "by1")
 
 
+def _then(df: DataFrame, condition: Column | str) -> DataFrame:
+    """Filter in a step of its own. Conditions that Spark moves into a join make its loop too
+    long for Java to compile, and many times slower: the partition's number, which Spark can't
+    move, keeps this one out of the join below, and the coalesce, which merges nothing, out of
+    its generated code."""
+    return df.coalesce(1 << 20).filter((F.expr(condition) if isinstance(condition, str) else condition) == (F.spark_partition_id() >= 0))
+
+
 def near_crossings(segments: DataFrame, tile: float, eps: float = 1e-5) -> DataFrame:
-    """Segment pairs, once each, within ``eps`` of one another that share no end."""
-    apart = " and ".join(f"not (a{p} = b{q} and a{p.replace('x', 'y')} = b{q.replace('x', 'y')})" for p in ("x0", "x1") for q in ("x0", "x1"))
-    return segment_pairs(segments, segments, tile, eps).filter("a_id < b_id").filter(apart).filter(segment_distance(_A, _B) <= eps)
+    """Segment pairs, once each, within ``eps`` of one another that share no end. Pairs of which
+    one lies clear of the other's line go before distances are worked out."""
+    apart = [f"not (a{p} = b{q} and a{p.replace('x', 'y')} = b{q.replace('x', 'y')})" for p in ("x0", "x1") for q in ("x0", "x1")]
+
+    def close(one: str, other: str) -> str:
+        side = [f"(({one}x1 - {one}x0) * ({other}y{k} - {one}y0) - ({one}y1 - {one}y0) * ({other}x{k} - {one}x0))" for k in (0, 1)]
+        size = " + ".join(f"abs({c})" for c in (f"{one}x0", f"{one}y0", *(f"{other}{v}{k}" for v in "xy" for k in (0, 1))))
+        reach = f"({2 * eps}D + 1e-12D * ({size})) * (abs({one}x1 - {one}x0) + abs({one}y1 - {one}y0))"
+        return f"not (least({side[0]}, {side[1]}) > {reach} or greatest({side[0]}, {side[1]}) < -{reach})"
+
+    met = segment_pairs(segments, segments, tile, eps).filter("a_id < b_id")
+    met = _then(met, " and ".join([*apart, close("a", "b"), close("b", "a")]))
+    return _then(met, segment_distance(_A, _B) <= eps)
 
 
 def line_crossings(rivers: DataFrame, interfaces: DataFrame, tile: float) -> DataFrame:

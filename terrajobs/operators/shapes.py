@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrajobs.functions.polygons import Window2D, points
 from terrajobs.functions.rings import ring_area
 from terrajobs.functions.scalars import along_distance, planar_distance
-from terrajobs.operators.joins import bbox_join, mutual_nearest, near_crossings, within_distance
+from terrajobs.operators.joins import bbox_join, mutual_nearest, near_crossings
 from terrajobs.operators.ordering import best_per, with_dense_id
 from terrajobs.operators.outlines import XY
 from terrajobs.operators.summaries import closest_endpoints
@@ -222,9 +222,26 @@ def assign_by_max_overlap(overlaps: DataFrame) -> DataFrame:
 
 
 def _ties_of_ends(active: DataFrame, tol: float) -> DataFrame:
-    """(x0, y0, x1, y1): mutually nearest ends of different owners within ``tol``."""
+    """(x0, y0, x1, y1): mutually nearest ends of different owners within ``tol``.
+
+    All ends at one position are one row: its least id with the owner, and the least id of
+    another owner, which stands in where the position is reached from its first owner's only.
+    """
     ends = active.select("id", "owner", F.explode(F.expr("array(struct(x0 as x, y0 as y), struct(x1 as x, y1 as y))")).alias("p")).select("id", "owner", "p.x", "p.y")
-    return mutual_nearest(within_distance(ends, ends, tol, distinct_owner=True, positive=True)).select(*XY)
+    own = ends.filter("id is not null and owner is not null").groupBy("x", "y", "owner").agg(F.min("id").alias("id"))
+    first = F.first("owner").over(Window.partitionBy("x", "y").orderBy("id", "owner"))
+    spots = stash(own.withColumn("first", first).groupBy("x", "y").agg(F.min("id").alias("id"), F.min("first").alias("owner"), F.min(F.when(F.col("owner") != F.col("first"), F.col("id"))).alias("other")), "spots")
+    reach, size = tol * (1 + 1e-9), 4 * tol
+    cell = lambda c: F.floor(F.expr(c) / size)
+    left = spots.selectExpr("x as x0", "y as y0", "if(other is null, owner, null) as only").withColumns({"_cx": cell("x0"), "_cy": cell("y0")})
+    right = spots.selectExpr("x as x1", "y as y1", "id", "owner", "other")
+    for c in "xy":
+        right = right.withColumn(f"_c{c}", F.explode(F.sequence(cell(f"{c}1 - {reach}D"), cell(f"{c}1 + {reach}D"))))
+    met = left.join(right, ["_cx", "_cy"]).withColumn("dist", planar_distance("x0", "y0", "x1", "y1")).filter(f"dist > 0 and dist <= {tol}D")
+    pairs = met.selectExpr(*XY, "dist", "if(only = owner, other, id) as id1").filter("id1 is not null")
+    ties = stash(mutual_nearest(pairs).select(*XY), "ties")
+    discard(spots)
+    return ties
 
 
 def _ties_of_crossings(segments: DataFrame, active: DataFrame, tile: float, eps: float) -> DataFrame:
