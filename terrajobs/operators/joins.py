@@ -16,6 +16,7 @@ from terrajobs.functions.polygons import common_area, points, signed_area
 from terrajobs.functions.scalars import closest_point_on_segment, planar_distance, segment_distance, segment_intersection
 from terrajobs.operators.nearest import nearest
 from terrajobs.operators.ordering import best_per
+from terrajobs.storage import discard, stash
 
 
 def _cell(v: Column | str, size: float) -> Column:
@@ -69,13 +70,16 @@ def segments_on_outline(segments: DataFrame, outline: DataFrame) -> DataFrame:
 # --- range joins -----------------------------------------------------------------------
 
 
-def within_distance(a: DataFrame, b: DataFrame, d: float, distinct_owner: bool = True, positive: bool = False) -> DataFrame:
-    """Ordered pairs of points (id, owner, x, y) at most ``d`` apart, with ``dist``."""
-    left = renamed(a.select("id", "owner", "x", "y"), "0").withColumn("_cx", _cell("x0", d)).withColumn("_cy", _cell("y0", d))
+def within_distance(a: DataFrame, b: DataFrame, d: float, distinct_owner: bool = True, positive: bool = False, distinct_id: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Ordered pairs of points (id, owner, x, y) at most ``d`` apart, with ``dist``. Ids of two
+    kinds may be equal (``distinct_id``); ``keep`` names more columns of ``a``."""
+    left = renamed(a.select("id", "owner", "x", "y", *(keep or [])), "0").withColumn("_cx", _cell("x0", d)).withColumn("_cy", _cell("y0", d))
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     right = renamed(b.select("id", "owner", "x", "y"), "1").withColumn("_dx", near).withColumn("_dy", near)
     right = right.withColumn("_cx", _cell("x1", d) + F.col("_dx")).withColumn("_cy", _cell("y1", d) + F.col("_dy")).drop("_dx", "_dy")
-    pairs = left.join(right, ["_cx", "_cy"]).filter("id0 <> id1").withColumn("dist", planar_distance("x0", "y0", "x1", "y1")).filter(F.col("dist") <= d)
+    pairs = left.join(right, ["_cx", "_cy"]).withColumn("dist", planar_distance("x0", "y0", "x1", "y1")).filter(F.col("dist") <= d)
+    if distinct_id:
+        pairs = pairs.filter("id0 <> id1")
     if distinct_owner:
         pairs = pairs.filter("owner0 <> owner1")
     if positive:
@@ -83,6 +87,76 @@ def within_distance(a: DataFrame, b: DataFrame, d: float, distinct_owner: bool =
     return pairs.drop("_cx", "_cy")
 
 
+HALVINGS = 16  # of the reach, down to the least radius that is tried
+FEW = 32  # pairs a point that the first radius may meet
+
+
+def _first_halving(a: DataFrame, b: DataFrame, d: float) -> int:
+    """How often to halve ``d`` until points meet few others, by counts of cells."""
+    fine = d / (1 << HALVINGS)
+    count = lambda df, k: df.groupBy(_cell("x", fine).alias("cx"), _cell("y", fine).alias("cy")).agg(F.count("*").alias("n")).selectExpr("cx", "cy", *(f"{'n' if j == k else '0L'} as n{j}" for j in (0, 1)))
+    up = count(a, 0).unionByName(count(b, 1)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))))
+    cells = up.groupBy("k", F.expr(f"shiftright(cx, {HALVINGS} - k)").alias("cx"), F.expr(f"shiftright(cy, {HALVINGS} - k)").alias("cy")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    met = cells.groupBy("k").agg((9 * F.sum(F.col("n0").cast("double") * F.col("n1"))).alias("met"), F.sum("n0").alias("n")).collect()
+    return min((r.k for r in met if r.met <= FEW * max(r.n, 1)), default=HALVINGS)
+
+
+def nearest_pairs(a: DataFrame, b: DataFrame, d: float, per: list[str], distinct_owner: bool = True, distinct_id: bool = True) -> DataFrame:
+    """Of the pairs of ``within_distance`` those of least distance for each ``per``, all of equal
+    distance: the rows that can be first by distance and whatever else.
+
+    ``per`` are columns of the left side (id0, owner0, x0, y0). Pairs are first sought within a
+    radius that few lie in. A key that has one there has its nearest there too; the left points
+    of all others go on with twice the radius, up to ``d``. Least distances are aggregated
+    without sorting, and only then pairs at that distance are made. Where points without a
+    near partner lie beside a crowd, up to as many pairs are met as ``within_distance`` has.
+    """
+    rest, out, own = a.select("id", "owner", "x", "y"), None, [c[:-1] for c in per]
+    b = b.select("id", "owner", "x", "y")
+    for k in range(_first_halving(rest, b, d), -1, -1):
+        r = d / (1 << k)
+        least = stash(within_distance(rest, b, r, distinct_owner, distinct_id=distinct_id).groupBy(*per).agg(F.min("dist").alias("_least")).toDF(*own, "_least"), "least")
+        at_least = within_distance(rest.join(least, own), b, r, distinct_owner, distinct_id=distinct_id, keep=["_least"])
+        found = stash(at_least.filter("dist = _least0").drop("_least0"), "nearest")
+        out = found if out is None else out.unionByName(found)
+        if k:
+            old, rest = rest, stash(rest.join(least, own, "left_anti"), "rest")
+            discard(old, least)
+            if not rest.limit(1).count():
+                break
+    return out
+
+
+def nearest_links(points: DataFrame, d: float) -> DataFrame:
+    """Of the pairs of ``within_distance`` those of least distance for each pair of owners, in
+    both directions, all of equal distance.
+
+    As ``nearest_pairs``: owners that lie in cells side by side are paired first; those that
+    have a link within the radius are done, the points of all others go on with twice it.
+    """
+    rest = points.select("id", "owner", "x", "y").filter("owner is not null")
+    spots = rest.select("owner", _cell("x", d).alias("_cx"), _cell("y", d).alias("_cy")).distinct()
+    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    beside = spots.toDF("other", "_cx", "_cy").withColumn("_dx", step).withColumn("_dy", step).selectExpr("other", "_cx + _dx as _cx", "_cy + _dy as _cy")
+    todo = stash(spots.join(beside, ["_cx", "_cy"]).filter("owner < other").select(F.col("owner").alias("_a"), F.col("other").alias("_b")).distinct(), "todo")
+    pair, out, first = [F.least("owner0", "owner1").alias("_a"), F.greatest("owner0", "owner1").alias("_b")], None, True
+    for k in range(_first_halving(rest, rest, d), -1, -1):
+        r = d / (1 << k)
+        pairs = within_distance(rest, rest, r).select("*", *pair)
+        if not first:
+            pairs = pairs.join(todo, ["_a", "_b"], "left_semi")
+        least = stash(pairs.groupBy("_a", "_b").agg(F.min("dist").alias("_least")), "least")
+        found = stash(pairs.join(least, ["_a", "_b"]).filter("dist = _least").drop("_a", "_b", "_least"), "links")
+        out, first = found if out is None else out.unionByName(found), False
+        todo = stash(todo.join(least, ["_a", "_b"], "left_anti"), "todo")
+        if k:
+            if not todo.limit(1).count():
+                break
+            left = todo.select(F.explode(F.array("_a", "_b")).alias("owner")).distinct()
+            rest = stash(rest.join(left, "owner", "left_semi"), "rest")
+    return out
+
+
 def _in_cells(df: DataFrame, s: str, others: DataFrame, tile: float) -> DataFrame:
     """Boxes in the cells of their own size, and of those larger sizes that the other side has.
 

@@ -39,3 +39,25 @@ def test_ties_of_ends_equal_those_of_all_pairs(spark):
     got = [tuple(r) for r in shapes._ties_of_ends(df, 0.05).collect()]
     assert sorted(got) == sorted(tuple(r) for r in want.collect()) and len(got) > 20
     assert shapes._ties_of_ends(df.limit(0), 0.05).count() == 0
+
+
+def crowd(spark, owners=5):
+    """A dense crowd, an even spread, and a few points far from all but one another."""
+    rng = random.Random(11)
+    spots = [(rng.randrange(9) / 8, rng.randrange(9) / 8) for _ in range(200)] + [(rng.uniform(-60, 60), rng.uniform(-60, 60)) for _ in range(150)]
+    rows = [(i, rng.choice([*range(owners), None] if i % 9 == 0 else range(owners)), float(x), float(y)) for i, (x, y) in enumerate([*spots, (90.0, 90.0), (96.0, 90.0), (500.0, 0.0)])]
+    return spark.createDataFrame(rows, "id long, owner long, x double, y double")
+
+
+def test_nearest_pairs_equal_the_least_of_all(spark):
+    df = crowd(spark)
+    for a, per, d, other in ((df, ["id0"], 8.0, True), (df, ["owner0"], 8.0, True), (df, ["x0", "y0"], 3.0, False), (df.filter("id % 7 = 0"), ["id0"], 20.0, True)):
+        everything = [r.asDict() for r in joins.within_distance(a, df, d, other).collect()]
+        least = {}
+        for r in everything:
+            key = tuple(r[c] for c in per)
+            least[key] = min(least.get(key, d), r["dist"])
+        want = sorted((r["id0"], r["id1"]) for r in everything if r["dist"] == least[tuple(r[c] for c in per)])
+        got = sorted((r.id0, r.id1) for r in joins.nearest_pairs(a, df, d, per, other).collect())
+        assert got == want and len(want) > 10 - 5 * (per == ["owner0"])
+    assert joins.nearest_pairs(df.limit(0), df, 8.0, ["id0"]).count() == joins.nearest_pairs(df, df.limit(0), 8.0, ["id0"]).count() == 0
