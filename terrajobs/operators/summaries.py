@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrajobs.functions.rings import closest_point_on_ring, contains_point
 from terrajobs.functions.scalars import planar_distance
+from terrajobs.operators.joins import nearest_pairs
 from terrajobs.operators.ordering import best_per, running_sum
 from terrajobs.operators.outlines import XY, outline_segments, rings
 from terrajobs.storage import stash
@@ -129,12 +130,9 @@ def consistency_report(blocks: DataFrame, segments: DataFrame, edges: DataFrame,
 
 def assign_nearest_tie(points: DataFrame, ties: DataFrame, tol: float) -> DataFrame:
     """(id, tieid, dist): each point's nearest tie centre (tieid, x, y) within ``tol``; ties by id."""
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    cell = lambda c: F.floor(F.col(c) / tol)
-    a = points.select("id", F.col("x").alias("ax"), F.col("y").alias("ay")).withColumn("_cx", cell("ax")).withColumn("_cy", cell("ay"))
-    b = ties.select("tieid", F.col("x").alias("bx"), F.col("y").alias("by")).withColumn("_dx", near).withColumn("_dy", near).withColumn("_cx", cell("bx") + F.col("_dx")).withColumn("_cy", cell("by") + F.col("_dy"))
-    met = a.join(b, ["_cx", "_cy"]).withColumn("dist", planar_distance("ax", "ay", "bx", "by")).filter(F.col("dist") <= tol)
-    return met.groupBy("id").agg(F.min(F.struct("dist", "tieid")).alias("m")).select("id", "m.tieid", "m.dist")
+    owner = F.lit(None).cast("long").alias("owner")
+    met = nearest_pairs(points.select("id", owner, "x", "y"), ties.select(F.col("tieid").alias("id"), owner, "x", "y"), tol, ["id0"], distinct_owner=False, distinct_id=False)
+    return met.groupBy(F.col("id0").alias("id")).agg(F.min("dist").alias("dist"), F.min("id1").alias("tieid")).select("id", "tieid", "dist")
 
 
 def closest_endpoints(pairs: DataFrame) -> DataFrame:

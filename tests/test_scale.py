@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from terrajobs.operators import joins, shapes
+from terrajobs.operators import joins, shapes, summaries
 
 
 def test_small_boxes_do_not_meet_in_cells_of_large_ones(spark):
@@ -74,3 +74,10 @@ def test_nearest_links_equal_the_least_of_all(spark):
         want = sorted((r["id0"], r["id1"]) for r in everything if r["dist"] == least[frozenset((r["owner0"], r["owner1"]))])
         assert sorted((r.id0, r.id1) for r in joins.nearest_links(df, 8.0).collect()) == want and len(want) > 10
     assert joins.nearest_links(df.limit(0), 8.0).count() == 0
+
+
+def test_nearest_ties_of_equal_ids(spark):
+    points = spark.createDataFrame([(1, 0, 0), (2, 100, 0), (3, 0, 9)], "id long, x long, y long")
+    ties = spark.createDataFrame([(1, 0, 4), (5, 0, -4), (2, 100, 31)], "tieid long, x long, y long")
+    got = {(r.id, r.tieid, r.dist) for r in summaries.assign_nearest_tie(points, ties, 30.0).collect()}
+    assert got == {(1, 1, 4.0), (3, 1, 5.0)}
